@@ -28,8 +28,34 @@ def op10_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_winnowing_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op03_winnow as op
+
+    return op.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op4_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op04_crf as op
+
+    docs = read_table(spark, sf_dir, "documents")
+    return op.quality(docs, op.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op06_chains as op
+
+    docs = read_table(spark, sf_dir, "documents")
+    return op.toxicity(docs, op.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.5)
+
+
+def op7_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op07_telephony as op
+
+    return op.telephony(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repair_token_ids, op8_sum_of_squares_packing, op10_two_tier_token_counts)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op3_winnowing_contamination, op4_crf_quality, op6_toxicity_chain, op7_telephony_audio, op8_sum_of_squares_packing, op10_two_tier_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
