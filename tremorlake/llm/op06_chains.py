@@ -1,12 +1,13 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after the other: those of the seed words below, each only where the document's label says
-toxic, and at last "toxic" itself. Each classifier is a logistic regression on the words present in a document and on
+toxic, and at last "toxic" itself. Each classifier is a logistic regression on the words and beginnings of words present in a document and on
 the probabilities of the categories before it. In training those probabilities come from out-of-fold models, so that a
 later classifier learns from what it will meet; afterwards each category's model is fitted on all training rows.
 
 Training takes at most TRAIN_DOCS labelled documents (those of the least hash), never one with crc32(doc_id) mod 5 = 0.
-The vocabulary is at most VOCABULARY words that occur in LEAST_DOCS training documents or more. Null and empty texts
+The vocabulary is at most VOCABULARY features of LEAST_DOCS training documents or more, those whose share of toxic
+documents is furthest off. Null and empty texts
 have no words and get the constant's score. A table without usable labels gives 0.0. Repeated rows get equal scores.
 """
 
@@ -17,13 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RunHasher, blocks, clean_docs, words_of
+from .common import LOWER, RunHasher, blocks, clean_docs, mix, words_of
 from .op04_crf import held_out
 
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 8000
 VOCABULARY = 20_000
-LEAST_DOCS = 5
+LEAST_DOCS = 6
+#: How many standard deviations a feature's share of toxic documents has to be off.
+LEAST_EXCESS = 6.0
 FOLDS = 3
+#: Bytes of the beginnings of words that count besides whole words.
+PREFIXES = (4, 5, 6, 7, 8)
 
 #: Seed words of the categories before "toxic".
 SEEDS = {
@@ -38,14 +43,22 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the letter words, and the text that each is in; each word of a text once."""
-    _, _, codes, first = words_of(LOWER[data], offsets, _LETTER, RunHasher())
+    """Hashes of the letter words and of their beginnings, and the text that each is in; each feature of a text once.
+    That a text has a feature three times or more is a feature of its own."""
+    low, hasher = LOWER[data], RunHasher()
+    starts, ends, codes, first = words_of(low, offsets, _LETTER, hasher)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    order = np.lexsort([codes, doc])
-    codes, doc = codes[order], doc[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])
-    return codes[new], doc[new]
+    all_codes, all_docs = [codes], [doc]
+    for n in PREFIXES:
+        longer = ends - starts > n
+        all_codes.append(mix(hasher(low, starts[longer], starts[longer] + n) + np.uint64(n)))
+        all_docs.append(doc[longer])
+    # 16 bits of the text's place in the block and 48 of the hash sort as one number
+    key = np.sort((np.concatenate(all_docs).astype(np.uint64) << np.uint64(48)) | (np.concatenate(all_codes) >> np.uint64(16)))
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    often = key[at[np.diff(np.append(at, len(key))) >= 3]] ^ np.uint64(1)
+    key = np.sort(np.concatenate([key[at], often]))
+    return key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64)
 
 
 def seed_codes() -> dict[str, np.ndarray]:
@@ -53,7 +66,7 @@ def seed_codes() -> dict[str, np.ndarray]:
     for name, words in SEEDS.items():
         raw = [w.encode() for w in words]
         ends = np.cumsum([len(w) for w in raw])
-        out[name] = RunHasher()(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends)
+        out[name] = RunHasher()(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends) >> np.uint64(16)
     return out
 
 
@@ -79,8 +92,11 @@ def _predict(theta, col, row, n_rows, extra):
 def train_chain(codes: np.ndarray, row: np.ndarray, n_rows: int, toxic: np.ndarray, folds: int = FOLDS) -> dict:
     """Vocabulary and weights of each category, in the order of the chain."""
     vocabulary, of, n = np.unique(codes, return_inverse=True, return_counts=True)
-    top = np.sort(np.argsort(-n, kind="stable")[:VOCABULARY])
-    top = top[n[top] >= LEAST_DOCS]
+    share = toxic.mean()
+    positive = np.bincount(of, weights=toxic[row], minlength=len(vocabulary))
+    excess = np.where(n >= LEAST_DOCS, np.abs(positive - n * share) / np.sqrt(n * share * (1 - share)), 0)  # deviations from the mean share
+    top = np.sort(np.argsort(-excess, kind="stable")[:VOCABULARY])
+    top = top[excess[top] >= LEAST_EXCESS]
     place = np.full(len(vocabulary), -1)
     place[top] = np.arange(len(top))
     seeds = seed_codes()
