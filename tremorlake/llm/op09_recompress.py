@@ -4,7 +4,7 @@ Words become symbols. In each round a run of one symbol becomes a symbol, then p
 alphabet followed by one of the other half (halves are drawn by hash, anew in each round). Names are hashes of what they
 stand for, so they are global without a dictionary, and equal passages get equal symbols but for a few at their borders.
 How far the words reach that decide a symbol is carried along; a window *owns* a symbol if it holds all of those words.
-Equal windows own equal symbols, so the least-named symbol that a window owns, of any level, is its anchor; windows
+Equal windows own equal symbols, so the least-named phrase of symbols that a window owns, of any level, is its anchor; windows
 without one stand for themselves. Spark brings windows with a common anchor together and verifies them (repeats.py).
 
 Words are runs of bytes other than white space. Null texts have none; texts of fewer than WINDOW words lose nothing;
@@ -25,6 +25,8 @@ from .repeats import anchor_stretches, covered, repeated_stretches, repeats_of_w
 
 WINDOW = 13
 ROUNDS = 2
+#: Symbols of each round that make an anchor together.
+PHRASE = (3, 2)
 _FAR = np.int64(1) << np.int64(40)
 _PLACE = np.uint64(0x3FFFFFFF)
 
@@ -81,10 +83,20 @@ def _pairs(s: dict, salt: np.uint64) -> dict:
     return {"name": name, "text": s["text"][i], "first": s["first"][i], "last": s["last"][j], "lo": np.minimum(lo[i], lo[j]), "hi": np.maximum(hi[i], hi[j])}
 
 
+def _phrases(s: dict, size: int) -> dict:
+    """Neighbouring symbols taken together, as one alone is too common; a phrase that crosses texts is out of reach."""
+    n = max(0, len(s["name"]) - size + 1)
+    inside = s["text"][:n] == s["text"][size - 1 :][:n]
+    lo, hi = s["lo"][:n], s["hi"][:n]
+    for k in range(1, size):
+        lo, hi = np.minimum(lo, s["lo"][k : k + n]), np.maximum(hi, s["hi"][k : k + n])
+    return {"name": span_hashes(s["name"], size), "lo": np.where(inside, lo, -_FAR), "hi": hi}
+
+
 def anchors(codes: np.ndarray, text: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """For each window its anchor (a number of its symbol's place) and the anchor's name."""
     n = max(0, len(codes) - window + 1)
-    levels = recompress(codes, text)
+    levels = [_phrases(s, k) for s, k in zip(recompress(codes, text), PHRASE)]
     name, lo, hi = (np.concatenate([s[c] for s in levels]) for c in ("name", "lo", "hi"))
     mine = hi - lo < window
     number = np.flatnonzero(mine)

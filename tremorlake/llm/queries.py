@@ -66,8 +66,14 @@ def op9_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.removal(read_table(spark, sf_dir, "documents"))
 
 
+def op5_divideskip_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op05_divideskip as op
+
+    return op.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repair_token_ids, op2_suffix_array_dedup, op3_winnowing_contamination, op4_crf_quality, op6_toxicity_chain, op7_telephony_audio, op8_sum_of_squares_packing, op9_recompression_dedup, op10_two_tier_token_counts)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op2_suffix_array_dedup, op3_winnowing_contamination, op4_crf_quality, op5_divideskip_near_duplicates, op6_toxicity_chain, op7_telephony_audio, op8_sum_of_squares_packing, op9_recompression_dedup, op10_two_tier_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
