@@ -119,8 +119,8 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs that connect every component of linked sets; not all links of a component."""
+def linked_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the number of its component of linked sets."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     token, of = np.unique(np.concatenate(sets), return_inverse=True)
@@ -128,7 +128,7 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     order = np.argsort(of, kind="stable")
     posting, start = doc[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(token)))])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    parent, left, out = np.arange(m), m, []
+    parent, left = np.arange(m), m
     for q in np.argsort(-sizes, kind="stable").tolist():
         if left == 1:
             break
@@ -143,8 +143,7 @@ def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             if a != b:
                 parent[a] = b
                 left -= 1
-                out.append((q, d))
-    return out
+    return np.array([_root(parent, i) for i in range(m)])
 
 
 def _ties(batches):
@@ -166,7 +165,7 @@ def _ties(batches):
 
 
 def _meet(rows: DataFrame) -> DataFrame:
-    """(a, b): links among documents that share a task; rows: doc_id, text, tasks array<long>."""
+    """(a, b): each document of a task and the least one it is connected with there; rows: doc_id, text, tasks array<long>."""
 
     def deal(batches):
         for (ids, tasks), data, offsets in blocks(batches, ("doc_id", "tasks")):
@@ -185,9 +184,13 @@ def _meet(rows: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
             for x, y in zip(starts.tolist(), np.append(starts[1:], len(task)).tolist()):
                 if y - x > 1:
-                    for p, q in links_within([np.frombuffer(s, np.uint64) for s in sets[x:y]]):
-                        a.append(int(doc[x + p])), b.append(int(doc[x + q]))
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    of = linked_sets([np.frombuffer(s, np.uint64) for s in sets[x:y]])
+                    least = np.full(y - x, np.iinfo(np.int64).max)
+                    np.minimum.at(least, of, doc[x:y])
+                    other = least[of] != doc[x:y]
+                    a.append(doc[x:y][other]), b.append(least[of][other])
+            none = [np.zeros(0, np.int64)]
+            yield pa.record_batch([pa.array(np.concatenate(none + a)), pa.array(np.concatenate(none + b))], ["a", "b"])
 
     return rows.mapInArrow(deal, "task long, doc_id long, shingles binary").repartition("task").sortWithinPartitions("task").mapInArrow(search, "a long, b long")
 
