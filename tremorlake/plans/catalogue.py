@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 
-#: Modules of this package, each with QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES = ("relational",)
+#: Modules of this package, which register their queries.
+MODULES = ("scalars", "relational", "joining", "ordered", "series", "evaluation")
 
 
-def _all(what: str) -> dict:
-    out: dict = {}
+def _load():
     for name in MODULES:
-        out |= getattr(importlib.import_module(f"tremorlake.plans.{name}"), what)
-    return out
+        if importlib.util.find_spec(f"tremorlake.plans.{name}"):
+            importlib.import_module(f"tremorlake.plans.{name}")
+    from . import registry
+
+    return registry
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    return dict(_load().QUERIES)
 
 
 def oracle_sql() -> dict:
-    return _all("ORACLE")
+    return dict(_load().ORACLE)
