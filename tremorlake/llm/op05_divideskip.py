@@ -1,9 +1,11 @@
 """Near duplicates by an exact Jaccard join of word 5-gram sets, searched by T-occurrence with DivideSkip.
 
 1. Documents with equal sets form a class (by size and 128 bits of their sets' sums); the least doc_id stands for it.
-2. Shingles have one global order: those of few documents first. Two sets that link share one of their first
-   n - ceil(0.75 n) + 1 shingles in that order, so lists of these shingles name all candidates. In a list, neighbours by
-   size whose sizes allow a link are tied; components of ties are candidate groups, and no link leaves a group.
+2. Shingles have one global order: those of few documents first. Two sets that link share SHARED (or all that small
+   sets need) of their first n - ceil(0.75 n) + SHARED shingles in that order, so lists of these shingles name all
+   candidates. Documents are tied if SHARED short lists (of at most SHORT documents) hold both, or if one long list does
+   and their sizes, or those of a chain of documents between them, allow a link. Components of ties are candidate groups,
+   and no link leaves a group. A document has at most SHORT partners on a short list; long lists make stars.
 3. In a group the sets' inverted lists are searched: a query has to meet T of its lists; its L longest lists are put
    aside, the short ones are merged, documents with T - L hits are probed in the long ones by binary search. Links are
    decided on exact counts. A group is split into blocks of about BLOCK documents: first all blocks meet the first one,
@@ -29,8 +31,10 @@ from .repeats import by_key
 WORDS = 5
 #: Links need an intersection of PER_CENT / 100 of the union.
 PER_CENT = 75
-MOST_HOT = 200_000
-HOT_IN_BLOCK, HOT_AT_ALL = 4, 32
+MOST_HOT = 400_000
+HOT_IN_BLOCK = 3
+SURVEY_BYTES = 8 << 20
+SHORT, SHARED = 32, 4
 BLOCK = 100
 
 
@@ -64,20 +68,24 @@ def _sums(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
 
 def _survey(batches):
     """A row for each document: size and sums of its set; and one for each shingle that is frequent in a block."""
-    for (ids,), data, offsets in blocks(batches):
+    for (ids,), data, offsets in blocks(batches, most=SURVEY_BYTES):
         values, bounds = shingle_sets(data, offsets)
         token, n = np.unique(values, return_counts=True)
         hot = n >= HOT_IN_BLOCK
-        k, m = len(ids), int(hot.sum())
+        m = int(hot.sum())
         yield pa.record_batch(
             [pa.concat_arrays([ids, pa.nulls(m, pa.int64())]), pa.array(np.concatenate([np.diff(bounds), n[hot]])), pa.array(np.concatenate([_sums(values, bounds, 1), token[hot].view(np.int64)])), pa.array(np.concatenate([_sums(values, bounds, 2), np.zeros(m, np.int64)]))],
             ["doc_id", "n", "one", "two"],
         )
-        del k
+
+
+def shared_at_least(n: np.ndarray) -> np.ndarray:
+    """How many of the prefixes' shingles a set of n shares with any set that it links with."""
+    return np.minimum(SHARED, -(-PER_CENT * n // 100))
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - -(-PER_CENT * n // 100) + 1
+    return n - -(-PER_CENT * n // 100) + shared_at_least(n)
 
 
 def prefix_order(values: np.ndarray, bounds: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -146,22 +154,47 @@ def linked_sets(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([_root(parent, i) for i in range(m)])
 
 
+def _pairs_of_short(start: np.ndarray, size: np.ndarray, doc: np.ndarray, n: np.ndarray):
+    """All pairs on lists of at most SHORT documents whose sizes allow a link."""
+    for k in range(2, SHORT + 1):
+        lists = start[size == k]
+        if len(lists):
+            x, y = np.triu_indices(k, 1)
+            i, j = (lists[:, None] + x).ravel(), (lists[:, None] + y).ravel()  # n ascends within a list
+            ok = 100 * n[i] >= PER_CENT * n[j]
+            yield i[ok], j[ok]
+
+
 def _ties(batches):
-    """Ties between documents on one list: each to the smallest set that its size allows to link with."""
+    """(a, b, shared, needed): documents on common lists. A long list ties each document to the smallest one that its
+    size allows to link with, and those to the one before them."""
     for table in by_key(batches):
         token, doc, n = (table.column(c).to_numpy() for c in ("token", "doc_id", "n"))
         order = np.lexsort([doc, n, token])
-        token, doc, n = token[order], doc[order], n[order]
-        same = token[1:] == token[:-1]
-        step = same & (100 * n[:-1] >= PER_CENT * n[1:])
-        a, b = doc[:-1][step], doc[1:][step]
-        # runs that the first one's size allows are stars around it, which keeps paths short
-        run = np.cumsum(np.append(True, ~step)) - 1
-        head = np.flatnonzero(np.append(True, ~step))[run]
-        star = (head[1:] != np.arange(1, len(doc))) & (100 * n[head[1:]] >= PER_CENT * n[1:])
-        a = np.where(star[step], doc[head[1:]][step], a)
-        pairs = np.unique(np.stack([a, b], axis=1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+        token, doc, n = token[order], doc[order], n[order].astype(np.int64)
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(start, len(token)))
+        found = list(_pairs_of_short(start, size, doc, n))
+        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        needed = np.minimum(shared_at_least(n[a]), shared_at_least(n[b]))
+        one, two = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
+        by = np.lexsort([two, one])
+        one, two, needed = one[by], two[by], needed[by]
+        new = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)])
+        shared = np.diff(np.append(new, len(one)))
+        one, two, needed = one[new], two[new], needed[new]
+        long = np.repeat(size > SHORT, size)
+        ldoc, ln, ltoken = doc[long], n[long], token[long]
+        if len(ldoc):
+            step = (ltoken[1:] == ltoken[:-1]) & (100 * ln[:-1] >= PER_CENT * ln[1:])
+            head = np.flatnonzero(np.append(True, ~step))[np.cumsum(np.append(True, ~step)) - 1]
+            star = 100 * ln[head[1:]] >= PER_CENT * ln[1:]
+            at = np.flatnonzero(step)
+            other = np.where(star[at], head[1:][at], at)
+            pairs = np.unique(np.stack([np.minimum(ldoc[other], ldoc[at + 1]), np.maximum(ldoc[other], ldoc[at + 1])], axis=1), axis=0)
+            one, two = np.concatenate([one, pairs[:, 0]]), np.concatenate([two, pairs[:, 1]])
+            shared, needed = np.concatenate([shared, np.full(len(pairs), SHARED)]), np.concatenate([needed, np.full(len(pairs), SHARED)])
+        yield pa.record_batch([pa.array(one), pa.array(two), pa.array(shared.astype(np.int32)), pa.array(needed.astype(np.int32))], ["a", "b", "shared", "needed"])
 
 
 def _meet(rows: DataFrame) -> DataFrame:
@@ -201,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = clean_docs(docs)
     survey = written(texts.mapInArrow(_survey, "doc_id long, n long, one long, two long"), "survey")
     sets = survey.where("doc_id IS NOT NULL")
-    frequent = survey.where("doc_id IS NULL").groupBy("one").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_AT_ALL).orderBy(F.desc("n"), "one").limit(MOST_HOT).toPandas()
+    frequent = survey.where("doc_id IS NULL").groupBy("one").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "one").limit(MOST_HOT).toPandas()
     token = frequent["one"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     hot = spark.sparkContext.broadcast((token[order], (len(token) - order).astype(np.int64)))  # the most frequent rank last
@@ -226,7 +259,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(values[at].view(np.int64)), pa.array(np.repeat(ids[pick], size)), pa.array(np.repeat(n[pick], size).astype(np.int32))], ["token", "doc_id", "n"])
 
     lists = texts.mapInArrow(prefixes, "token long, doc_id long, n int").repartition("token").sortWithinPartitions("token")
-    ties = written(lists.mapInArrow(_ties, "a long, b long").distinct(), "ties")
+    common = lists.mapInArrow(_ties, "a long, b long, shared int, needed int").where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    ties = written(common.where("shared >= needed").select("a", "b"), "ties")
     # documents of one class are one node
     stand = members.where("doc_id <> stands").select("doc_id", "stands").distinct()
     ties = ties.join(stand.withColumnRenamed("doc_id", "a").withColumnRenamed("stands", "sa"), "a", "left").join(stand.withColumnRenamed("doc_id", "b").withColumnRenamed("stands", "sb"), "b", "left")
