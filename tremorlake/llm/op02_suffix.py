@@ -131,7 +131,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray):
     return grams[at[lo]], same, text[lo], lo - begin, hi - begin
 
 
-def _details(data: np.ndarray, offsets: np.ndarray, text, lo, hi, hot, key):
+def _details(data: np.ndarray, offsets: np.ndarray, ids, text, lo, hi, hot, key):
     size = hi - lo + SIZE
     at = ragged((offsets[:-1][text] + lo)[~hot], size[~hot])
     bounds = np.concatenate([[0], np.cumsum(size[~hot])]).astype(np.int32)
@@ -141,7 +141,7 @@ def _details(data: np.ndarray, offsets: np.ndarray, text, lo, hi, hot, key):
         codes = BYTE_CODE[data]
         one, two = mix(span_hashes(codes, SIZE)), span_hashes(mix(codes), SIZE)
         k, c, t, p = window_rows(one, two, text[hot], lo[hot], hi[hot], offsets)
-        again = repeats_of_windows(k, c, t, p, False)
+        again = repeats_of_windows(k, c, ids[t], p, False)
         # what is a repeat within the block is known; it goes on by another key that only it has
         with np.errstate(over="ignore"):
             k = np.where(again, mix(k + mix(p.astype(np.uint64) + (t.astype(np.uint64) << np.uint64(40)))), k)

@@ -133,11 +133,11 @@ def _stretches(data: np.ndarray, offsets: np.ndarray):
     return key[lo], same, text[lo], lo - begin, hi - begin
 
 
-def _details(data: np.ndarray, offsets: np.ndarray, text, lo, hi, hot, key):
+def _details(data: np.ndarray, offsets: np.ndarray, ids, text, lo, hi, hot, key):
     _, _, codes, first = _words(data, offsets)
     one, two = mix(span_hashes(codes, WINDOW)), span_hashes(mix(codes), WINDOW)
     k, c, t, p = window_rows(one, two, text, lo, hi, first)
-    again = repeats_of_windows(k, c, t, p, True)
+    again = repeats_of_windows(k, c, ids[t], p, True)
     # what is a repeat within the block is known; it goes on by another key that only it has
     with np.errstate(over="ignore"):
         k = np.where(again, mix(k + mix(p.astype(np.uint64) + (t.astype(np.uint64) << np.uint64(40)))), k)

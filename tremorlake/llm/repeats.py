@@ -138,7 +138,7 @@ def repeated_stretches(docs: DataFrame, stretches, details, compare, other_docs_
     """(doc_id, lo, hi): first and last repeated window of stretches of windows.
 
     stretches(data, offsets) -> key, same (uint64), text index, lo, hi of a block's stretches.
-    details(data, offsets, text index, lo, hi, hot, key) -> record batch of rows for compare: key, check, doc (text index), lo, hi, content.
+    details(data, offsets, doc_ids, text index, lo, hi, hot, key) -> dicts of rows for compare: key, check, text, lo, hi, content.
     compare(table) -> doc_id, lo, hi of the repeats among whole keys.
     """
     texts = clean_docs(docs)
@@ -161,7 +161,7 @@ def repeated_stretches(docs: DataFrame, stretches, details, compare, other_docs_
             flat = look.flatten()
             key, lo, hi, n = (flat.field(i).to_numpy() for i in range(4))
             text = np.repeat(np.arange(len(ids)), counts)
-            for part in details(data, offsets, text, lo, hi, n > HOT, key):
+            for part in details(data, offsets, ids, text, lo, hi, n > HOT, key):
                 doc = pa.array(ids[part["text"]])
                 yield pa.record_batch([pa.array(part["key"]), pa.array(part["check"]), doc, pa.array(part["lo"]), pa.array(part["hi"]), part["content"]], ["key", "check", "doc_id", "lo", "hi", "content"])
 
