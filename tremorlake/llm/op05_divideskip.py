@@ -1,11 +1,11 @@
 """Near duplicates by an exact Jaccard join of word 5-gram sets, searched by T-occurrence with DivideSkip.
 
 1. Documents with equal sets form a class (by size and 128 bits of their sets' sums); the least doc_id stands for it.
-2. Shingles have one global order: those of few documents first. Two sets that link share SHARED (or all that small
-   sets need) of their first n - ceil(0.75 n) + SHARED shingles in that order, so lists of these shingles name all
-   candidates. Documents are tied if SHARED short lists (of at most SHORT documents) hold both, or if one long list does
-   and their sizes, or those of a chain of documents between them, allow a link. Components of ties are candidate groups,
-   and no link leaves a group. A document has at most SHORT partners on a short list; long lists make stars.
+2. Shingles have one global order: those of few documents first. Two sets that link share s of their first
+   n - ceil(0.75 n) + s shingles in that order, where s is a tenth of the smaller size (SHARED at least, or all that small
+   sets need), so lists of these shingles name all candidates. Documents are tied if s short lists (of at most SHORT
+   documents) hold both, or if one long list does and their sizes, or those of a chain of documents between them, allow
+   a link. Components of ties are candidate groups, and no link leaves a group. A document has at most SHORT partners on a short list; long lists make stars.
 3. In a group the sets' inverted lists are searched: a query has to meet T of its lists; its L longest lists are put
    aside, the short ones are merged, documents with T - L hits are probed in the long ones by binary search. Links are
    decided on exact counts. A group is split into blocks of about BLOCK documents: first all blocks meet the first one,
@@ -34,8 +34,11 @@ PER_CENT = 75
 MOST_HOT = 400_000
 HOT_IN_BLOCK = 3
 SURVEY_BYTES = 8 << 20
-SHORT, SHARED = 32, 4
+#: Documents of a short list; what two sets share at least of their longer prefixes: SHARED or a part of their size.
+SHORT, SHARED, SHARED_PART = 32, 4, 10
 BLOCK = 100
+#: Counts as enough shared shingles.
+ALWAYS = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +84,7 @@ def _survey(batches):
 
 def shared_at_least(n: np.ndarray) -> np.ndarray:
     """How many of the prefixes' shingles a set of n shares with any set that it links with."""
-    return np.minimum(SHARED, -(-PER_CENT * n // 100))
+    return np.minimum(np.maximum(SHARED, -(-n // SHARED_PART)), -(-PER_CENT * n // 100))
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -193,7 +196,7 @@ def _ties(batches):
             other = np.where(star[at], head[1:][at], at)
             pairs = np.unique(np.stack([np.minimum(ldoc[other], ldoc[at + 1]), np.maximum(ldoc[other], ldoc[at + 1])], axis=1), axis=0)
             one, two = np.concatenate([one, pairs[:, 0]]), np.concatenate([two, pairs[:, 1]])
-            shared, needed = np.concatenate([shared, np.full(len(pairs), SHARED)]), np.concatenate([needed, np.full(len(pairs), SHARED)])
+            shared, needed = np.concatenate([shared, np.full(len(pairs), ALWAYS)]), np.concatenate([needed, np.ones(len(pairs), np.int64)])
         yield pa.record_batch([pa.array(one), pa.array(two), pa.array(shared.astype(np.int32)), pa.array(needed.astype(np.int32))], ["a", "b", "shared", "needed"])
 
 
