@@ -32,10 +32,10 @@ WORDS = 5
 #: Links need an intersection of PER_CENT / 100 of the union.
 PER_CENT = 75
 MOST_HOT = 400_000
-HOT_IN_BLOCK = 3
+HOT_IN_BLOCK, HOT_AT_ALL = 2, 6
 SURVEY_BYTES = 8 << 20
 #: Documents of a short list; what two sets share at least of their longer prefixes: SHARED or a part of their size.
-SHORT, SHARED, SHARED_PART = 32, 4, 10
+SHORT, SHARED, SHARED_PART = 64, 4, 10
 BLOCK = 100
 #: Counts as enough shared shingles.
 ALWAYS = 1 << 20
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = clean_docs(docs)
     survey = written(texts.mapInArrow(_survey, "doc_id long, n long, one long, two long"), "survey")
     sets = survey.where("doc_id IS NOT NULL")
-    frequent = survey.where("doc_id IS NULL").groupBy("one").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "one").limit(MOST_HOT).toPandas()
+    frequent = survey.where("doc_id IS NULL").groupBy("one").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_AT_ALL).orderBy(F.desc("n"), "one").limit(MOST_HOT).toPandas()
     token = frequent["one"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     hot = spark.sparkContext.broadcast((token[order], (len(token) - order).astype(np.int64)))  # the most frequent rank last
