@@ -26,6 +26,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(f"{folder}/shared")
     yield session
     session.stop()

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
 
+from .lineage import checkpointed
+
 
 def ordinal(rows: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
     """Place from 0 within keys. Without keys the places of a large table are made from range partitions: each knows how
@@ -16,7 +18,7 @@ def ordinal(rows: DataFrame, keys: list[str], order: list[str], name: str = "ord
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written out once: the partitions that are counted have to be those that are numbered
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)).checkpoint()
+    ranged = checkpointed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row for each partition
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_row") + F.col("_start")).drop("_part", "_row", "_start")
