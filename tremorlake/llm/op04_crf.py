@@ -45,7 +45,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     ok = end > begin
     has_break[ok] = data[end[ok] - 1] == 10
     last_line = first[1:] - 1
-    has_break[last_line] &= False
+    has_break[last_line] = False
     length = end - begin - has_break
     counts = np.zeros((len(begin), 6), np.int64)
     line_at = np.repeat(np.arange(len(begin)), end - begin)
@@ -65,9 +65,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     same = np.zeros(len(codes), bool)
     same[1:] = (codes[1:] == codes[:-1]) & (wline[1:] == wline[:-1])
     repeats = np.bincount(wline[same], minlength=len(begin)) / w
-    key = np.sort((codes & ~np.uint64(0xFFFFF)) ^ (wline.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     order = np.lexsort([codes, wline]) if len(codes) else np.zeros(0, np.int64)
-    del key
     c, l = codes[order], wline[order]
     new = np.ones(len(c), bool)
     new[1:] = (c[1:] != c[:-1]) | (l[1:] != l[:-1])
@@ -100,10 +98,6 @@ def _by_step(first: np.ndarray):
         yield first[:-1][order[: np.searchsorted(-sizes, -t, "left")]] + t
 
 
-def _logadd(a, b):
-    return np.logaddexp(a, b)
-
-
 def forward_backward(score: np.ndarray, moves: np.ndarray, first: np.ndarray):
     """score: log-potential of "good" minus that of "bad" per line; moves[i, j]: of going from i to j (0 bad, 1 good).
     Returns P(good) per line, P(i, j) summed over each place where i goes to j, and log Z per document."""
@@ -114,16 +108,16 @@ def forward_backward(score: np.ndarray, moves: np.ndarray, first: np.ndarray):
     for t, at in enumerate(steps):
         if t:
             p = alpha[at - 1]
-            alpha[at] = np.stack([_logadd(p[:, 0] + moves[0, j], p[:, 1] + moves[1, j]) for j in (0, 1)], axis=1)
+            alpha[at] = np.stack([np.logaddexp(p[:, 0] + moves[0, j], p[:, 1] + moves[1, j]) for j in (0, 1)], axis=1)
         alpha[at] += emit[at]
     for t in range(len(steps) - 2, -1, -1):
         nxt = steps[t + 1]  # the lines at place t that have a next one
         q = beta[nxt] + emit[nxt]
-        beta[nxt - 1] = np.stack([_logadd(q[:, 0] + moves[i, 0], q[:, 1] + moves[i, 1]) for i in (0, 1)], axis=1)
+        beta[nxt - 1] = np.stack([np.logaddexp(q[:, 0] + moves[i, 0], q[:, 1] + moves[i, 1]) for i in (0, 1)], axis=1)
     total = alpha + beta
     good = 1 / (1 + np.exp(np.clip(total[:, 0] - total[:, 1], -500, 500)))
     end = first[1:] - 1
-    log_z = _logadd(alpha[end, 0], alpha[end, 1])
+    log_z = np.logaddexp(alpha[end, 0], alpha[end, 1])
     pairs = np.zeros((2, 2))
     inner = np.ones(n, bool)
     inner[first[:-1]] = False
