@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.operators.joins import bin_lookup
-
 
 def grid_cells(nodes: DataFrame, x: str, y: str, value: str, step_x: float, step_y: float) -> DataFrame:
     """One row per cell of a regular grid of nodes (x, y, value): its indices and four corners, negative ones as null."""
@@ -23,6 +21,3 @@ def bilinear(rows: DataFrame, cells: DataFrame, x: str, y: str, step_x: float, s
     u, w = F.col(x) / step_x - F.col("i"), F.col(y) / step_y - F.col("j")
     value = F.col("v00") * (1 - u) * (1 - w) + F.col("v10") * u * (1 - w) + F.col("v01") * (1 - u) * w + F.col("v11") * u * w
     return placed.join(cells, ["i", "j"], "left").withColumn(name, F.coalesce(value, F.lit(-1.0))).drop("i", "j", "v00", "v10", "v01", "v11")
-
-
-__all__ = ["bilinear", "bin_lookup", "grid_cells"]
