@@ -28,8 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 100-byte strings; a document stays even if little or nothing of it is left."""
-    kept = op02_suffix.deduplicated(docs).withColumnRenamed("kept", "text")
-    out = docs.drop("text").join(kept, "doc_id")
+    out = op02_suffix.rewritten(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -8,7 +8,8 @@ first is a repeat.
 A corpus is not one array: windows meet by anchors (see repeats.py), the anchor of a 100-byte window being the least
 hash of its 32-byte strings. Each group of stretches that share an anchor and differ somewhere is small and gets its
 own part of a suffix array. Null and empty texts have no bytes; texts shorter than SIZE lose nothing; of equal texts the
-one of smallest doc_id stays. Rows that share a doc_id count as one document. Empty tables give empty results.
+one of smallest doc_id stays. A row that is repeated, text and doc_id, is one document: its rows keep the same bytes. Other rows
+that share a doc_id are documents of their own. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import BYTE_CODE, blocks, mix, ragged, runs_of, sliding_min, span_hashes
 from .repeats import anchor_stretches, covered, repeated_stretches, repeats_of_windows, window_rows, with_stretches
@@ -131,7 +133,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray):
     return grams[at[lo]], same, text[lo], lo - begin, hi - begin
 
 
-def _details(data: np.ndarray, offsets: np.ndarray, ids, text, lo, hi, hot, key):
+def _details(data: np.ndarray, offsets: np.ndarray, ids, rows, text, lo, hi, hot, key):
     size = hi - lo + SIZE
     at = ragged((offsets[:-1][text] + lo)[~hot], size[~hot])
     bounds = np.concatenate([[0], np.cumsum(size[~hot])]).astype(np.int32)
@@ -141,7 +143,7 @@ def _details(data: np.ndarray, offsets: np.ndarray, ids, text, lo, hi, hot, key)
         codes = BYTE_CODE[data]
         one, two = mix(span_hashes(codes, SIZE)), span_hashes(mix(codes), SIZE)
         k, c, t, p = window_rows(one, two, text[hot], lo[hot], hi[hot], offsets)
-        again = repeats_of_windows(k, c, ids[t], p, False)
+        again = repeats_of_windows(k, c, ids[t], rows[t], p, False)
         # what is a repeat within the block is known; it goes on by another key that only it has
         with np.errstate(over="ignore"):
             k = np.where(again, mix(k + mix(p.astype(np.uint64) + (t.astype(np.uint64) << np.uint64(40)))), k)
@@ -150,15 +152,15 @@ def _details(data: np.ndarray, offsets: np.ndarray, ids, text, lo, hi, hot, key)
 
 
 def _compare(table: pa.Table):
-    key, check, doc, lo, hi = (table.column(c).to_numpy() for c in ("key", "check", "doc_id", "lo", "hi"))
+    key, check, doc, row, lo, hi = (table.column(c).to_numpy() for c in ("key", "check", "doc_id", "row", "lo", "hi"))
     content = table.column("content").combine_chunks()
     content = content.combine_chunks() if isinstance(content, pa.ChunkedArray) else content
     length = np.asarray(pa.compute.binary_length(content).fill_null(0))
     again = length == 5
     single = length == 0
     single_at = np.flatnonzero(single)
-    repeat = repeats_of_windows(key[single], check[single], doc[single], lo[single], False)
-    out = [(doc[again], lo[again], hi[again]), (doc[single_at[repeat]], lo[single_at[repeat]], hi[single_at[repeat]])]
+    repeat = repeats_of_windows(key[single], check[single], doc[single], row[single], lo[single], False)
+    out = [(doc[again], row[again], lo[again], hi[again]), (doc[single_at[repeat]], row[single_at[repeat]], lo[single_at[repeat]], hi[single_at[repeat]])]
     full = np.flatnonzero(length >= SIZE)
     if len(full):
         taken = content.take(pa.array(full)).cast(pa.large_binary())
@@ -170,20 +172,20 @@ def _compare(table: pa.Table):
             seg = np.searchsorted(offsets, places, "right") - 1
             within = places - offsets[seg] + lo[full][seg]
             age = np.empty(len(places), np.int64)
-            age[np.lexsort([within, doc[full][seg]])] = np.arange(len(places))
+            age[np.lexsort([within, row[full][seg], doc[full][seg]])] = np.arange(len(places))
             group = np.repeat(np.arange(len(lengths)), np.diff(first))
-            # occurrences that start at one place of one document are one, as where stretches overlap
+            # occurrences that start at one place of one row are one, as where stretches overlap
             least = np.minimum.reduceat(age, first[:-1])[group]
             owner = np.empty(len(places), np.int64)
             owner[age] = np.arange(len(places))
             origin = owner[least]
-            later = (doc[full][seg] != doc[full][seg[origin]]) | (within != within[origin])
-            out.append((doc[full][seg[later]], within[later], (within + lengths[group] - SIZE)[later]))
+            later = (doc[full][seg] != doc[full][seg[origin]]) | (row[full][seg] != row[full][seg[origin]]) | (within != within[origin])
+            out.append((doc[full][seg[later]], row[full][seg[later]], within[later], (within + lengths[group] - SIZE)[later]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): windows lo .. hi of the document start earlier elsewhere, too; counted in bytes."""
+    """(doc_id, row, lo, hi): windows lo .. hi of the document start earlier elsewhere, too; counted in bytes."""
     return repeated_stretches(docs, _stretches, _details, _compare, other_docs_only=False)
 
 
@@ -214,11 +216,31 @@ def removal(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, kept): every document's remaining bytes; characters cut in two are dropped."""
+    return _kept(docs, repeats(docs), lambda ids, data, offsets, gone: pa.record_batch([ids, _remaining(data, offsets, gone)], ["doc_id", "kept"]), "doc_id long, kept string")
 
-    def text(ids, data, offsets, gone):
-        total = np.concatenate([[0], np.cumsum(gone)])
-        kept = data[~gone].tobytes()
-        bounds = offsets - total[offsets]
-        return pa.record_batch([ids, pa.array([kept[a:b].decode(errors="ignore") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.string())], ["doc_id", "kept"])
 
-    return _kept(docs, repeats(docs), text, "doc_id long, kept string")
+def _remaining(data, offsets, gone) -> pa.Array:
+    total = np.concatenate([[0], np.cumsum(gone)])
+    kept = data[~gone].tobytes()
+    bounds = offsets - total[offsets]
+    return pa.array([kept[a:b].decode(errors="ignore") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.string())
+
+
+def rewritten(docs: DataFrame) -> DataFrame:
+    """The rows of documents, each with the remaining bytes of its own text; rows without doc_id go."""
+    runs = repeats(docs).groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    rows = docs.where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
+    names, place = docs.columns, docs.columns.index("text")
+
+    def apply(batches):
+        for batch in batches:
+            columns = batch.columns
+            all_columns = columns[0].flatten()
+            texts = pa.record_batch([*all_columns, columns[1]], [*(str(i) if i != place else "text" for i in range(len(all_columns))), "runs"])
+            for part, data, offsets in blocks([texts], texts.schema.names):
+                part[place] = _remaining(data, offsets, covered(part.pop(), offsets, len(data), SIZE))
+                yield pa.record_batch(part, names)
+
+    # a struct holds the columns, so that none clashes
+    held = rows.select(F.struct(*names).alias("held"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
+    return held.join(runs, ["doc_id", "row"], "left").select("held", "runs").mapInArrow(apply, rows.schema)

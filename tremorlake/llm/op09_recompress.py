@@ -133,11 +133,11 @@ def _stretches(data: np.ndarray, offsets: np.ndarray):
     return key[lo], same, text[lo], lo - begin, hi - begin
 
 
-def _details(data: np.ndarray, offsets: np.ndarray, ids, text, lo, hi, hot, key):
+def _details(data: np.ndarray, offsets: np.ndarray, ids, rows, text, lo, hi, hot, key):
     _, _, codes, first = _words(data, offsets)
     one, two = mix(span_hashes(codes, WINDOW)), span_hashes(mix(codes), WINDOW)
     k, c, t, p = window_rows(one, two, text, lo, hi, first)
-    again = repeats_of_windows(k, c, ids[t], p, True)
+    again = repeats_of_windows(k, c, ids[t], rows[t], p, True)
     # what is a repeat within the block is known; it goes on by another key that only it has
     with np.errstate(over="ignore"):
         k = np.where(again, mix(k + mix(p.astype(np.uint64) + (t.astype(np.uint64) << np.uint64(40)))), k)
@@ -145,15 +145,15 @@ def _details(data: np.ndarray, offsets: np.ndarray, ids, text, lo, hi, hot, key)
 
 
 def _compare(table: pa.Table):
-    key, check, doc, lo, hi = (table.column(c).to_numpy() for c in ("key", "check", "doc_id", "lo", "hi"))
+    key, check, doc, row, lo, hi = (table.column(c).to_numpy() for c in ("key", "check", "doc_id", "row", "lo", "hi"))
     again = table.column("content").is_valid().to_numpy()
     repeat = again.copy()
-    repeat[~again] = repeats_of_windows(key[~again], check[~again], doc[~again], lo[~again], True)
-    return doc[repeat], lo[repeat], hi[repeat]
+    repeat[~again] = repeats_of_windows(key[~again], check[~again], doc[~again], row[~again], lo[~again], True)
+    return doc[repeat], row[repeat], lo[repeat], hi[repeat]
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): windows lo .. hi of the document also start in a document of smaller doc_id; counted in words."""
+    """(doc_id, row, lo, hi): windows lo .. hi of the document also start in a document of smaller doc_id; counted in words."""
     return repeated_stretches(docs, _stretches, _details, _compare, other_docs_only=True)
 
 

@@ -11,6 +11,9 @@ decides, so equal windows name equal anchors wherever they stand. Neighbouring w
    HOT do, single windows meet by their hashes instead, which spreads them evenly.
 4. The repeated stretches of each document are gathered and applied to its text.
 
+Rows are told apart by doc_id and a hash of their text (``row``): repeated rows are one occurrence, not repeats of each
+other, and what is found in one text is never applied to another that has its doc_id.
+
 Windows are judged on the input. Keys are 64-bit hashes and stretches compare by 128 bits.
 """
 
@@ -28,8 +31,8 @@ HOT = 64
 #: Rows of sorted keys that a worker handles at once, if no key has more.
 CHUNK_ROWS = 150_000
 
-STRETCH = "key long, same long, doc_id long, lo long, hi long, done boolean"
-FOUND = "key long, doc_id long, lo long, hi long, n long"
+STRETCH = "key long, same long, doc_id long, row long, lo long, hi long, done boolean"
+FOUND = "key long, doc_id long, row long, lo long, hi long, n long"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -48,19 +51,27 @@ def anchor_stretches(anchor: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(new), np.flatnonzero(last)
 
 
-def merge_runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unites ranges of windows of a document that touch."""
+def new_occurrence(same_as_before: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """False where a row, in sorted order, is of the class and the place (doc_id, row, lo) of the one before it."""
+    out = ~same_as_before
+    for x in place:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def merge_runs(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unites ranges of windows of a row that touch."""
     if not len(doc):
-        return doc, lo, hi
-    order = np.lexsort([lo, doc])
-    doc, lo, hi = doc[order], lo[order], hi[order]
+        return doc, row, lo, hi
+    order = np.lexsort([lo, row, doc])
+    doc, row, lo, hi = doc[order], row[order], lo[order], hi[order]
     reach = np.zeros(len(doc), np.int64)
-    bounds = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+    bounds = np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))), len(doc))
     shift = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * (int(hi.max()) + 2)
     reach = np.maximum.accumulate(hi + shift)
     new = np.append(True, lo[1:] + shift[1:] > reach[:-1] + 1)
     start = np.flatnonzero(new)
-    return doc[start], lo[start], np.maximum.reduceat(hi, start)
+    return doc[start], row[start], lo[start], np.maximum.reduceat(hi, start)
 
 
 def first_flags(same_as_before: np.ndarray, doc: np.ndarray, other_docs_only: bool) -> np.ndarray:
@@ -73,19 +84,25 @@ def first_flags(same_as_before: np.ndarray, doc: np.ndarray, other_docs_only: bo
     return doc == np.repeat(doc[at], np.diff(np.append(at, len(doc))))
 
 
-def _block_rows(key, same, doc, lo, hi, other_docs_only):
-    """Stretches of a block after merging equal ones."""
-    order = np.lexsort([lo, doc, same, key])
-    key, same, doc, lo, hi = (x[order] for x in (key, same, doc, lo, hi))
+def _occurrences(key, same, doc, row, lo, hi):
+    """Stretches in order, each place once, and which are equal to the one before."""
+    order = np.lexsort([lo, row, doc, same, key])
+    key, same, doc, row, lo, hi = (x[order] for x in (key, same, doc, row, lo, hi))
     equal = np.append(False, (key[1:] == key[:-1]) & (same[1:] == same[:-1])) if len(key) else np.zeros(0, bool)
+    return [x[new_occurrence(equal, doc, row, lo)] for x in (key, same, doc, row, lo, hi, equal)]
+
+
+def _block_rows(key, same, doc, row, lo, hi, other_docs_only):
+    """Stretches of a block after merging equal ones."""
+    key, same, doc, row, lo, hi, equal = _occurrences(key, same, doc, row, lo, hi)
     first = first_flags(equal, doc, other_docs_only)
-    rdoc, rlo, rhi = merge_runs(doc[~first], lo[~first], hi[~first])
+    rdoc, rrow, rlo, rhi = merge_runs(doc[~first], row[~first], lo[~first], hi[~first])
     with np.errstate(over="ignore"):
         spread = mix(rdoc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rlo.astype(np.uint64))
     n = len(rdoc)
     return pa.record_batch(
-        [pa.array(np.concatenate([_signed(key[first]), _signed(spread)])), pa.array(np.concatenate([_signed(same[first]), np.zeros(n, np.int64)])), pa.array(np.concatenate([doc[first], rdoc])), pa.array(np.concatenate([lo[first], rlo])), pa.array(np.concatenate([hi[first], rhi])), pa.array(np.concatenate([np.zeros(int(first.sum()), bool), np.ones(n, bool)]))],
-        ["key", "same", "doc_id", "lo", "hi", "done"],
+        [pa.array(np.concatenate([_signed(key[first]), _signed(spread)])), pa.array(np.concatenate([_signed(same[first]), np.zeros(n, np.int64)])), pa.array(np.concatenate([doc[first], rdoc])), pa.array(np.concatenate([row[first], rrow])), pa.array(np.concatenate([lo[first], rlo])), pa.array(np.concatenate([hi[first], rhi])), pa.array(np.concatenate([np.zeros(int(first.sum()), bool), np.ones(n, bool)]))],
+        ["key", "same", "doc_id", "row", "lo", "hi", "done"],
     )
 
 
@@ -113,66 +130,70 @@ def by_key(batches, rows: int = CHUNK_ROWS):
 def _resolve(other_docs_only):
     def resolve(batches):
         for table in by_key(batches):
-            key, same, doc, lo, hi = (table.column(c).to_numpy() for c in ("key", "same", "doc_id", "lo", "hi"))
+            key, same, doc, row, lo, hi = (table.column(c).to_numpy() for c in ("key", "same", "doc_id", "row", "lo", "hi"))
             done = table.column("done").to_numpy(zero_copy_only=False)
-            out = [(np.zeros(int(done.sum()), np.int64), doc[done], lo[done], hi[done], np.full(int(done.sum()), -1))]
-            key, same, doc, lo, hi = (x[~done] for x in (key, same, doc, lo, hi))
+            out = [(np.zeros(int(done.sum()), np.int64), doc[done], row[done], lo[done], hi[done], np.full(int(done.sum()), -1))]
+            key, same, doc, row, lo, hi = (x[~done] for x in (key, same, doc, row, lo, hi))
             if len(key):
-                order = np.lexsort([lo, doc, same, key])
-                key, same, doc, lo, hi = (x[order] for x in (key, same, doc, lo, hi))
+                key, same, doc, row, lo, hi, equal = _occurrences(key, same, doc, row, lo, hi)
                 new_key = np.append(True, key[1:] != key[:-1])
-                equal = np.append(False, (key[1:] == key[:-1]) & (same[1:] == same[:-1]))
                 first = first_flags(equal, doc, other_docs_only)
                 group = np.cumsum(new_key) - 1
                 n = np.bincount(group, weights=~equal).astype(np.int64)[group]
-                rdoc, rlo, rhi = merge_runs(doc[~first], lo[~first], hi[~first])
-                out.append((np.zeros(len(rdoc), np.int64), rdoc, rlo, rhi, np.full(len(rdoc), -1)))
+                rdoc, rrow, rlo, rhi = merge_runs(doc[~first], row[~first], lo[~first], hi[~first])
+                out.append((np.zeros(len(rdoc), np.int64), rdoc, rrow, rlo, rhi, np.full(len(rdoc), -1)))
                 look = first & (n > 1)
-                out.append((key[look], doc[look], lo[look], hi[look], n[look]))
-            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["key", "doc_id", "lo", "hi", "n"])
+                out.append((key[look], doc[look], row[look], lo[look], hi[look], n[look]))
+            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["key", "doc_id", "row", "lo", "hi", "n"])
 
     return resolve
 
 
+def by_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text) of clean documents."""
+    return clean_docs(docs).select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
 def repeated_stretches(docs: DataFrame, stretches, details, compare, other_docs_only: bool) -> DataFrame:
-    """(doc_id, lo, hi): first and last repeated window of stretches of windows.
+    """(doc_id, row, lo, hi): first and last repeated window of stretches of windows.
 
     stretches(data, offsets) -> key, same (uint64), text index, lo, hi of a block's stretches.
-    details(data, offsets, doc_ids, text index, lo, hi, hot, key) -> dicts of rows for compare: key, check, text, lo, hi, content.
-    compare(table) -> doc_id, lo, hi of the repeats among whole keys.
+    details(data, offsets, doc_ids, rows, text index, lo, hi, hot, key) -> dicts of rows for compare: key, check, text, lo, hi, content.
+    compare(table) -> doc_id, row, lo, hi of the repeats among whole keys.
     """
-    texts = clean_docs(docs)
+    texts = by_text(docs)
 
     def find(batches):
-        for (ids,), data, offsets in blocks(batches):
-            ids = np.asarray(ids)
+        for (ids, rows), data, offsets in blocks(batches, ("doc_id", "row")):
+            ids, rows = np.asarray(ids), np.asarray(rows)
             key, same, text, lo, hi = stretches(data, offsets)
-            yield _block_rows(key, same, ids[text], lo, hi, other_docs_only)
+            yield _block_rows(key, same, ids[text], rows[text], lo, hi, other_docs_only)
 
     rows = texts.mapInArrow(find, STRETCH).repartition("key").sortWithinPartitions("key")
     found = written(rows.mapInArrow(_resolve(other_docs_only), FOUND), "stretches")
 
-    need = found.where("n > 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "lo", "hi", "n")).alias("look"))
+    need = found.where("n > 1").groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "lo", "hi", "n")).alias("look"))
 
     def cut(batches):
-        for (ids, look), data, offsets in blocks(batches, ("doc_id", "look")):
-            ids = np.asarray(ids)
-            counts = np.diff(np.asarray(look.offsets))
+        for (ids, rows, look), data, offsets in blocks(batches, ("doc_id", "row", "look")):
+            ids, rows = np.asarray(ids), np.asarray(rows)
+            order = np.lexsort([rows, ids])
+            once = np.zeros(len(ids), bool)
+            once[order] = new_occurrence(np.append(False, np.ones(len(ids) - 1, bool)), ids[order], rows[order])
+            text = np.repeat(np.arange(len(ids)), np.diff(np.asarray(look.offsets)))
             flat = look.flatten()
-            key, lo, hi, n = (flat.field(i).to_numpy() for i in range(4))
-            text = np.repeat(np.arange(len(ids)), counts)
-            for part in details(data, offsets, ids, text, lo, hi, n > HOT, key):
-                doc = pa.array(ids[part["text"]])
-                yield pa.record_batch([pa.array(part["key"]), pa.array(part["check"]), doc, pa.array(part["lo"]), pa.array(part["hi"]), part["content"]], ["key", "check", "doc_id", "lo", "hi", "content"])
+            key, lo, hi, n = (flat.field(i).to_numpy()[once[text]] for i in range(4))
+            text = text[once[text]]
+            for part in details(data, offsets, ids, rows, text, lo, hi, n > HOT, key):
+                yield pa.record_batch([pa.array(part["key"]), pa.array(part["check"]), pa.array(ids[part["text"]]), pa.array(rows[part["text"]]), pa.array(part["lo"]), pa.array(part["hi"]), part["content"]], ["key", "check", "doc_id", "row", "lo", "hi", "content"])
 
     def settle(batches):
         for table in by_key(batches):
-            doc, lo, hi = merge_runs(*compare(table))
-            yield pa.record_batch([pa.array(doc), pa.array(lo), pa.array(hi)], ["doc_id", "lo", "hi"])
+            yield pa.record_batch([pa.array(x) for x in merge_runs(*compare(table))], ["doc_id", "row", "lo", "hi"])
 
-    close = texts.join(need, "doc_id").select("doc_id", "text", "look").mapInArrow(cut, "key long, check long, doc_id long, lo long, hi long, content binary")
-    settled = close.repartition("key").sortWithinPartitions("key").mapInArrow(settle, "doc_id long, lo long, hi long")
-    return found.where("n < 0").select("doc_id", "lo", "hi").unionByName(settled)
+    close = texts.join(need, ["doc_id", "row"]).select("doc_id", "row", "text", "look").mapInArrow(cut, "key long, check long, doc_id long, row long, lo long, hi long, content binary")
+    settled = close.repartition("key").sortWithinPartitions("key").mapInArrow(settle, "doc_id long, row long, lo long, hi long")
+    return found.where("n < 0").select("doc_id", "row", "lo", "hi").unionByName(settled)
 
 
 def window_rows(hash_one, hash_two, text, lo, hi, first_item):
@@ -184,20 +205,24 @@ def window_rows(hash_one, hash_two, text, lo, hi, first_item):
     return hash_one[place], hash_two[place], which, at
 
 
-def repeats_of_windows(key, check, doc, lo, other_docs_only) -> np.ndarray:
+def repeats_of_windows(key, check, doc, row, lo, other_docs_only) -> np.ndarray:
     """For rows of single windows, which are repeats of an earlier row."""
-    order = np.lexsort([lo, doc, check, key])
-    k, c, d = key[order], check[order], doc[order]
+    order = np.lexsort([lo, row, doc, check, key])
+    k, c, d, r, p = key[order], check[order], doc[order], row[order], lo[order]
     equal = np.append(False, (k[1:] == k[:-1]) & (c[1:] == c[:-1])) if len(k) else np.zeros(0, bool)
+    again = ~first_flags(equal, d, other_docs_only)
+    if len(k):  # a place that comes several times is what it is the first time
+        new = np.flatnonzero(new_occurrence(equal, d, r, p))
+        again = np.repeat(again[new], np.diff(np.append(new, len(k))))
     out = np.zeros(len(key), bool)
-    out[order] = ~first_flags(equal, d, other_docs_only)
+    out[order] = again
     return out
 
 
 def with_stretches(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """(doc_id, text, runs): each document with its repeated stretches as an array of (lo, hi), null where none."""
-    runs = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return clean_docs(docs).join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    """(doc_id, text, runs): each row with its repeated stretches as an array of (lo, hi), null where none."""
+    runs = repeats.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    return by_text(docs).join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
 
 
 def covered(runs: pa.Array, first_item: np.ndarray, n_items: int, size: int) -> np.ndarray:
