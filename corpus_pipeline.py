@@ -35,8 +35,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark."""
-    clean = op03_winnow.contamination(docs, read_table(spark, sf_dir, "benchmark")).where("NOT contaminated").select("doc_id").distinct()
+    """Documents without any window of the benchmark in any row of their doc_id."""
+    clean = op03_winnow.contamination(docs, read_table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.bool_or("contaminated").alias("hit")).where("NOT hit")
     return docs.join(clean, "doc_id", "left_semi")
 
 

@@ -9,19 +9,21 @@ for the n words in order, and a second independent hash of the whole window).
 
 The benchmark is collected only in blocks of at most ITEM_BLOCK items and BLOCK_TEXT bytes; each block is broadcast
 and passes over the documents once, so a benchmark of any size is handled. Null texts have no words; empty tables give
-an empty result or no hits. Repeated items (same item_id) count once in n_items.
+an empty result or no hits. Repeated items (same item_id) count once in n_items. Items without item_id count in n_hit
+and contaminated; having no name, they are not in n_items and items_sha256. Every row of documents gives a row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RunHasher, blocks, clean_docs, mix, sliding_min, span_hashes, words_of
+from .common import LOWER, RunHasher, blocks, clean_docs, mix, sliding_min, span_hashes, words_of, written
 
 WINDOW = 10
 K = 4
@@ -60,9 +62,9 @@ def _ends_of(first: np.ndarray, n_words: int) -> np.ndarray:
 class Benchmark:
     """Fingerprints and windows of a block of items, by window length."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         hasher = RunHasher()
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         self.by_length: dict[int, dict] = {}
         found: dict[int, list] = {}
         for name, text in items:
@@ -74,7 +76,7 @@ class Benchmark:
             one, two = _window_codes(codes, n)
             prints = np.unique(mix(span_hashes(codes, min(K, n)))[_fingerprints(codes, n, _ends_of(first, len(codes)))])
             found.setdefault(n, []).append((one, two, np.full(len(one), len(self.names)), prints))
-            self.names.append(str(name))
+            self.names.append(None if name is None else str(name))
         for n, got in found.items():
             one, two, item = (np.concatenate([g[i] for g in got]) for i in range(3))
             order = np.lexsort([item, two, one])
@@ -111,7 +113,7 @@ class Benchmark:
 def item_blocks(benchmark: DataFrame):
     """The benchmark's items in bounded blocks."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     for row in rows.toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1])
@@ -123,6 +125,8 @@ def item_blocks(benchmark: DataFrame):
 
 
 def _scan(docs: DataFrame, block: list, digest: bool) -> DataFrame:
+    """SCHEMA for rows (doc_id, text); without digest, what merges blocks, for rows (row, text)."""
+    key = "doc_id" if digest else "row"
     shared = docs.sparkSession.sparkContext.broadcast(block)
     made: list = []
 
@@ -130,12 +134,12 @@ def _scan(docs: DataFrame, block: list, digest: bool) -> DataFrame:
         if not made:
             made.append(Benchmark(shared.value))
         bench, hasher = made[0], RunHasher()
-        for (ids,), data, offsets in blocks(batches):
+        for (ids,), data, offsets in blocks(batches, (key,)):
             _, _, codes, first = words_of(LOWER[data], offsets, WORD, hasher)
             hit, named = np.zeros(len(codes), bool), {}
             for s, n, items in bench.hits(codes, first):
                 hit[s : s + n] = True
-                named.setdefault(int(np.searchsorted(first, s, "right")) - 1, set()).update(bench.names[i] for i in items)
+                named.setdefault(int(np.searchsorted(first, s, "right")) - 1, set()).update(bench.names[i] for i in items if bench.names[i] is not None)
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = total[first[1:]] - total[first[:-1]]
             names = [sorted(named.get(i, ())) for i in range(len(n_hit))]
@@ -146,20 +150,23 @@ def _scan(docs: DataFrame, block: list, digest: bool) -> DataFrame:
                 for s in np.flatnonzero(hit).tolist():
                     d = int(np.searchsorted(first, s, "right")) - 1
                     runs[d].append(s - int(first[d]))
-                yield pa.record_batch([ids, pa.array(np.diff(first), pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "n_words", "hit_words", "items"])
+                yield pa.record_batch([ids, pa.array(np.diff(first), pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], [key, "n_words", "hit_words", "items"])
 
-    return clean_docs(docs).mapInArrow(scan, SCHEMA if digest else "doc_id long, n_words long, hit_words array<long>, items array<string>")
+    return docs.mapInArrow(scan, SCHEMA if digest else "row long, n_words long, hit_words array<long>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document the words hit by the benchmark's windows and the items they come from (SCHEMA)."""
-    blocks_of = list(item_blocks(benchmark.limit(ITEM_BLOCK + 1)))
-    if len(blocks_of) <= 1:  # all of it fits one block: no shuffle at all
-        return _scan(docs, blocks_of[0] if blocks_of else [], True)
+    texts, rest = clean_docs(docs), item_blocks(benchmark)
+    first, second = next(rest, []), next(rest, None)
+    if second is None:  # all of it fits one block: no shuffle at all
+        return _scan(texts, first, True)
+    # blocks are merged by rows, as rows may share a doc_id; written out once, so that each pass finds the same numbers
+    rows = written(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
     parts = None
-    for block in item_blocks(benchmark):
-        part = _scan(docs, block, False)
+    for block in itertools.chain([first, second], rest):
+        part = _scan(rows.select("row", "text"), block, False)
         parts = part if parts is None else parts.unionByName(part)
-    # repeated rows of a document have equal texts only if their ids are unique; ids are what results are reported by
-    merged = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("hit_words")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("hit_words")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    named = rows.select("row", "doc_id").join(merged, "row")
+    return named.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
