@@ -9,7 +9,7 @@ from tremorlake.functions import geo
 from tremorlake.operators import catalogue as ops
 
 from . import views as v
-from .registry import query
+from .registry import query, whole
 
 START = 1704067200.0  # of the detections' tables
 
@@ -101,9 +101,14 @@ def a15(spark, sf):
 
 
 @query("a16_regional_counts", v.with_views("origin", "site") + ", s AS (SELECT sta, lon AS slon, lat AS slat FROM site) SELECT sta, count(*) FILTER (degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(slat)) + cos(radians(lat))*cos(radians(slat))*cos(radians(lon)-radians(slon)))))) <= 6) AS n FROM s, origin WHERE orid % 20 = 0 GROUP BY sta")
-def a16(spark, sf):
+def a16(spark, sf, some="orid % 20 = 0"):
     sites = v.site(spark, sf).select("sta", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
-    return ops.regional_counts(sites, v.origin(spark, sf).where("orid % 20 = 0"), 6.0)
+    return ops.regional_counts(sites, v.origin(spark, sf).where(some), 6.0)
+
+
+@whole("a16_regional_counts", (" WHERE orid % 20 = 0", ""))
+def a16w(spark, sf):
+    return a16(spark, sf, "true")
 
 
 @query("a17_distinct", "SELECT DISTINCT user_id AS sta, event_type AS iphase FROM events")
@@ -151,9 +156,14 @@ def a24(spark, sf):
 
 
 @query("a25_location_prior", v.with_views("origin") + ", g AS (SELECT unnest(generate_series(0, 11)) AS i), c AS (SELECT a.i * 30.0 - 165 AS glon, b.i * 15.0 - 82.5 AS glat FROM g a, g b) SELECT CAST(glon AS DOUBLE) AS glon, CAST(glat AS DOUBLE) AS glat, round(sum(exp(-degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(glat)) + cos(radians(lat))*cos(radians(glat))*cos(radians(lon)-radians(glon)))))) / 5.0)), 5) AS w FROM c, origin WHERE orid % 10 = 0 GROUP BY 1, 2")
-def a25(spark, sf):
+def a25(spark, sf, some="orid % 10 = 0"):
     grid = spark.range(144).select((F.floor(F.col("id") / 12) * 30.0 - 165).alias("glon"), (F.col("id") % 12 * 15.0 - 82.5).alias("glat"))
-    return ops.location_prior(v.origin(spark, sf).where("orid % 10 = 0"), grid, 5.0).select("glon", "glat", F.round("w", 5).alias("w"))
+    return ops.location_prior(v.origin(spark, sf).where(some), grid, 5.0).select("glon", "glat", F.round("w", 5).alias("w"))
+
+
+@whole("a25_location_prior", (" WHERE orid % 10 = 0", ""))
+def a25w(spark, sf):
+    return a25(spark, sf, "true")
 
 
 @query("a26_estimators", "WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1) SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(med), 6) AS center, round(avg(abs(value - med)), 6) AS scale, round(avg(ln(value)), 6) AS mu, round(stddev_pop(ln(value)), 6) AS sigma, round(pow(avg(value), 2) / var_pop(value), 6) AS shape FROM events JOIN m USING (event_type) GROUP BY 1")
