@@ -1,10 +1,12 @@
 """Queries over whole tables against brute force."""
 
+import datetime
 import os
 
 import numpy as np
 import pytest
 
+from tremorlake.operators import models
 from tremorlake.plans import catalogue
 from tremorlake.plans import views as v
 
@@ -39,3 +41,30 @@ def test_array_sites_are_multiples_of_ten(spark):
     # j24's condition on the array leaves nothing out: refsta names no other sites
     s = v.site(spark, SF)
     assert s.where("refsta % 10 <> 0").isEmpty()
+
+
+def test_process_of_many_points_is_the_dense_one(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 40, 3000).astype(float), rng.normal(5, 2, 3000)
+    rows = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y)], "sta int, x double, y double")
+    got = models.gaussian_process(rows, ["sta"], [3.0, 90.0], "x", "y", 10.0, 0.5).orderBy("at").toPandas()
+    kernel = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None, :]) / 10.0) ** 2)
+    q = np.array([3.0, 90.0])
+    weights = np.linalg.solve(kernel(x, x) + 0.25 * np.eye(3000), kernel(x, q))
+    assert np.allclose(got["mean"], y.mean() + weights.T @ (y - y.mean()))
+    assert np.allclose(got["var"], 1.25 - (weights * kernel(x, q)).sum(axis=0))
+
+
+def test_all_stations_have_a_process(spark):
+    got = QUERIES["m08_gaussian_process"](spark, "/root/testdata/sf0.01").select("sta").distinct().count()
+    assert got == v.arrival(spark, "/root/testdata/sf0.01").select("sta").distinct().count() > 20
+
+
+def test_all_events_are_located_from_all_stations(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(s, float(s)) for s in range(20, 40)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, at, i % 5, "view", 1.0) for i in range(57, 90)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["m22_locations"](spark, str(tmp_path)).toPandas().set_index("evid")
+    gold = v.gold(spark, str(tmp_path)).toPandas().set_index("id").loc[got.index]
+    assert sorted(got.index) == list(range(57, 90, 3))
+    assert np.median(np.diag(degrees(got, gold))) < 0.05

@@ -46,23 +46,25 @@ def robust_line(rows: DataFrame, keys: list[str], x: str, y: str, rounds: int =
 
 def gaussian_process(rows: DataFrame, keys: list[str], at: list[float], x: str, y: str, length: float, noise: float, most: int = 2000) -> DataFrame:
     """(keys, x, mean, var): posterior of a Gaussian process with a squared-exponential kernel at some points, per group.
-    A group has at most ``most`` points; a larger one is an error, not a sample."""
+    Points of one x are summed by Spark first: their mean with the noise of so many is exactly what they say together. A
+    group has any number of points at ``most`` different x; one with more is an error, not a sample."""
+    points = rows.groupBy(*keys, F.col(x).alias("_x")).agg(F.avg(y).alias("_y"), F.count(y).alias("_n"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         if len(part) > most:
-            raise ValueError(f"{len(part)} points in a group of a dense process; at most {most}")
-        part = part.sort_values([x, y], kind="stable")
-        px, py, q = part[x].to_numpy(float), part[y].to_numpy(float), np.array(at, float)
+            raise ValueError(f"{len(part)} different places in a group of a dense process; at most {most}")
+        part = part.sort_values("_x", kind="stable")
+        px, py, n, q = part["_x"].to_numpy(float), part["_y"].to_numpy(float), part["_n"].to_numpy(float), np.array(at, float)
         kernel = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None, :]) / length) ** 2)
-        low = np.linalg.cholesky(kernel(px, px) + noise**2 * np.eye(len(px)))
-        mean0 = py.mean()
+        low = np.linalg.cholesky(kernel(px, px) + np.diag(noise**2 / n))
+        mean0 = (n * py).sum() / n.sum()
         cross = np.linalg.solve(low, kernel(px, q))
         mean = mean0 + cross.T @ np.linalg.solve(low, py - mean0)
         var = 1 + noise**2 - (cross**2).sum(axis=0)
         return pd.DataFrame({**{k: [part[k].iloc[0]] * len(q) for k in keys}, "at": q, "mean": mean, "var": var})
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
-    return rows.groupBy(*keys).applyInPandas(fit, f"{base}, at double, mean double, var double")
+    return points.groupBy(*keys).applyInPandas(fit, f"{base}, at double, mean double, var double")
 
 
 def cross_validated(rows: DataFrame, key: str, x: str, y: str, k: int = 5) -> DataFrame:

@@ -47,13 +47,18 @@ def j05(spark, sf):
 
 
 @query("j06_nested_lists", v.with_views("origin", "assoc", "arrival") + ", d AS (SELECT DISTINCT orid, arid FROM assoc JOIN arrival USING (arid) WHERE timedef = 'd') SELECT orid, count(arid) AS n, string_agg(CAST(arid AS VARCHAR), ',' ORDER BY arid) AS arids FROM origin LEFT JOIN d USING (orid) WHERE orid < 2000 GROUP BY orid")
-def j06(spark, sf):
+def j06(spark, sf, some="orid < 2000"):
     d = v.assoc(spark, sf).where("timedef = 'd'").join(v.arrival(spark, sf).select("arid"), "arid").select("orid", "arid").distinct()
     nested = d.groupBy("orid").agg(F.array_sort(F.collect_list("arid")).alias("list"))  # an event's own detections
-    out = v.origin(spark, sf).where("orid < 2000").select("orid").join(nested, "orid", "left")
+    out = v.origin(spark, sf).where(some).select("orid").join(nested, "orid", "left")
     return out.select("orid", F.coalesce(F.size("list"), F.lit(0)).cast("bigint").alias("n"), F.array_join("list", ",").alias("arids"))
 
 
+@whole("j06_nested_lists", (" WHERE orid < 2000", ""))
+def j06w(spark, sf):
+    return j06(spark, sf, "true")
+
+
 @query("j07_join_using", v.with_views("origin", "assoc") + "SELECT orid, count(*) AS n, max(mb) AS mb FROM origin JOIN assoc USING (orid) GROUP BY orid")
 def j07(spark, sf):
     n = v.assoc(spark, sf).groupBy("orid").agg(F.count("*").alias("n"))  # before the join: fewer rows to shuffle
