@@ -68,3 +68,17 @@ def test_all_events_are_located_from_all_stations(spark, tmp_path):
     gold = v.gold(spark, str(tmp_path)).toPandas().set_index("id").loc[got.index]
     assert sorted(got.index) == list(range(57, 90, 3))
     assert np.median(np.diag(degrees(got, gold))) < 0.05
+
+
+@pytest.mark.parametrize("shuffles", ["1", "7"])
+def test_every_row_has_its_place(spark, shuffles):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    try:
+        arrivals = v.arrival(spark, SF).toPandas().sort_values(["time", "arid"])["arid"].tolist()
+        sites = v.site(spark, SF).toPandas().sort_values(["statype", "ondate", "sta"], ascending=[True, False, True])["sta"].tolist()
+        for name, key, want in (("k01_order_whole", "arid", arrivals), ("k02_multi_key_whole", "sta", sites)):
+            got = QUERIES[name](spark, SF).toPandas().sort_values("place")
+            assert got[key].tolist() == want and got["place"].tolist() == list(range(1, len(want) + 1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

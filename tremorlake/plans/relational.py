@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
 from tremorlake.operators import catalogue as ops
+from tremorlake.operators import sequences
 
 from . import views as v
 from .registry import query, whole
@@ -257,11 +258,23 @@ def k01(spark, sf):
     return v.arrival(spark, sf).orderBy("time", "arid").limit(100).select("arid", F.row_number().over(Window.orderBy("time", "arid")).cast("bigint").alias("place"))
 
 
+@whole("k01_order", (" ORDER BY time, arid LIMIT 100", ""))
+def k01w(spark, sf):
+    places = sequences.ordinal(v.arrival(spark, sf).select("arid", "time"), [], ["time", "arid"], "place")
+    return places.select("arid", (F.col("place") + 1).alias("place"))
+
+
 @query("k02_multi_key", v.with_views("site") + "SELECT sta, ondate FROM site ORDER BY statype, ondate DESC, sta LIMIT 20")
 def k02(spark, sf):
     return v.site(spark, sf).orderBy("statype", F.desc("ondate"), "sta").limit(20).select("sta", "ondate")
 
 
+@query("k02_multi_key_whole", v.with_views("site") + "SELECT sta, ondate, CAST(row_number() OVER (ORDER BY statype, ondate DESC, sta) AS BIGINT) AS place FROM site")
+def k02w(spark, sf):
+    places = sequences.ordinal(v.site(spark, sf).select("sta", "statype", "ondate"), [], ["statype", F.desc("ondate"), "sta"], "place")
+    return places.select("sta", "ondate", (F.col("place") + 1).alias("place"))
+
+
 @query("k03_stations_by_distance", v.with_views("site") + "SELECT sta, round(degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(10.0)) + cos(radians(lat))*cos(radians(10.0))*cos(radians(lon)-radians(20.0)))))), 4) AS d FROM site ORDER BY d, sta LIMIT 10")
 def k03(spark, sf):
     return v.site(spark, sf).select("sta", F.round(geo.dist_deg_acos("lon", "lat", 20.0, 10.0), 4).alias("d")).orderBy("d", "sta").limit(10)
