@@ -1,4 +1,4 @@
-"""Benchmarks with items without an id, in one block and in several, and documents that share a doc_id."""
+"""Benchmarks with items without an id, broadcast and joined, and documents that share a doc_id."""
 
 from collections import Counter
 
@@ -25,14 +25,14 @@ def test_items_without_an_id(spark, monkeypatch):
     assert any(x[4] and not named[i][4] for i, x in plain.items())
     bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
     assert counts(op03_winnow.contamination(table(spark, PAIRS), bench)) == want
-    # a null id among the first ITEM_BLOCK + 1 items must not end the scan after one block
-    monkeypatch.setattr(op03_winnow, "ITEM_BLOCK", 2)
+    # the same by shuffled joins as by a broadcast index
+    monkeypatch.setattr(op03_winnow, "MOST_WINDOWS", 0)
     assert counts(op03_winnow.contamination(table(spark, PAIRS), bench)) == want
-    # rows that share a doc_id give a row each in one block as in several
-    twice = PAIRS + [(i, "other") for i, _ in PAIRS]
-    several = counts(op03_winnow.contamination(table(spark, twice), bench))
-    monkeypatch.setattr(op03_winnow, "ITEM_BLOCK", 100)
-    assert several == counts(op03_winnow.contamination(table(spark, twice), bench)) and several.total() == len(twice)
+    # rows that share a doc_id give a row each, repeated ones or not, by both
+    twice = PAIRS + [(i, "other") for i, _ in PAIRS] + PAIRS[:15]
+    joined = counts(op03_winnow.contamination(table(spark, twice), bench))
+    monkeypatch.setattr(op03_winnow, "MOST_WINDOWS", 10**6)
+    assert joined == counts(op03_winnow.contamination(table(spark, twice), bench)) and joined.total() == len(twice)
 
 
 def test_pipeline_drops_what_any_row_of_a_document_leaks(spark, tmp_path):

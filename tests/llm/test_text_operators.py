@@ -117,12 +117,13 @@ def test_contamination(spark, docs, empty):
     assert not any(r[1] for r in rows_of(op03_winnow.contamination(docs, bench.where("false"))).values())
 
 
-def test_contamination_in_blocks(spark, docs, monkeypatch):
-    monkeypatch.setattr(op03_winnow, "ITEM_BLOCK", 2)
+def test_contamination_by_joins(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(op03_winnow, "MOST_WINDOWS", 0)
     text = [t for _, t in PAIRS if t and len(t.split()) > 30]
-    items = [(k, " ".join(t.split()[3:15])) for k, t in enumerate(text[:7])]
+    items = [(k, " ".join(t.split()[3:15])) for k, t in enumerate(text[:7])] + [(8, "one"), (9, "Two WORDS"), (10, "two words"), (11, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert rows_of(op03_winnow.contamination(docs, bench)) == cases.contamination(PAIRS, items)
+    assert not rows_of(op03_winnow.contamination(empty, bench))
 
 
 def test_near_duplicates(docs, empty):
