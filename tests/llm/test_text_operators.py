@@ -146,7 +146,7 @@ def test_t_occurrence():
     lists = [np.sort(rng.choice(300, k, replace=False)) for k in (3, 10, 40, 120, 200, 290, 299)]
     count = np.bincount(np.concatenate(lists), minlength=300)
     for least in range(1, 8):
-        docs, n = op05_divideskip.t_occurrence(lists, least, 300)
+        docs, n = op05_divideskip.t_occurrence(lists, least)
         assert docs.tolist() == np.flatnonzero(count >= least).tolist() and n.tolist() == count[count >= least].tolist()
 
 

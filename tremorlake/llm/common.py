@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer text makes a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Rows of a block at most, so that a row's place fits 16 bits.
+BLOCK_ROWS = 1 << 15
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """A table of a folder. Where the session has Spark's own limit of rows for an Arrow batch, it gets a lower one: a batch of long texts has to fit a
+    worker. A session that sets its own keeps it."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,21 +37,38 @@ def clean_docs(docs: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a table that executors write and read: below spark.checkpoint.dir, a temporary one only where that is unset."""
+    """A new folder for a table that executors write and read, below spark.checkpoint.dir. Only a local session, whose executors are the driver,
+    may do without that setting; it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
 
 
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of written tables that nothing will read again."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            jvm, hadoop = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
 
 
 def blocks(batches, columns=("doc_id",), most=BLOCK_BYTES):
-    """(columns as Arrow arrays, bytes, offsets) of at most ``most`` bytes of text, in the order of rows."""
+    """(columns as Arrow arrays, bytes, offsets) of at most ``most`` bytes of text and BLOCK_ROWS rows, in the order of rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -54,7 +78,7 @@ def blocks(batches, columns=("doc_id",), most=BLOCK_BYTES):
         i = 0
         while i < len(text):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-            j = min(j, len(text))
+            j = min(j, i + BLOCK_ROWS, len(text))
             part = batch.slice(i, j - i)
             yield [part.column(part.schema.get_field_index(c)) for c in columns], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # then every node and its smaller neighbours go to the least of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -1,32 +1,37 @@
 """Near duplicates by an exact Jaccard join of word 5-gram sets, searched by T-occurrence with DivideSkip.
 
-1. Documents with equal sets form a class (by size and 128 bits of their sets' sums); the least doc_id stands for it.
+1. Documents with equal sets form a class (by size and 128 bits of their sets' sums), whose number is its node.
 2. Shingles have one global order: those of few documents first. Two sets that link share s of their first
    n - ceil(0.75 n) + s shingles in that order, where s is a tenth of the smaller size (SHARED at least, or all that small
-   sets need), so lists of these shingles name all candidates. Documents are tied if s short lists (of at most SHORT
-   documents) hold both, or if one long list does and their sizes, or those of a chain of documents between them, allow
-   a link. Components of ties are candidate groups, and no link leaves a group. A document has at most SHORT partners on a short list; long lists make stars.
+   sets need), so lists of these shingles name all candidates. Classes are tied if s short lists (of at most SHORT
+   classes) hold both, or if one long list does and their sizes, or those of a chain of classes between them, allow
+   a link. Components of ties are candidate groups, and no link leaves a group. A class has at most SHORT partners on a short
+   list; long lists make stars and are read as a stream. Lists of VERY_LONG classes or more are not made: their members
+   are tied to a node of their shingle and size, and these nodes to each other.
 3. In a group the sets' inverted lists are searched: a query has to meet T of its lists; its L longest lists are put
    aside, the short ones are merged, documents with T - L hits are probed in the long ones by binary search. Links are
-   decided on exact counts. A group is split into blocks of about BLOCK documents: first all blocks meet the first one,
-   then whatever isn't in the group's largest component meets all blocks. Documents that are connected already
-   needn't meet, so large groups of copies cost little, and no link between components is missed.
-
-Documents without words have empty sets and link with nothing. Those with fewer than 5 words have one shingle. The
-table of frequent shingles holds MOST_HOT entries at most and only orders the lists; results don't depend on it. Rows
-that share a doc_id count as one document whose component is that of any of them. Empty tables give empty results.
+   decided on exact counts. A group is split into blocks of about BLOCK classes: first all blocks meet the first one,
+   then whatever isn't in the group's largest component meets all blocks. Classes that are connected already
+   needn't meet, so large groups of near copies cost little, and no link between components is missed. A group whose members
+   seldom link costs a search of every block in every other one.
+
+A null text is an empty one; texts of any length are whole. Documents without words have empty sets and link with nothing. Those
+with fewer than WORDS words have one shingle. Rows are told apart by their text: rows that share a doc_id and not the text
+are documents of their own, repeated rows get the same values. Empty tables give empty results. The table of frequent shingles
+holds MOST_HOT entries at most and only orders the lists; results don't depend on it. Classes of many copies are dealt by
+broadcast (MOST_HOT_CLASSES at most), the others by a shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, RunHasher, blocks, clean_docs, mix, ragged, span_hashes, words_of, written
+from .common import LOWER, SPACE, RunHasher, blocks, discard, mix, ragged, span_hashes, words_of, written
 from .graphs import components
-from .repeats import by_key
+from .repeats import by_key, by_text
 
 WORDS = 5
 #: Links need an intersection of PER_CENT / 100 of the union.
@@ -34,6 +39,9 @@ PER_CENT = 75
 MOST_HOT = 400_000
 HOT_IN_BLOCK, HOT_AT_ALL = 2, 6
 SURVEY_BYTES = 8 << 20
+#: Classes of a list that isn't made; rows of sorted lists that a worker holds; copies in a class that is dealt by broadcast,
+#: at least, and how many such classes there may be.
+VERY_LONG, LIST_ROWS, HOT_COPIES, MOST_HOT_CLASSES = 500_000, 150_000, 200, 100_000
 #: Documents of a short list; what two sets share at least of their longer prefixes: SHARED or a part of their size.
 SHORT, SHARED, SHARED_PART = 64, 4, 10
 BLOCK = 100
@@ -69,16 +77,25 @@ def _sums(values: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
         return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
+def _class_hash(n: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """64 bits of a class; classes that have them in common share candidates, no more."""
+    with np.errstate(over="ignore"):
+        return mix(one.view(np.uint64) + mix(two.view(np.uint64) + n.astype(np.uint64))).view(np.int64)
+
+
 def _survey(batches):
-    """A row for each document: size and sums of its set; and one for each shingle that is frequent in a block."""
-    for (ids,), data, offsets in blocks(batches, most=SURVEY_BYTES):
+    """A row for each document: its text's row hash, its class (hash, size and sums of the set); and one for each shingle that is
+    frequent in a block."""
+    for (ids, rows), data, offsets in blocks(batches, ("doc_id", "row"), SURVEY_BYTES):
         values, bounds = shingle_sets(data, offsets)
         token, n = np.unique(values, return_counts=True)
         hot = n >= HOT_IN_BLOCK
-        m = int(hot.sum())
+        none, token = np.zeros(int(hot.sum()), np.int64), token[hot].view(np.int64)
+        size, one, two = np.diff(bounds), _sums(values, bounds, 1), _sums(values, bounds, 2)
+        both = lambda x, y: pa.array(np.concatenate([x, y]))
         yield pa.record_batch(
-            [pa.concat_arrays([ids, pa.nulls(m, pa.int64())]), pa.array(np.concatenate([np.diff(bounds), n[hot]])), pa.array(np.concatenate([_sums(values, bounds, 1), token[hot].view(np.int64)])), pa.array(np.concatenate([_sums(values, bounds, 2), np.zeros(m, np.int64)]))],
-            ["doc_id", "n", "one", "two"],
+            [pa.concat_arrays([c, pa.nulls(len(none), pa.int64())]) for c in (ids, rows)] + [both(_class_hash(size, one, two), none), both(size, n[hot]), both(one, token), both(two, none)],
+            ["doc_id", "row", "h", "n", "one", "two"],
         )
 
 
@@ -101,7 +118,7 @@ def prefix_order(values: np.ndarray, bounds: np.ndarray, hot: np.ndarray, rank:
     return np.lexsort([values, place, owner])
 
 
-def t_occurrence(lists: list[np.ndarray], least: int, n_docs: int, weight: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+def t_occurrence(lists: list[np.ndarray], least: int, weight: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Documents on ``least`` lists or more, and on how many, by DivideSkip; lists are sorted."""
     lists = sorted(lists, key=len)
     longest = len(lists[-1]) if lists else 0
@@ -110,9 +127,11 @@ def t_occurrence(lists: list[np.ndarray], least: int, n_docs: int, weight: float
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     if not short:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    count = np.bincount(np.concatenate(short), minlength=n_docs)  # merges the short lists
-    docs = np.flatnonzero(count >= max(1, least - aside))
-    count = count[docs]
+    merged = np.sort(np.concatenate(short), kind="stable")  # merges the sorted lists run by run
+    at = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])[: len(merged)])
+    count = np.diff(np.append(at, len(merged)))
+    enough = count >= max(1, least - aside)
+    docs, count = merged[at[enough]], count[enough]
     for k, x in enumerate(long):
         if not len(docs):
             break
@@ -147,7 +166,7 @@ def linked_sets(sets: list[np.ndarray]) -> np.ndarray:
         if not n:
             continue
         mine = of[bounds[q] : bounds[q + 1]]
-        docs, count = t_occurrence([posting[start[t] : start[t + 1]] for t in mine], -(-PER_CENT * n // 100), m)
+        docs, count = t_occurrence([posting[start[t] : start[t + 1]] for t in mine], -(-PER_CENT * n // 100))
         ok = 100 * count >= PER_CENT * (n + sizes[docs] - count)
         for d in docs[ok].tolist():
             a, b = _root(parent, q), _root(parent, d)
@@ -168,15 +187,43 @@ def _pairs_of_short(start: np.ndarray, size: np.ndarray, doc: np.ndarray, n: np.
             yield i[ok], j[ok]
 
 
+def _whole_lists(batches):
+    """(table, key that goes on from the table before, or None) of sorted (token, h, n), whole lists as far as LIST_ROWS rows; a
+    longer one comes in parts, each opened by the first and the last row of the one before."""
+    held, size, on = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < LIST_ROWS:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        if cut:
+            yield table.slice(0, cut), on
+            rest, on = table.slice(cut), None
+        else:
+            yield table, int(keys[0])
+            rest, on = table.take(pa.array([0, len(keys) - 1])), int(keys[0])
+        held, size = rest.to_batches(), rest.num_rows
+    if size:
+        yield pa.Table.from_batches(held), on
+
+
 def _ties(batches):
-    """(a, b, shared, needed): documents on common lists. A long list ties each document to the smallest one that its
+    """(a, b, shared, needed): classes on common lists. A long list ties each class to the smallest one that its
     size allows to link with, and those to the one before them."""
-    for table in by_key(batches):
-        token, doc, n = (table.column(c).to_numpy() for c in ("token", "doc_id", "n"))
+    for table, on in _whole_lists(batches):
+        token, doc, n = (table.column(c).to_numpy() for c in ("token", "h", "n"))
         order = np.lexsort([doc, n, token])
         token, doc, n = token[order], doc[order], n[order].astype(np.int64)
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.diff(np.append(start, len(token)))
+        if on is not None:
+            size[token[start] == on] += SHORT  # part of a long list
+        long = np.repeat(size > SHORT, np.diff(np.append(start, len(token))))
         found = list(_pairs_of_short(start, size, doc, n))
         a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
         needed = np.minimum(shared_at_least(n[a]), shared_at_least(n[b]))
@@ -186,7 +233,6 @@ def _ties(batches):
         new = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)])
         shared = np.diff(np.append(new, len(one)))
         one, two, needed = one[new], two[new], needed[new]
-        long = np.repeat(size > SHORT, size)
         ldoc, ln, ltoken = doc[long], n[long], token[long]
         if len(ldoc):
             step = (ltoken[1:] == ltoken[:-1]) & (100 * ln[:-1] >= PER_CENT * ln[1:])
@@ -201,20 +247,24 @@ def _ties(batches):
 
 
 def _meet(rows: DataFrame) -> DataFrame:
-    """(a, b): each document of a task and the least one it is connected with there; rows: doc_id, text, tasks array<long>."""
+    """(a, b): each class of a task and the least one it is connected with there; rows: node, h, text, tasks array<long>. Of
+    a doc_id's texts only that of the class is taken, once in a block."""
 
     def deal(batches):
-        for (ids, tasks), data, offsets in blocks(batches, ("doc_id", "tasks")):
+        for (ids, h, tasks), data, offsets in blocks(batches, ("node", "h", "tasks")):
             values, bounds = shingle_sets(data, offsets)
-            sets = pa.array([values[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
-            at = pa.array(np.repeat(np.arange(len(ids)), np.asarray(tasks.value_lengths())))
+            mine = np.flatnonzero(_class_hash(np.diff(bounds), _sums(values, bounds, 1), _sums(values, bounds, 2)) == h.to_numpy())
+            mine = mine[np.unique(ids.to_numpy()[mine], return_index=True)[1]]
+            tasks, ids = tasks.take(pa.array(mine)), ids.take(pa.array(mine))
+            sets = pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in mine.tolist()], pa.binary())
+            at, flat = pa.array(np.repeat(np.arange(len(ids)), np.asarray(tasks.value_lengths()))), tasks.flatten()
             for i in range(0, len(at), 500):
                 part = at.slice(i, 500)
-                yield pa.record_batch([tasks.flatten().slice(i, 500), ids.take(part), sets.take(part)], ["task", "doc_id", "shingles"])
+                yield pa.record_batch([flat.slice(i, 500), ids.take(part), sets.take(part)], ["task", "node", "shingles"])
 
     def search(batches):
         for table in by_key(batches, 2000):
-            task, doc = table.column("task").to_numpy(), table.column("doc_id").to_numpy()
+            task, node = table.column("task").to_numpy(), table.column("node").to_numpy()
             sets = table.column("shingles").to_pylist()
             a, b = [], []
             starts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
@@ -222,75 +272,143 @@ def _meet(rows: DataFrame) -> DataFrame:
                 if y - x > 1:
                     of = linked_sets([np.frombuffer(s, np.uint64) for s in sets[x:y]])
                     least = np.full(y - x, np.iinfo(np.int64).max)
-                    np.minimum.at(least, of, doc[x:y])
-                    other = least[of] != doc[x:y]
-                    a.append(doc[x:y][other]), b.append(least[of][other])
+                    np.minimum.at(least, of, node[x:y])
+                    other = least[of] != node[x:y]
+                    a.append(node[x:y][other]), b.append(least[of][other])
             none = [np.zeros(0, np.int64)]
             yield pa.record_batch([pa.array(np.concatenate(none + a)), pa.array(np.concatenate(none + b))], ["a", "b"])
 
-    return rows.mapInArrow(deal, "task long, doc_id long, shingles binary").repartition("task").sortWithinPartitions("task").mapInArrow(search, "a long, b long")
+    return rows.mapInArrow(deal, "task long, node long, shingles binary").repartition("task").sortWithinPartitions("task").mapInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    spark = docs.sparkSession
-    texts = clean_docs(docs)
-    survey = written(texts.mapInArrow(_survey, "doc_id long, n long, one long, two long"), "survey")
-    sets = survey.where("doc_id IS NOT NULL")
-    frequent = survey.where("doc_id IS NULL").groupBy("one").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_AT_ALL).orderBy(F.desc("n"), "one").limit(MOST_HOT).toPandas()
-    token = frequent["one"].to_numpy(np.int64).view(np.uint64)
+def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most MOST_HOT frequent shingles in ascending order, their ranks (the most frequent one last), and whether each is in so
+    many documents that its list isn't made."""
+    top = survey.where("doc_id IS NULL").groupBy("one").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_AT_ALL).orderBy(F.desc("n"), "one").limit(MOST_HOT).toPandas()
+    token = top["one"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    hot = spark.sparkContext.broadcast((token[order], (len(token) - order).astype(np.int64)))  # the most frequent rank last
-    classes = written(sets.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("stands")), "classes")
-    members = written(sets.join(classes, ["one", "two", "n"], "left").select("doc_id", "n", F.coalesce("stands", "doc_id").alias("stands")), "members")
+    return token[order], (len(token) - order).astype(np.int64), top["n"].to_numpy()[order] >= VERY_LONG
+
+
+def _candidates(texts: DataFrame, survey: DataFrame, classes: DataFrame, hot_classes: DataFrame) -> DataFrame:
+    """(a, b): nodes that are tied, directly or by nodes (below zero) of a very common shingle and a size."""
+    context = texts.sparkSession.sparkContext
+    frequent = _frequent(survey)
+    copies = hot_classes.select("h", "doc_id").toPandas().sort_values("h")  # MOST_HOT_CLASSES at most
+    shared = context.broadcast((*frequent, copies["h"].to_numpy(np.int64), copies["doc_id"].to_numpy(np.int64)))
 
     def prefixes(batches):
-        tokens, rank = hot.value
+        tokens, rank, very, hot_h, hot_doc = shared.value
         for (ids,), data, offsets in blocks(batches):
             values, bounds = shingle_sets(data, offsets)
             n, ids = np.diff(bounds), np.asarray(ids)
-            one, two = _sums(values, bounds, 1), _sums(values, bounds, 2)
-            # of equal sets in a block one is enough: its class is known
-            by = np.lexsort([ids, two, one, n])
-            new = np.append(True, (n[by][1:] != n[by][:-1]) | (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1]))
+            h = _class_hash(n, _sums(values, bounds, 1), _sums(values, bounds, 2))
             pick = np.zeros(len(n), bool)
-            pick[by[new]] = True
+            pick[np.unique(h, return_index=True)[1]] = True  # of equal sets in a block one is enough
+            if len(hot_h):  # and of those with many copies one in all
+                k = np.minimum(np.searchsorted(hot_h, h), len(hot_h) - 1)
+                hot = hot_h[k] == h
+                pick = np.where(hot, ids == hot_doc[k], pick)
             pick &= n > 0
             where = prefix_order(values, bounds, tokens, rank)
             size = prefix_length(n)[pick]
             at = where[ragged(bounds[:-1][pick], size)]
-            yield pa.record_batch([pa.array(values[at].view(np.int64)), pa.array(np.repeat(ids[pick], size)), pa.array(np.repeat(n[pick], size).astype(np.int32))], ["token", "doc_id", "n"])
-
-    lists = texts.mapInArrow(prefixes, "token long, doc_id long, n int").repartition("token").sortWithinPartitions("token")
-    common = lists.mapInArrow(_ties, "a long, b long, shared int, needed int").where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
-    ties = written(common.where("shared >= needed").select("a", "b"), "ties")
-    # documents of one class are one node
-    stand = members.where("doc_id <> stands").select("doc_id", "stands").distinct()
-    ties = ties.join(stand.withColumnRenamed("doc_id", "a").withColumnRenamed("stands", "sa"), "a", "left").join(stand.withColumnRenamed("doc_id", "b").withColumnRenamed("stands", "sb"), "b", "left")
-    ties = written(ties.select(F.coalesce("sa", "a").alias("a"), F.coalesce("sb", "b").alias("b")).where("a <> b").distinct(), "ties")
-    groups = written(components(ties).withColumnRenamed("component", "grp"), "groups")
-    sizes = written(groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n_blocks")), "sizes")
-    placed = groups.join(sizes, "grp").select(F.col("id").alias("doc_id"), "grp", "n_blocks", F.pmod(F.xxhash64("id"), F.col("n_blocks")).alias("block"))
-    grouped = written(texts.join(placed, "doc_id").select("doc_id", "text", "grp", "n_blocks", "block"), "grouped")
+            token = values[at]
+            k = np.minimum(np.searchsorted(tokens, token), max(0, len(tokens) - 1))
+            wide = (tokens[k] == token) & very[k] if len(tokens) else np.zeros(len(token), bool)
+            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(np.repeat(h[pick], size)), pa.array(np.repeat(n[pick], size).astype(np.int32)), pa.array(wide)], ["token", "h", "n", "wide"])
+
+    lists = texts.select("doc_id", "text").mapInArrow(prefixes, "token long, h long, n int, wide boolean")
+    any_wide = bool(frequent[2].any())
+    if any_wide:
+        lists = written(lists, "lists")
+    rows = lists.where("NOT wide").select("token", "h", "n").repartition("token").sortWithinPartitions("token", "n")
+    common = rows.mapInArrow(_ties, "a long, b long, shared int, needed int").where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    tied = written(common.where("shared >= needed").select("a", "b"), "tied")
+    node = classes.select("h", "node")
+    ties = tied.join(node.toDF("a", "na"), "a").join(node.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = classes.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")  # a hash of several classes
+    ties = ties.unionByName(classes.select("h", "node").join(same.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b"))
+    if any_wide:
+        hub = lambda n: -1 - F.shiftrightunsigned(F.xxhash64("token", n), 1)
+        wide = lists.where("wide").select("token", "n", "h").distinct()
+        members = wide.join(node, "h").select(F.col("node").alias("a"), hub("n").alias("b"))
+        before = F.lag("n").over(Window.partitionBy("token").orderBy("n"))  # a row for each size of such a shingle's sets
+        chain = wide.select("token", "n").distinct().withColumn("m", before).where(100 * F.col("m") >= PER_CENT * F.col("n")).select(hub("m").alias("a"), hub("n").alias("b"))
+        ties = ties.unionByName(members).unionByName(chain)
+    return written(ties.where("a <> b").distinct(), "ties")
+
+
+def _links(texts: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
+    """(a, b): nodes of linked classes, as many as connect each component."""
+    groups = written(components(ties).where("id >= 0").withColumnRenamed("component", "grp"), "groups")
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n_blocks"))
+    placed = groups.join(sizes, "grp").select(F.col("id").alias("node"), "grp", "n_blocks", F.pmod(F.xxhash64("id"), F.col("n_blocks")).alias("block"))
+    placed = placed.join(classes.select("node", "h", "doc_id"), "node")
+    grouped = written(texts.join(placed, "doc_id").select("node", "h", "text", "grp", "n_blocks", "block"), "grouped")
 
     # first every block meets block 0
     first = F.when(F.col("block") == 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda j: F.xxhash64("grp", j))).otherwise(F.array(F.xxhash64("grp", "block")))
-    links = written(_meet(grouped.select("doc_id", "text", first.alias("tasks"))), "links")
+    links = written(_meet(grouped.select("node", "h", "text", first.alias("tasks"))), "links")
 
     # then what isn't in the largest component of a group of several blocks meets all blocks
-    several = grouped.where("n_blocks > 1").select("doc_id", "grp", "n_blocks", "block")
+    several = grouped.where("n_blocks > 1").select("node", "grp", "n_blocks", "block").distinct()
     if several.limit(1).count():
-        label = several.join(components(links).withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "grp", "n_blocks", "block", F.coalesce("component", "doc_id").alias("component"))
+        label = several.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("node", "grp", "n_blocks", "block", F.coalesce("component", "node").alias("component"))
         label = written(label, "labels")
         counts = label.groupBy("grp", "component").agg(F.count("*").alias("k"))
         largest = written(counts.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("m"), F.max("k").alias("k")).where("m > k").select("grp", "largest", F.ceil((F.col("m") - F.col("k")) / BLOCK).cast("long").alias("n_rest")), "largest")
         todo = label.join(largest, "grp")
         rest = F.col("component") != F.col("largest")
         ranges = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-        own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("n_rest"))
+        own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n_rest"))
         tasks = F.array_distinct(F.concat(F.transform(ranges("n_rest"), lambda i: F.xxhash64("grp", i, "block", F.lit(1))), F.when(rest, F.transform(ranges("n_blocks"), lambda j: F.xxhash64("grp", own, j, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))))
-        more = todo.select("doc_id", tasks.alias("tasks"))
-        links = links.unionByName(written(_meet(grouped.join(more, "doc_id").select("doc_id", "text", "tasks")), "links"))
+        more = todo.select("node", tasks.alias("tasks"))
+        links = links.unionByName(written(_meet(grouped.join(more, "node").select("node", "h", "text", "tasks")), "links"))
+    links = written(components(links), "components")
+    discard(groups, grouped, ties)
+    return links
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, component) of every document: a hash of its text as row, and the component's number, which
+    components of one smallest doc_id don't share; null without words."""
+    texts = by_text(docs)
+    survey = written(texts.mapInArrow(_survey, "doc_id long, row long, h long, n long, one long, two long"), "survey")
+    sets = survey.where("doc_id IS NOT NULL")
+    key = ["one", "two", "n"]
+    some = max(HOT_COPIES, -(-sets.count() // MOST_HOT_CLASSES))
+    classes = sets.where("n > 0").groupBy(*key).agg(F.min("h").alias("h"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    label = _links(texts, classes, _candidates(texts, survey, classes, classes.where(F.col("copies") >= some)))
+
+    named = label.withColumnRenamed("id", "node").join(classes.select("node", "doc_id"), "node")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = named.select("node", "component").join(least, "component")
+    result = written(classes.join(of, "node", "left").select(*key, "copies", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "node").alias("component")), "labels")
+    # copies of a class with many are told their component by broadcast (MOST_HOT_CLASSES rows at most), others by a shuffle
+    names = ["doc_id", "row", F.col("n").alias("n_shingles"), "component_id", "component"]
+    hot, cold = result.where(F.col("copies") >= some).drop("copies"), result.where(F.col("copies") < some).drop("copies")
+    rows = sets.where("n > 0").join(F.broadcast(hot), key, "left")
+    out = rows.where("component_id IS NOT NULL").select(*names).unionByName(rows.where("component_id IS NULL").drop("component_id", "component").join(cold, key).select(*names))
+    return out.unionByName(sets.where("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component")))
+
 
-    label = components(links).withColumnRenamed("id", "stands")
-    return members.join(label, "stands", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "stands").alias("component_id"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    return labelled(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near duplicates: of each component one row of its smallest doc_id stays (of several texts with
+    that doc_id the one of the least hash), with its columns as they are. Rows without doc_id go."""
+    found = written(labelled(docs).where("doc_id = component_id"), "stays")
+    with_words = found.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
+    stays = with_words.drop("component").unionByName(found.where("n_shingles = 0").select("doc_id", "row").distinct())
+    names = docs.columns
+    held = docs.where("doc_id IS NOT NULL").select(F.struct(*names).alias("held"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
+    kept = held.join(stays, ["doc_id", "row"], "left_semi")
+    repeated = found.groupBy("doc_id", "row").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", "row")
+    if repeated.limit(1).count():  # repeated rows, one of which is enough
+        kept = kept.join(repeated, ["doc_id", "row"], "left_anti").select("held").unionByName(kept.join(repeated, ["doc_id", "row"], "left_semi").groupBy("doc_id", "row").agg(F.first("held").alias("held")).select("held"))
+    return kept.select("held.*")
