@@ -58,3 +58,74 @@ def test_toxicity_chain_learns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     got = op06_chains.toxicity(df.drop("toxic"), op06_chains.fit(df.drop("toxic"), df.select("doc_id", "toxic"))).join(df, "doc_id").where("held_out").toPandas()
     assert (got["predicted"] == got["toxic"]).mean() > 0.95
+
+
+def plain_chain(docs: list[set], toxic: list[int], folds: int = 3) -> np.ndarray:
+    """Probabilities of each category for each document, with dense matrices and sets of features."""
+    n, toxic = len(docs), np.array(toxic, float)
+    features = sorted(set().union(*docs))
+
+    def excess(rows, y):
+        out = {}
+        for f in features:
+            has = [i for i in rows if f in docs[i]]
+            share = np.mean([y[i] for i in rows])
+            out[f] = (sum(y[i] for i in has) - len(has) * share) / max(np.sqrt(len(has) * share * (1 - share)), 1e-6) if len(has) >= op06_chains.LEAST_DOCS else 0.0
+        return out
+
+    def logistic(x, y):
+        theta, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        for k in range(1, 81):
+            grad = x.T @ (y - 1 / (1 + np.exp(-x @ theta))) / len(y) - 2e-4 * theta
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            theta = theta + 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        return theta
+
+    def model(rows, extra, y):
+        chosen = [f for f, e in excess(rows, toxic).items() if abs(e) >= op06_chains.LEAST_EXCESS]
+        x = np.hstack([np.array([[f in d for f in chosen] for d in docs], float).reshape(n, len(chosen)), extra])
+        return lambda other: 1 / (1 + np.exp(-np.hstack([x[:, : len(chosen)], other]) @ logistic(x[rows], y[rows])))
+
+    kinds, left = [], toxic.copy()
+    for _ in range(op06_chains.KINDS):
+        e = excess(range(n), left)
+        f = max(features, key=lambda f: (e[f], -features.index(f)))
+        kinds.append(np.array([left[i] * (f in docs[i]) if e[f] >= op06_chains.LEAST_EXCESS else 0.0 for i in range(n)]))
+        left = left - kinds[-1]
+    met, known = np.ones((n, 1)), np.ones((n, 1))
+    for y in (*kinds, toxic):
+        fold = np.zeros(n)
+        for k in range(folds):
+            fold[k::folds] = model([i for i in range(n) if i % folds != k], met, y)(met)[k::folds]
+        known = np.hstack([known, model(list(range(n)), met, y)(known)[:, None]])
+        met = np.hstack([met, fold[:, None]])
+    return known[:, 1:]
+
+
+def test_toxicity_chain_against_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(op06_chains, "LEAST_DOCS", 2)
+    monkeypatch.setattr(op06_chains, "LEAST_EXCESS", 1.5)
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(90):
+        words = list(rng.choice([f"w{c}" for c in "abcdefgh"], 6)) + ([rng.choice(["foul", "vile", "base"])] if i % 3 == 0 else [])
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = op06_chains.toxicity(df, op06_chains.fit(df.drop("toxic"), df.select("doc_id", "toxic"))).toPandas().sort_values("doc_id")
+    codes = {}
+    for i, text, _ in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        codes[i] = set(op06_chains.word_codes(raw, np.array([0, len(raw)]))[0].tolist())
+    train = [i for i, _, _ in rows if not got["held_out"].tolist()[i]]
+    want = plain_chain([codes[i] for i in train], [rows[i][2] for i in train])
+    names = [*(f"p_kind_{k + 1}" for k in range(op06_chains.KINDS)), "score"]
+    assert np.allclose(got.set_index("doc_id").loc[train, names].to_numpy(), want, atol=1e-6)
+
+
+def test_toxicity_takes_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a foul word"), (1, "a foul word"), (1, "another"), (None, "x"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for model in (op06_chains.fit(docs, labels), op06_chains.fit(docs.where("false"), labels)):
+        out = op06_chains.toxicity(docs, model).toPandas()
+        assert sorted(out["doc_id"]) == [1, 1, 1, 2]
+        assert not op06_chains.toxicity(docs.where("false"), model).count()

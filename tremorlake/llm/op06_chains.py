@@ -1,14 +1,17 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after the other: those of the seed words below, each only where the document's label says
-toxic, and at last "toxic" itself. Each classifier is a logistic regression on the words and beginnings of words present in a document and on
-the probabilities of the categories before it. In training those probabilities come from out-of-fold models, so that a
-later classifier learns from what it will meet; afterwards each category's model is fitted on all training rows.
+Categories are predicted one after the other: KINDS kinds of toxic documents, and at last "toxic" itself. The labels know only
+"toxic", so the kinds are found in the labelled rows: the word that is most in excess in toxic documents stands for the first
+kind, the one most in excess in the toxic documents left for the next. Each classifier is a logistic regression on the words and
+beginnings of words present in a document and on the probabilities of the categories before it. In training those probabilities
+come from out-of-fold models, each with a vocabulary of its own fold's training rows, so that a later classifier learns from
+what it will meet; afterwards each category's model is fitted on all training rows.
 
 Training takes at most TRAIN_DOCS labelled documents (those of the least hash), never one with crc32(doc_id) mod 5 = 0.
 The vocabulary is at most VOCABULARY features of LEAST_DOCS training documents or more, those whose share of toxic
-documents is furthest off. Null and empty texts
-have no words and get the constant's score. A table without usable labels gives 0.0. Repeated rows get equal scores.
+documents is furthest off; a bound of the model, documented here, not of the documents that it scores. Null and empty texts
+have no words and get the constant's score; texts of any length are whole. A table without usable labels gives 0.0. Repeated rows
+get equal scores; of rows that share a doc_id each is scored by itself. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,13 +33,7 @@ FOLDS = 3
 #: Bytes of the beginnings of words that count besides whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 
-#: Seed words of the categories before "toxic".
-SEEDS = {
-    "stupidity": ("idiot", "moron", "stupid"),
-    "contempt": ("worthless", "pathetic", "loser", "clown"),
-    "disgust": ("trash", "scum", "disgusting"),
-}
-CATEGORIES = (*SEEDS, "toxic")
+KINDS = 3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -61,15 +58,6 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return key & np.uint64((1 << 48) - 1), (key >> np.uint64(48)).astype(np.int64)
 
 
-def seed_codes() -> dict[str, np.ndarray]:
-    out = {}
-    for name, words in SEEDS.items():
-        raw = [w.encode() for w in words]
-        ends = np.cumsum([len(w) for w in raw])
-        out[name] = RunHasher()(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends) >> np.uint64(16)
-    return out
-
-
 def _logistic(col: np.ndarray, row: np.ndarray, n_rows: int, n_cols: int, extra: np.ndarray, y: np.ndarray, rounds: int = 80, rate: float = 0.15, decay: float = 2e-4) -> np.ndarray:
     """Weights of the words, then of the extra columns, by Adam; the classes weigh as they occur."""
     theta = np.zeros(n_cols + extra.shape[1])
@@ -89,33 +77,62 @@ def _predict(theta, col, row, n_rows, extra):
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _excess(of: np.ndarray, row: np.ndarray, size: int, y: np.ndarray) -> np.ndarray:
+    """By how many standard deviations each feature's number of positive documents is off; 0 for rare ones."""
+    n, share = np.bincount(of, minlength=size), y.mean()
+    spread = np.sqrt(np.maximum(n * share * (1 - share), 1e-12))
+    return np.where(n >= LEAST_DOCS, (np.bincount(of, weights=y[row], minlength=size) - n * share) / spread, 0)
+
+
+def _choice(of: np.ndarray, row: np.ndarray, size: int, y: np.ndarray) -> np.ndarray:
+    """The features of a model, in ascending order."""
+    excess = np.abs(_excess(of, row, size, y))
+    top = np.sort(np.argsort(-excess, kind="stable")[:VOCABULARY])
+    return top[excess[top] >= LEAST_EXCESS]
+
+
+def kinds_of(of: np.ndarray, row: np.ndarray, size: int, toxic: np.ndarray) -> list[np.ndarray]:
+    """For each kind which documents are of it; kinds share none. A kind that no feature stands for is empty."""
+    out, left = [], toxic.astype(float)
+    for _ in range(KINDS):
+        mine = np.zeros(len(toxic))
+        if left.any():
+            excess = _excess(of, row, size, left)
+            f = int(np.argmax(excess))
+            if excess[f] >= LEAST_EXCESS:
+                mine[row[of == f]] = 1
+                mine *= left
+        out.append(mine)
+        left = left - mine
+    return out
+
+
 def train_chain(codes: np.ndarray, row: np.ndarray, n_rows: int, toxic: np.ndarray, folds: int = FOLDS) -> dict:
     """Vocabulary and weights of each category, in the order of the chain."""
-    vocabulary, of, n = np.unique(codes, return_inverse=True, return_counts=True)
-    share = toxic.mean()
-    positive = np.bincount(of, weights=toxic[row], minlength=len(vocabulary))
-    excess = np.where(n >= LEAST_DOCS, np.abs(positive - n * share) / np.sqrt(n * share * (1 - share)), 0)  # deviations from the mean share
-    top = np.sort(np.argsort(-excess, kind="stable")[:VOCABULARY])
-    top = top[excess[top] >= LEAST_EXCESS]
-    place = np.full(len(vocabulary), -1)
-    place[top] = np.arange(len(top))
-    seeds = seed_codes()
-    has = {c: np.bincount(row[np.isin(codes, seeds[c])], minlength=n_rows) > 0 for c in SEEDS}
-    col, row = place[of][place[of] >= 0], row[place[of] >= 0]
-    fold = np.arange(n_rows) % folds
+    vocabulary, of = np.unique(codes, return_inverse=True)
+
+    def fitted(inside: np.ndarray, extra: np.ndarray, y: np.ndarray):
+        """A model of the rows inside: its features and weights, and the probabilities of all other rows."""
+        number, at = np.cumsum(inside) - 1, inside[row]
+        chosen = _choice(of[at], number[row[at]], len(vocabulary), toxic[inside])
+        place = np.full(len(vocabulary), -1)
+        place[chosen] = np.arange(len(chosen))
+        col = place[of]
+        use = at & (col >= 0)
+        theta = _logistic(col[use], number[row[use]], int(inside.sum()), len(chosen), extra[inside], y[inside])
+        rest, use = np.cumsum(~inside) - 1, ~at & (col >= 0)
+        return chosen, theta, _predict(theta, col[use], rest[row[use]], int((~inside).sum()), extra[~inside])
+
+    fold, every = np.arange(n_rows) % folds, np.ones(n_rows, bool)
     extra, models = np.ones((n_rows, 1)), []
-    for category in CATEGORIES:
-        y = toxic * has[category] if category in has else toxic
+    for y in (*kinds_of(of, row, len(vocabulary), toxic), toxic):
         out_of_fold = np.zeros(n_rows)
         for k in range(folds):
-            inside = fold != k
-            at = inside[row]
-            number = np.cumsum(inside) - 1
-            theta = _logistic(col[at], number[row[at]], int(inside.sum()), len(top), extra[inside], y[inside])
-            out_of_fold[~inside] = _predict(theta, col[~at], (np.cumsum(~inside) - 1)[row[~at]], int((~inside).sum()), extra[~inside])
-        models.append(_logistic(col, row, n_rows, len(top), extra, y))
+            out_of_fold[fold == k] = fitted(fold != k, extra, y)[2]
+        chosen, theta, _ = fitted(every, extra, y)
+        models.append(theta)
         extra = np.hstack([extra, out_of_fold[:, None]])
-    return {"vocabulary": vocabulary[top], "weights": models}
+    return {"vocabulary": vocabulary[chosen], "weights": models}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict | None:
@@ -138,9 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
 
 
 def toxicity(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, a score for each category, score, predicted) of every document; score is that of "toxic"."""
+    """(doc_id, held_out, a probability for each kind, score, predicted) of every document; score is that of "toxic"."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", *(f"p_{c}" for c in SEEDS), "score", "predicted"]
+    kinds = [f"p_kind_{k + 1}" for k in range(KINDS)]
+    names = ["doc_id", *kinds, "score", "predicted"]
 
     def score(batches):
         m = shared.value
@@ -148,7 +166,7 @@ def toxicity(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> Dat
             n = len(ids)
             extra = np.ones((n, 1))
             if m is None:
-                extra = np.zeros((n, 1 + len(CATEGORIES)))
+                extra = np.zeros((n, 2 + KINDS))
             else:
                 codes, doc = word_codes(data, offsets)
                 at = np.minimum(np.searchsorted(m["vocabulary"], codes), max(0, len(m["vocabulary"]) - 1))
@@ -158,6 +176,6 @@ def toxicity(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> Dat
             p = extra[:, 1:]
             yield pa.record_batch([ids, *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array(p[:, -1] >= threshold).cast(pa.int32())], names)
 
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in SEEDS) + ", score double, predicted int"
+    schema = "doc_id long, " + ", ".join(f"{k} double" for k in kinds) + ", score double, predicted int"
     out = clean_docs(docs).mapInArrow(score, schema)
     return out.withColumn("held_out", held_out("doc_id"))
