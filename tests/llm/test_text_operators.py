@@ -50,6 +50,10 @@ def test_token_files(spark, docs, empty, tmp_path):
         ids = ids_of("byte_bpe_50k.json", text, 2)
         assert got[i] == (start, len(ids), crc(ids))
         start += len(ids)
+    flat = [x for _, text in PAIRS for x in ids_of("byte_bpe_50k.json", text, 2)]
+    for a, b in ((0, 1), (7, 700), (len(flat) - 5, len(flat)), (3, 3)):
+        parts = sorted(op01_repair.read_range(spark, f"{tmp_path}/a", a, b).collect())
+        assert [x for p in parts for x in p.ids] == flat[a:b] and (a == b or parts[0].at == a)
     op01_repair.write_ids(empty, f"{tmp_path}/b", tokenizer_path("byte_bpe_50k.json"))
     assert not rows_of(op01_repair.read_ids(spark, f"{tmp_path}/b"))
 
@@ -65,6 +69,15 @@ def test_grammar_round_trip_and_ranges():
         for a, b in ((0, 1), (n // 3, n // 3 + 1), (n // 2, n), (0, n)):
             assert (op01_repair.decode_range(row, a, b) == ids[a:b]).all()
     assert len(g["symbols"]) < n / 2
+    # no pair is left that occurs LEAST_COUNT times within the documents
+    seq, left, at = g["symbols"].tolist(), {}, 0
+    ends, total = set(np.cumsum(counts).tolist()), 0
+    lengths = np.concatenate([np.ones(g["n_terminals"], int), g["expansions"].astype(int)])
+    for x, y in zip(seq, seq[1:]):
+        total += lengths[x]
+        if total not in ends:
+            left[x, y] = left.get((x, y), 0) + 1
+    assert all(k < op01_repair.LEAST_COUNT for (x, y), k in left.items() if x != y)
 
 
 def test_suffix_dedup(docs, empty):

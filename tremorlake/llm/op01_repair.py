@@ -1,9 +1,10 @@
 """Token-id files compressed by Re-Pair grammars.
 
-Documents are sorted by doc_id over shards (one per task). A shard is a row of blocks of about BLOCK_TOKENS ids. In
-each block the most frequent pairs of neighbouring symbols become nonterminals, again and again, never across
+Documents are sorted by doc_id over shards (one per task, of about SHARD_BYTES of text at most). A shard is a row of blocks of about
+BLOCK_TOKENS ids. In each block the most frequent pairs of neighbouring symbols become nonterminals, up to RULES_PER_ROUND of them at
+once, again and again until no pair occurs LEAST_COUNT times (a rule for a rarer pair takes more bytes than it saves), never across
 documents. A block's row in the Parquet file holds the rules, each rule's expansion length, the remaining symbols
-and the documents' counts, so that any range of ids decodes without the rest (``decode_range``).
+and the documents' counts, so that any range of ids decodes without the rest (``read_range``).
 
 Null and empty texts give just the end id. A text longer than a block makes a block of its own. Rows with the same
 doc_id stay apart, in the order of their texts. An empty table writes no blocks.
@@ -23,7 +24,7 @@ from .common import blocks, clean_docs
 from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 5
+SHARD_BYTES = 256 << 20
 RULES_PER_ROUND = 4096
 LEAST_COUNT = 6
 _BINS = 20
@@ -31,7 +32,7 @@ _BINS = 20
 BLOCK_SCHEMA = "shard int, block int, n_ids long, n_terminals int, doc_ids array<long>, doc_tokens binary, rules binary, round_sizes array<int>, expansions binary, symbols binary"
 
 
-def build_grammar(ids: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> dict:
+def build_grammar(ids: np.ndarray, counts: np.ndarray) -> dict:
     """Rules (left, right), rules made in each round, expansion lengths and what is left of the ids."""
     n_terminals = int(ids.max()) + 1 if len(ids) else 1
     seq = ids.astype(np.int64)
@@ -39,9 +40,7 @@ def build_grammar(ids: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
     last[np.cumsum(counts) - 1] = True
     lefts, rights, sizes = [], [], []
     lengths = np.ones(n_terminals, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         code = (seq[:-1] << 32) | seq[1:]
         with np.errstate(over="ignore"):
             slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
@@ -49,13 +48,15 @@ def build_grammar(ids: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
         heavy = np.bincount(slot, minlength=(1 << _BINS) + 1)
         heavy[1 << _BINS] = 0
         k = min(RULES_PER_ROUND, 1 << _BINS)
-        bound = max(LEAST_COUNT, int(np.partition(heavy, len(heavy) - k)[len(heavy) - k]))
-        at = np.flatnonzero(heavy[slot] >= bound)
-        if not len(at):
-            break
-        pairs, of, n = np.unique(code[at], return_inverse=True, return_counts=True)
-        top = np.sort(np.argsort(-n, kind="stable")[:RULES_PER_ROUND])
-        top = top[n[top] >= LEAST_COUNT]
+        heaviest = int(np.partition(heavy, len(heavy) - k)[len(heavy) - k])
+        top = np.zeros(0, np.int64)
+        for bound in sorted({max(LEAST_COUNT, heaviest), LEAST_COUNT}, reverse=True):  # slots of many rare pairs must not hide a frequent one
+            at = np.flatnonzero(heavy[slot] >= bound)
+            pairs, of, n = np.unique(code[at], return_inverse=True, return_counts=True)
+            top = np.sort(np.argsort(-n, kind="stable")[:RULES_PER_ROUND])
+            top = top[n[top] >= LEAST_COUNT]
+            if len(top):
+                break
         if not len(top):
             break
         rule_of = np.full(len(pairs), -1)
@@ -134,7 +135,9 @@ def _block_row(shard, block, doc_ids, ids, counts):
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Tokenizes every text and writes the grammar files below path, in ascending doc_id order."""
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = clean_docs(docs)
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def pack(batches):
         shard, block = TaskContext.get().partitionId(), 0
@@ -151,10 +154,33 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> No
         if n:
             yield _block_row(shard, block, doc_ids, np.concatenate(ids), np.concatenate(counts))
 
-    ordered = clean_docs(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
+def _starts(files: DataFrame) -> DataFrame:
+    """(shard, block, base): how many ids stand before each block, those of earlier shards (a row for each) and of earlier blocks of its own."""
+    sizes = files.select("shard", "block", "n_ids")
+    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    within = Window.partitionBy("shard").orderBy("block")
+    return sizes.withColumn("own", F.sum("n_ids").over(within) - F.col("n_ids")).join(shards, "shard").select("shard", "block", (F.col("own") + F.col("before")).alias("base"))
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(at, ids): the ids start .. stop-1 of the whole table, a row for each block that holds some; only these blocks are read and
+    only the symbols that cover the range are expanded."""
+    files = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    wanted = _starts(files).join(files.select("shard", "block", "n_ids"), ["shard", "block"]).where((F.col("base") < stop) & (F.col("base") + F.col("n_ids") > start))
+
+    def cut(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = max(0, start - row["base"]), min(row["n_ids"], stop - row["base"])
+                yield pa.record_batch([pa.array([row["base"] + a]), pa.array([decode_range(row, a, b).tolist()], pa.list_(pa.int64()))], ["at", "ids"])
+
+    return files.join(wanted.select("shard", "block", "base"), ["shard", "block"]).mapInArrow(cut, "at long, ids array<long>")
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files below path."""
     files = spark.read.schema(BLOCK_SCHEMA).parquet(path)
@@ -169,10 +195,5 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 n = len(counts)
                 yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "shard", "block", "at", "n_tokens", "ids_crc32"])
 
-    sizes = files.select("shard", "block", "n_ids")
-    # ids before a block: those of earlier shards (a row for each written shard) and of earlier blocks of its own
-    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    within = Window.partitionBy("shard").orderBy("block")
-    starts = sizes.withColumn("own", F.sum("n_ids").over(within) - F.col("n_ids")).join(shards, "shard").select("shard", "block", (F.col("own") + F.col("before")).alias("base"))
     docs = files.mapInArrow(digest, "doc_id long, shard int, block int, at long, n_tokens long, ids_crc32 long")
-    return docs.join(starts, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(_starts(files), ["shard", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
