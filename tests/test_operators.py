@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tremorlake.functions import geo, waves
-from tremorlake.operators import joins, matching, models, sequences, series
+from tremorlake.operators import graphs, joins, matching, models, sequences, series
 
 
 def value(spark, column):
@@ -17,6 +17,7 @@ def value(spark, column):
 
 def test_geodesics(spark):
     assert int(value(spark, geo.dist_deg(10, 0, 20, 0)) + 1e-9) == 10
+    # fixed values: distances, angles and directions that any such functions have to give
     assert int(value(spark, geo.dist_deg(10, 0, 10, 45)) + 1e-9) == 45
     assert int(value(spark, geo.dist_deg(-78, -12, -10.25, 52))) == 86
     assert value(spark, geo.dist_deg(132.86521, -0.45606493, 132.86521, -0.45606493)) < 1e-4
@@ -29,16 +30,31 @@ def test_geodesics(spark):
 
 
 def test_masks():
-    one, two = np.zeros(100, bool), np.zeros(100, bool)
-    one[2:20] = one[80:98] = True
-    two[0:20] = two[40:60] = two[80:100] = True
-    assert waves.mask_blocks(one) == [(2, 20), (80, 98)]
-    assert waves.mask_blocks(two) == [(0, 20), (40, 60), (80, 100)]
-    assert waves.mask_blocks(waves.grow_mask(one, 4)) == [(0, 24), (76, 100)]
-    assert waves.mask_blocks(waves.grow_mask(two, 4)) == [(0, 24), (36, 64), (76, 100)]
-    x = np.where(two, np.nan, np.arange(100.0))
-    got = waves.mirror_missing(x)
-    assert got[:20].tolist() == list(range(39, 19, -1)) and got[20:40].tolist() == list(range(20, 40)) and not np.isnan(got).any()
+    mask = np.zeros(30, bool)
+    mask[[0, 1, 2, 9, 10, 11, 12, 13, 14, 29]] = True
+    assert waves.mask_blocks(mask) == [(0, 3), (9, 15), (29, 30)]
+    assert waves.mask_blocks(waves.grow_mask(mask, 2)) == [(0, 5), (7, 17), (27, 30)]
+    assert waves.mask_blocks(~mask | mask) == [(0, 30)] and not waves.mask_blocks(np.zeros(4, bool))
+
+
+def filled(n, gaps):
+    x = np.arange(float(n))
+    for a, b in gaps:
+        x[a:b] = np.nan
+    return waves.mirror_missing(x).tolist()
+
+
+def test_mirrored_gaps():
+    assert filled(12, [(4, 7)]) == [0, 1, 2, 3, 3, 8, 7, 7, 8, 9, 10, 11]  # one from the left, two from the right
+    assert filled(12, [(1, 7)]) == [0, 0, 11, 10, 9, 8, 7, 7, 8, 9, 10, 11]  # the left side is short, the right one fills what it leaves
+    assert filled(12, [(5, 11)]) == [0, 1, 2, 3, 4, 4, 3, 2, 1, 0, 11, 11]  # and the other way round
+    assert filled(6, [(0, 2)]) == [3, 2, 2, 3, 4, 5] and filled(6, [(4, 6)]) == [0, 1, 2, 3, 3, 2]
+    mean = (0 + 5 + 6) / 3  # both sides are short
+    assert filled(7, [(1, 5)]) == [0, 0, mean, 6, 5, 5, 6]
+    # two gaps beside each other: what one is filled with is nothing that the other could reflect
+    got = filled(14, [(2, 4), (5, 9)])
+    assert got == [0, 1, 1, 4, 4, 4, 11, 10, 9, 9, 10, 11, 12, 13]
+    assert waves.mirror_missing(np.full(3, np.nan)).tolist() == [0, 0, 0]
 
 
 def test_filter_chain():
@@ -157,9 +173,62 @@ def test_global_ordinal(spark):
 
 
 def test_stitching(spark):
-    files = spark.createDataFrame([("A", "Z", 0.0, 1.0, [1.0] * 10), ("A", "Z", 8.0, 1.0, [2.0] * 6), ("A", "Z", 30.0, 1.0, [3.0] * 5)], "sta string, chan string, time double, srate double, samples array<double>")
+    schema = "sta string, chan string, time double, srate double, samples array<double>"
+    files = spark.createDataFrame([("A", "Z", 0.0, 1.0, [1.0] * 10), ("A", "Z", 8.0, 1.0, [2.0] * 6), ("A", "Z", 30.0, 1.0, [3.0] * 5)], schema)
     req = spark.createDataFrame([(1, "A", "Z", 5.0, 20.0)], "rid long, sta string, chan string, stime double, etime double")
     assert series.stitched(req, files).first()["samples"] == [1.0] * 3 + [2.0] * 6 + [None] * 6
+    assert series.stitched(req, files, 2.0, mirror=True).first()["samples"] == [None, None, 1.0] + [2.0] * 6 + [2.0] * 4 + [None] * 2
+    # a file of a multiple of the least rate is decimated, any other rate is an error
+    fast = spark.createDataFrame([("A", "Z", 14.0, 4.0, [5.0] * 24)], schema)
+    got = series.stitched(req, files.unionByName(fast)).first()
+    assert got["srate"] == 1.0 and got["samples"][:9] == [1.0] * 3 + [2.0] * 6 and np.allclose(got["samples"][9:], 5.0)
+    odd = spark.createDataFrame([("A", "Z", 14.0, 2.5, [5.0] * 24)], schema)
+    with pytest.raises(Exception, match="no multiple"):
+        series.stitched(req, files.unionByName(odd)).collect()
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_long_chains_and_hubs(spark, few, monkeypatch):
+    monkeypatch.setattr(graphs, "HUB", 3)
+    chain = [(k, k + 1) for k in range(100, 180)]
+    star = [(7, k) for k in range(300, 330)] + [(5, 5)]
+    got = {r.id: r.component for r in graphs.components(spark.createDataFrame(chain + star, "a long, b long"), few=few).collect()}
+    assert got == {k: 100 for k in range(100, 181)} | {k: 7 for k in (7, *range(300, 330))} | {5: 5}
+
+
+def test_levels(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (9, 4)], "parent long, child long")
+    assert {r.id: r.level for r in graphs.levels(edges).collect()} == {1: 0, 9: 0, 2: 1, 3: 2, 4: 3}
+    with pytest.raises(ValueError):
+        graphs.levels(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent long, child long"))
+
+
+def test_matching_against_all_assignments(spark):
+    rng = np.random.default_rng(5)
+    gold = [(i, float(rng.integers(0, 600)), float(rng.integers(0, 3)), 0.0) for i in range(14)]
+    guess = [(i, float(rng.integers(0, 600)), float(rng.integers(0, 3)), 0.0) for i in range(14)]
+    names = "id long, t double, lon double, lat double"
+    got = matching.matched(spark.createDataFrame(gold, names), spark.createDataFrame(guess, names), 50.0, 1.0).collect()
+    edges = [(a[0], b[0], abs(a[2] - b[2])) for a in gold for b in guess if abs(a[1] - b[1]) <= 50 and abs(a[2] - b[2]) <= 1]
+    best = {}  # guesses that are taken -> most pairs and least distance, gold after gold
+    best[frozenset()] = (0, 0.0)
+    for a in gold:
+        for used, (k, d) in list(best.items()):
+            for _, b, far in (e for e in edges if e[0] == a[0]):
+                if b not in used:
+                    new = used | {b}
+                    best[new] = max(best.get(new, (0, 0.0)), (k + 1, d - far))
+    assert len({r.id for r in got}) == len(got) == len({r.gid for r in got}) and all((r.id, r.gid, round(r.d)) in {(a, b, round(d)) for a, b, d in edges} for r in got)
+    k, d = max(best.values())
+    assert len(got) == k and abs(sum(r.d for r in got) + d) < 1e-6
+
+
+def test_running_sums(spark):
+    rows = [(i, i * 7919 % 101) for i in range(101)]
+    got = sequences.running_sums(spark.createDataFrame(rows, "x long, y long").repartition(4), ["y"], {"s": "x", "k": "y"}, descending=True).collect()
+    by = sorted(rows, key=lambda r: -r[1])
+    want = {y: (sum(r[0] for r in by[: i + 1]), sum(r[1] for r in by[: i + 1])) for i, (x, y) in enumerate(by)}
+    assert {r.y: (r.s, r.k) for r in got} == want
 
 
 def test_location(spark):

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def grid_cells(nodes: DataFrame, x: str, y: str, value: str, step_x: float, step_y: float) -> DataFrame:
-    """One row per cell of a regular grid of nodes (x, y, value): its indices and four corners, negative ones as null."""
-    n = nodes.select(F.round(F.col(x) / step_x).cast("long").alias("i"), F.round(F.col(y) / step_y).cast("long").alias("j"), F.when(F.col(value) >= 0, F.col(value)).alias("v"))
+def grid_cells(nodes: DataFrame, x: str, y: str, value: str, step_x: float, step_y: float, negative_is_missing: bool = True) -> DataFrame:
+    """One row per cell of a regular grid of nodes (x, y, value): its indices and four corners. A missing value is null, or negative in tables
+    whose values can't be."""
+    n = nodes.select(F.round(F.col(x) / step_x).cast("long").alias("i"), F.round(F.col(y) / step_y).cast("long").alias("j"), (F.when(F.col(value) >= 0, F.col(value)) if negative_is_missing else F.col(value)).alias("v"))
     corner = lambda di, dj, name: n.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("v").alias(name))
     return corner(0, 0, "v00").join(corner(1, 0, "v10"), ["i", "j"]).join(corner(0, 1, "v01"), ["i", "j"]).join(corner(1, 1, "v11"), ["i", "j"])
 

@@ -97,8 +97,10 @@ def spherical_centroid(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def rank_quantiles(rows: DataFrame, x: str, at: dict[str, float]) -> DataFrame:
     """Values at rank floor(n q), counted from 0, through the counts of distinct values: ties share a row."""
+    from .sequences import running_sums
+
     counts = rows.groupBy(x).agg(F.count("*").alias("k"))
-    run = counts.select(x, F.sum("k").over(Window.orderBy(x)).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    run = running_sums(counts, [x], {"upto": "k"}).crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))  # one row
     return run.agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col(x))).alias(name) for name, q in at.items()))
 
 

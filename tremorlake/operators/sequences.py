@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
 
+from .graphs import components
+from .joins import band_join
 from .lineage import checkpointed
 
 
@@ -24,6 +28,20 @@ def ordinal(rows: DataFrame, keys: list[str], order: list[str], name: str = "ord
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_row") + F.col("_start")).drop("_part", "_row", "_start")
 
 
+def running_sums(rows: DataFrame, order: list[str], sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds to each row the sums of columns (new name -> column) over it and all rows before it in a whole table, from range partitions:
+    each knows the sums of those before it, so no task sorts everything. The order has no ties, or they get any order."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.desc(c) if descending else F.asc(c) for c in order]
+    ranged = checkpointed(rows.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    total = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts_of = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))  # a row for each partition
+    before = parts_of.select("_part", *(F.coalesce(F.sum(f"_t_{n}").over(total), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    w = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.withColumns({f"_w_{n}": F.sum(c).over(w) for n, c in sums.items()}).join(F.broadcast(before), "_part")
+    return run.select(*rows.columns, *((F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))
+
+
 def gaps(rows: DataFrame, keys: list[str], t: str, tie: str) -> DataFrame:
     return rows.withColumn("gap", F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t, tie)))
 
@@ -52,8 +70,7 @@ def true_blocks(rows: DataFrame, keys: list[str], index: str, flag: Column) -> D
 def running_roc(rows: DataFrame, score: str, is_true: str, total_true: int) -> DataFrame:
     """Precision and recall at each score from the highest on: counts by score first, so ties are one point."""
     counts = rows.groupBy(score).agg(F.count_if(F.col(is_true)).alias("t"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select(score, F.sum("t").over(w).alias("n_true"), F.sum("n").over(w).alias("n_all"))
+    run = running_sums(counts, [score], {"n_true": "t", "n_all": "n"}, descending=True).select(score, "n_true", "n_all")
     return run.withColumns({"precision": F.col("n_true") / F.col("n_all"), "recall": F.col("n_true") / F.lit(total_true)})
 
 
@@ -73,51 +90,47 @@ def sta_lta(rows: DataFrame, keys: list[str], order: list[str], x: str, short: i
     return rows.withColumn("ratio", F.when(F.row_number().over(w) >= long, F.try_divide(sta, lta)))
 
 
-def time_islands(events: DataFrame, t: str, gap: float, span: float) -> DataFrame:
-    """Adds island over a whole table without sorting it in one task: rows meet in time slices of length span, and
-    slices that nothing separates by more than gap share an island (by the count of empty stretches before them)."""
-    slices = events.select(t).groupBy(F.floor(F.col(t) / span).alias("_s")).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
-    # a row for each slice of time that has any events
-    w = Window.orderBy("_s")
-    opened = slices.withColumn("_new", F.when(F.lag("_b").over(w).isNull() | (F.col("_a") - F.lag("_b").over(w) > gap), 1).otherwise(0)).withColumn("_base", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = events.withColumn("_s", F.floor(F.col(t) / span)).join(opened.select("_s", "_base"), "_s")
-    inner = Window.partitionBy("_base").orderBy(t)
-    opens = F.when(F.col(t) - F.lag(t).over(inner) > gap, 1).otherwise(0)
-    return rows.withColumn("_o", opens).withColumn("_k", F.sum("_o").over(inner.rangeBetween(Window.unboundedPreceding, 0))).withColumn("island", F.concat_ws("-", "_base", "_k")).drop("_s", "_base", "_o", "_k")
-
-
 def _degrees(a, b) -> float:
-    import math
-
     p, q = math.radians(a[1]), math.radians(b[1])
     h = math.sin((p - q) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(a[0] - b[0]) / 2) ** 2
     return math.degrees(2 * math.asin(math.sqrt(min(1.0, h))))
 
 
-#: Events of islands that share a task; islands lie apart in time, so going through several at once changes nothing.
-ISLAND_ROWS = 20_000
+#: Events of clusters that share a task; clusters never meet, so going through several at once changes nothing.
+CLUSTER_ROWS = 20_000
+
+
+def _in_clusters(events: DataFrame, seconds: float, near: Column, run) -> DataFrame:
+    """run on every cluster of events that pairs within seconds and ``near`` connect (columns of the second event begin with o_). Only events of a
+    cluster's pairs can meet, so events without any stand as they are and clusters are dealt by hash."""
+    names = events.columns
+    slim = events.select("id", "t", "lon", "lat")
+    other = slim.toDF("o_id", "o_t", "o_lon", "o_lat")
+    pairs = band_join(slim, other, "t", "o_t", seconds, (F.col("id") < F.col("o_id")) & near)
+    comps = checkpointed(components(pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b"))))
+    tasks = max(1, -(-comps.count() // CLUSTER_ROWS))
+    rows = events.join(comps, "id").withColumn("_task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
+    return events.join(comps, "id", "left_anti").select(*names).unionByName(rows.groupBy("_task").applyInPandas(run, events.schema))
 
 
-def _in_islands(events: DataFrame, seconds: float, run) -> DataFrame:
-    tasks = max(1, -(-events.count() // ISLAND_ROWS))
-    rows = time_islands(events, "t", seconds, max(seconds, 3600.0)).withColumn("_task", F.pmod(F.xxhash64("island"), F.lit(tasks)))
-    return rows.groupBy("_task").applyInPandas(run, events.schema)
+def _clusters(rows: pd.DataFrame):
+    rows = rows.sort_values(["component", "t", "id"], kind="stable").reset_index(drop=True)
+    columns = [rows[c].tolist() for c in ("component", "t", "score")]
+    return rows, *columns, list(zip(rows["lon"], rows["lat"]))
 
 
 def suppress_in_order(events: DataFrame, seconds: float = 50.0, degrees: float = 5.0) -> DataFrame:
     """Greedy suppression in order of time. Each event that stands looks at later ones within seconds and degrees,
-    dropped or not: it drops those of lower score, and drops itself at the first of equal or higher score. Events more than
-    ``seconds`` apart never meet, so islands of time are independent tasks."""
+    dropped or not: it drops those of lower score, and drops itself at the first of equal or higher score."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"], kind="stable").reset_index(drop=True)
-        t, score, at = rows["t"].tolist(), rows["score"].tolist(), list(zip(rows["lon"], rows["lat"]))
+        rows, comp, t, score, at = _clusters(rows)
         gone = [False] * len(rows)
         for i in range(len(rows)):
             if gone[i]:
                 continue
             for j in range(i + 1, len(rows)):
-                if t[j] - t[i] > seconds:
+                if comp[j] != comp[i] or t[j] - t[i] > seconds:
                     break
                 if _degrees(at[i], at[j]) < degrees:
                     if score[i] > score[j]:
@@ -128,7 +141,7 @@ def suppress_in_order(events: DataFrame, seconds: float = 50.0, degrees: float =
         return rows[[not g for g in gone]][names]
 
     names = events.columns
-    return _in_islands(events, seconds, run)
+    return _in_clusters(events, seconds, geo.dist_deg("lon", "lat", "o_lon", "o_lat") < degrees + 1e-6, run)
 
 
 def suppress_to_fixpoint(events: DataFrame, seconds: float = 50.0, km: float = 60.0) -> DataFrame:
@@ -136,8 +149,7 @@ def suppress_to_fixpoint(events: DataFrame, seconds: float = 50.0, km: float = 6
     of lower score goes (of equals the later one)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"], kind="stable").reset_index(drop=True)
-        t, score, at = rows["t"].tolist(), rows["score"].tolist(), list(zip(rows["lon"], rows["lat"]))
+        rows, comp, t, score, at = _clusters(rows)
         live, changed = [True] * len(rows), True
         while changed:
             changed = False
@@ -145,16 +157,16 @@ def suppress_to_fixpoint(events: DataFrame, seconds: float = 50.0, km: float = 6
                 if not live[i]:
                     continue
                 for j in range(i + 1, len(rows)):
-                    if t[j] - t[i] > seconds:
+                    if comp[j] != comp[i] or t[j] - t[i] > seconds:
                         break
-                    if live[j] and _degrees(at[i], at[j]) * 3.141592653589793 / 180 * geo.EARTH_RADIUS_KM <= km:
+                    if live[j] and math.radians(_degrees(at[i], at[j])) * geo.EARTH_RADIUS_KM <= km:
                         live[i if score[j] > score[i] else j] = False
                         changed = True
                         break
         return rows[live][names]
 
     names = events.columns
-    return _in_islands(events, seconds, run)
+    return _in_clusters(events, seconds, geo.dist_km("lon", "lat", "o_lon", "o_lat") <= km + 1e-3, run)
 
 
 def folds(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:

@@ -20,32 +20,47 @@ TYPES = {
 }
 
 
+def _series_of(column: pa.Array) -> list[np.ndarray]:
+    """A list column's rows as views of its flat values; nulls are NaN."""
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1]
+    return np.split(flat, ends)
+
+
+def _array_of(values: list, kind: pa.DataType) -> pa.Array:
+    if not kind.equals(pa.list_(pa.float64())):
+        return pa.array(values, kind)
+    sizes = np.array([len(v) for v in values])
+    flat = np.concatenate([np.asarray(v, float) for v in values]) if len(values) else np.zeros(0)
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat, from_pandas=True))
+
+
 def map_samples(rows: DataFrame, kernel, **new: str) -> DataFrame:
-    """One pass over rows: kernel(samples, the row as a dict) -> a tuple of the new columns, named with their types."""
+    """One pass over rows: kernel(samples, the row as a dict, its lists as arrays) -> a tuple of the new columns, named with their types.
+    Series stay Arrow buffers and numpy views; NaN becomes null."""
     kept = [c for c in rows.columns if c not in new]
     types = [TYPES[t] for t in new.values()]
 
     def run(batches):
         for batch in batches:
-            out = [kernel(np.array(row["samples"], dtype=float), row) for row in batch.to_pylist()]
-            made = [pa.array([o[k] for o in out], t) for k, t in enumerate(types)]
+            if not batch.num_rows:
+                continue
+            columns = {c: _series_of(x) if pa.types.is_list(x.type) and (pa.types.is_floating(x.type.value_type) or pa.types.is_integer(x.type.value_type)) else x.to_pylist() for c, x in zip(batch.schema.names, batch.columns)}
+            out = [kernel(row["samples"], row) for row in (dict(zip(columns, r)) for r in zip(*columns.values()))]
+            made = [_array_of([o[k] for o in out], t) for k, t in enumerate(types)]
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *made], [*kept, *new])
 
     base = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept]
     return rows.mapInArrow(run, ", ".join(base + [f"{n} {t}" for n, t in new.items()]))
 
 
-def _nulls(x: np.ndarray) -> list:
-    return [None if np.isnan(v) else float(v) for v in x]
-
-
 def filtered(waves_df: DataFrame, chain: str, canonical: bool = False) -> DataFrame:
     """Applies a whole chain of filters in one pass; samples and srate change."""
     waves.parse_chain(chain, canonical)
 
     def kernel(x, row):
         y, rate = waves.apply_chain(x, float(row["srate"]), chain, canonical)
-        return _nulls(y), float(rate)
+        return y, float(rate)
 
     return map_samples(waves_df, kernel, samples="array<double>", srate="double")
 
@@ -126,7 +141,7 @@ def best_correlation(pairs: DataFrame, most: int) -> DataFrame:
     """Adds xc and shift: the best correlation of samples with other over small shifts."""
 
     def kernel(x, row):
-        return waves.two_way_correlation(x, np.array(row["other"], float), most)
+        return waves.two_way_correlation(x, row["other"], most)
 
     return map_samples(pairs, kernel, xc="double", shift="int")
 
@@ -136,38 +151,41 @@ def ar_models(rows: DataFrame, order: int) -> DataFrame:
 
     def kernel(x, row):
         phi, sigma = waves.yule_walker(x, order)
-        return phi.tolist(), sigma, waves.ar_log_likelihood(x, float(np.nanmean(x)), phi, sigma)
+        return phi, sigma, waves.ar_log_likelihood(x, float(np.nanmean(x)), phi, sigma)
 
     return map_samples(rows, kernel, phi="array<double>", sigma="double", loglik="double")
 
 
 def spectrum(rows: DataFrame) -> DataFrame:
     """Adds power: squared magnitude at the FFT's frequencies."""
-    return map_samples(rows, lambda x, row: ((np.abs(np.fft.rfft(np.nan_to_num(x))) ** 2 / max(1, len(x))).tolist(),), power="array<double>")
+    return map_samples(rows, lambda x, row: ((np.abs(np.fft.rfft(np.nan_to_num(x))) ** 2 / max(1, len(x))),), power="array<double>")
 
 
-def stitched(requests: DataFrame, files: DataFrame, pad_seconds: float = 0.0) -> DataFrame:
+def stitched(requests: DataFrame, files: DataFrame, pad_seconds: float = 0.0, mirror: bool = False) -> DataFrame:
     """One waveform per request (rid, sta, chan, stime, etime) from files (sta, chan, time, srate, samples) that overlap
-    it: samples go to their places on the request's grid, later files over earlier ones, the rest is null."""
+    it: samples go to their places on a grid of the least rate there is, later files over earlier ones; files of a multiple of that
+    rate are decimated, any other rate is an error. Gaps are null, or filled by reflection and only null in the padding at both ends."""
     from .joins import overlap_join
 
     spans = files.select("sta", "chan", F.col("time").alias("ftime"), (F.col("time") + F.size("samples") / F.col("srate")).alias("fend"), F.col("srate").alias("frate"), F.col("samples").alias("fsamples"))
     both = overlap_join(requests, spans, ("stime", "etime"), ("ftime", "fend"), 3600.0, keys=["sta", "chan"])
 
     def stitch(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ftime", kind="stable")
-        r, rate = part.iloc[0], float(part["frate"].max())
+        part = part.sort_values(["ftime", "frate"], kind="stable")
+        r, rate = part.iloc[0], float(part["frate"].min())
         grid = np.full(int(round((r["etime"] - r["stime"]) * rate)), np.nan)
-        for f in part[part["frate"] == rate].itertuples():
+        for f in part.itertuples():
             at = int(np.floor((f.ftime - r["stime"]) * rate + 1e-4))
-            x = np.array(f.fsamples, float)
+            x, _ = waves.decimate(np.array(f.fsamples, float), float(f.frate), rate)
             lo, hi = max(0, -at), min(len(x), len(grid) - at)
             if hi > lo:
                 grid[at + lo : at + hi] = x[lo:hi]
+        if mirror:
+            grid = waves.mirror_missing(grid)
         edge = int(pad_seconds * rate)
         if edge:
             grid[:edge] = grid[len(grid) - edge :] = np.nan
-        return pd.DataFrame({"rid": [r["rid"]], "sta": [r["sta"]], "chan": [r["chan"]], "stime": [r["stime"]], "srate": [rate], "samples": [_nulls(grid)]})
+        return pd.DataFrame({"rid": [r["rid"]], "sta": [r["sta"]], "chan": [r["chan"]], "stime": [r["stime"]], "srate": [rate], "samples": [[None if np.isnan(x) else float(x) for x in grid]]})
 
     s = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
     return both.groupBy("rid").applyInPandas(stitch, f"rid {s['rid']}, sta {s['sta']}, chan {s['chan']}, stime double, srate double, samples array<double>")

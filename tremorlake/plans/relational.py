@@ -245,7 +245,8 @@ def f15(spark, sf):
 @query("f16_list_order", "SELECT event_id, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, event_id) AS BIGINT) AS place FROM events WHERE event_type IN ('error', 'click', 'view')")
 def f16(spark, sf):
     kept = ops.by_list(v.table(spark, sf, "events"), "event_type", ["error", "click", "view"])
-    return kept.select("event_id", F.row_number().over(Window.orderBy("list_place", "event_id")).cast("bigint").alias("place"))
+    places = sequences.ordinal(kept.select("event_id", "list_place"), [], ["list_place", "event_id"], "place")
+    return places.select("event_id", (F.col("place") + 1).alias("place"))
 
 
 @query("f17_like", "SELECT p_partkey FROM part WHERE p_name LIKE 'red%'")

@@ -134,4 +134,4 @@ def t39(spark, sf):
 def t22(spark, sf):
     from tremorlake.functions import waves
 
-    return ts.map_samples(wave(spark, sf), lambda x, row: (waves.sta_lta(x, 4, 16).tolist(),), ratio="array<double>").select("vec_id", "ratio")
+    return ts.map_samples(wave(spark, sf), lambda x, row: (waves.sta_lta(x, 4, 16),), ratio="array<double>").select("vec_id", "ratio")
