@@ -7,8 +7,6 @@ on and is left out of every result. Repeated rows are kept as they come.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import weakref
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremorlake.operators.lineage import shared_path
+
 #: Bytes of text that a Python worker handles at once; one longer text makes a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Rows of a block at most, so that a row's place fits 16 bits.
@@ -36,15 +36,6 @@ def clean_docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a table that executors write and read, below spark.checkpoint.dir. Only a local session, whose executors are the driver,
-    may do without that setting; it gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
-
-
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 

@@ -1,35 +1,14 @@
-"""Connected components of large graphs with DataFrame joins: alternating large and small stars."""
+"""Connected components whose rounds are cut by written tables; each round's table goes once the next one is there."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import discard, written
+from tremorlake.operators import graphs
 
+from .common import discard, written
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id that each node of the undirected edges (a, b) is connected with.
 
-    Each round joins every node with the least of its neighbours, so long paths shrink by half and hubs never gather
-    their neighbours in one row. Rounds are cut by written tables. Self-loops give components of one node.
-    """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(most_rounds):
-        # done when all are stars: no node has two edges down, and none that is another's end has one
-        ends = now.select("u", F.lit(1).alias("down")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("down")).distinct())
-        if not ends.groupBy("u").agg(F.sum("down").alias("n"), F.count("*").alias("k")).where("n > 1 OR n = 1 AND k > 1").limit(1).count():
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # every larger neighbour goes to the least one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # then every node and its smaller neighbours go to the least of them
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, now = now, written(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(before)
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return roots.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that each node of the undirected edges (a, b) is connected with, by stars at any size."""
+    return graphs.components(edges, lambda df: written(df, "edges"), discard, few=0)
