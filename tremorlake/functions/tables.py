@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,11 +14,15 @@ def grid_cells(nodes: DataFrame, x: str, y: str, value: str, step_x: float, step
     return corner(0, 0, "v00").join(corner(1, 0, "v10"), ["i", "j"]).join(corner(0, 1, "v01"), ["i", "j"]).join(corner(1, 1, "v11"), ["i", "j"])
 
 
+def cell_of(c: str, step: float, n: int) -> Column:
+    """Index of the cell that a value is in, null outside; the upper edge belongs to the last cell."""
+    return F.when((F.col(c) >= 0) & (F.col(c) <= step * n), F.least(F.floor(F.col(c) / step), F.lit(n - 1)))
+
+
 def bilinear(rows: DataFrame, cells: DataFrame, x: str, y: str, step_x: float, step_y: float, n_x: int, n_y: int, name: str) -> DataFrame:
     """Adds the interpolated value; -1 outside the grid or where a corner is missing. A value on the upper edge belongs to the
     last cell."""
-    at = lambda c, step, n: F.when((F.col(c) >= 0) & (F.col(c) <= step * n), F.least(F.floor(F.col(c) / step), F.lit(n - 1)))
-    placed = rows.withColumns({"i": at(x, step_x, n_x), "j": at(y, step_y, n_y)})
+    placed = rows.withColumns({"i": cell_of(x, step_x, n_x), "j": cell_of(y, step_y, n_y)})
     u, w = F.col(x) / step_x - F.col("i"), F.col(y) / step_y - F.col("j")
     value = F.col("v00") * (1 - u) * (1 - w) + F.col("v10") * u * (1 - w) + F.col("v01") * (1 - u) * w + F.col("v11") * u * w
     return placed.join(cells, ["i", "j"], "left").withColumn(name, F.coalesce(value, F.lit(-1.0))).drop("i", "j", "v00", "v10", "v01", "v11")

@@ -100,6 +100,24 @@ def detection_model(rows: DataFrame, label: str) -> dict[str, float]:
     return dict(zip(names, map(float, model.coefficients))) | {"intercept": float(model.intercept)}
 
 
+def noise_priors(rows: DataFrame, key: str, seconds: float) -> DataFrame:
+    """(key, n, mean, sd, variance): what the log amplitudes of blocks of so many seconds (of two rows or more) are like per key: the mean and deviation of
+    their means, and their mean variance."""
+    log = rows.where("amp > 0").groupBy(key, F.floor(F.col("time") / seconds).alias("_block")).agg(F.avg(F.ln("amp")).alias("m"), F.var_pop(F.ln("amp")).alias("s"), F.count("*").alias("k")).where("k > 1")
+    return log.groupBy(key).agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"), F.avg("s").alias("variance"))
+
+
+def mixture(rows: DataFrame, x: str, k: int, seed: int = 0) -> DataFrame:
+    """(component, weight, mean, var) of a Gaussian mixture over one column."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = VectorAssembler(inputCols=[x], outputCol="_v").transform(rows.where(F.col(x).isNotNull()).select(x))
+    model = GaussianMixture(k=k, seed=seed, featuresCol="_v").fit(ready)
+    parts = sorted((float(g.mean[0]), float(g.cov.toArray()[0, 0]), float(w)) for w, g in zip(model.weights, model.gaussians))
+    return rows.sparkSession.createDataFrame([(i, w, m, s) for i, (m, s, w) in enumerate(parts)], "component int, weight double, mean double, var double")
+
+
 def bin_index(x: str | Column, start: float, size: float, n: int) -> Column:
     """Bin of a value, with a small excess against rounding; the last bin is closed on the right."""
     c = F.col(x) if isinstance(x, str) else x

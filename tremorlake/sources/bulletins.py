@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tremorlake.functions import waves
 
 
-def read_table(spark: SparkSession, path: str, schema: str, sep: str = ", ") -> DataFrame:
-    """Delimited text with a header line and optional double quotes."""
-    return spark.read.schema(schema).options(sep=sep, quote='"', header=True, ignoreLeadingWhiteSpace=True).csv(path)
+def read_table(spark: SparkSession, path: str, schema: str, sep: str = ", ", header: bool = True) -> DataFrame:
+    """Delimited text with optional double quotes and, mostly, a header line in each file."""
+    return spark.read.schema(schema).options(sep=sep, quote='"', header=header, ignoreLeadingWhiteSpace=True).csv(path)
 
 
 def export_table(df: DataFrame, path: str, where: str | None = None, order: list[str] | None = None) -> None:
@@ -138,24 +138,84 @@ def read_phase_bulletin(spark: SparkSession, path: str, start: float | None = No
 
 def read_waveforms(spark: SparkSession, index: DataFrame, path: str) -> DataFrame:
     """Samples for index rows (wfid, dfile, foff, nsamp, datatype, calib, ...) from binary files below path; gzipped files
-    may stand for plain ones. Only named files are opened, each once per index row that names it."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.gz$", "").alias("dfile"), F.col("path").endswith(".gz").alias("_gz"), "content")
-    both = index.join(files, "dfile")
-    keep = list(index.columns)
+    may stand for plain ones. dfile is a file's name, or the end of its path where names repeat. Files that no row names are left out by their path, before
+    anything is read of them; a named file is read once, and all rows that name it are decoded from it in one task."""
+    listed = spark.read.format("binaryFile").load(path).select("path").distinct()
+    plain = F.regexp_replace("path", r"\.gz$", "")
+    parts = F.split(plain, "/")
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))).alias("dfile")
+    named = listed.select("path", ends).join(index.select("dfile").distinct(), "dfile", "left_semi")
+    columns = index.columns
+    rows = index.join(named, "dfile").groupBy("path").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content").join(rows, "path")
 
     def decode(batches):
         import gzip
 
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = gzip.decompress(row["content"]) if row["path"].endswith(".gz") else row["content"]
+                for r in row["rows"]:
+                    width = 4 if r["datatype"] == "s4" else 3
+                    r["samples"] = waves.decode_samples(raw[r["foff"] : r["foff"] + width * r["nsamp"]], r["datatype"], r["calib"]).tolist()
+                yield pa.RecordBatch.from_pylist(row["rows"], schema=out)
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    types = StructType([*index.schema.fields, StructField("samples", ArrayType(DoubleType()))])
+    out = to_arrow_schema(types)
+    return files.mapInArrow(decode, types)
+
+
+#: Fixed values of the SAC format: bytes of a header, byte offsets of its floats, integers and texts, and what stands for a missing number.
+SAC_HEADER, SAC_MISSING = 632, -12345
+SAC_FLOATS = {"delta": 0, "b": 20, "e": 24, "stla": 124, "stlo": 128}
+SAC_INTEGERS = {"nzyear": 280, "nzjday": 284, "nzhour": 288, "nzmin": 292, "nzsec": 296, "nzmsec": 300, "npts": 316}
+SAC_TEXTS = {"kstnm": (440, 8), "kcmpnm": (600, 8)}
+
+
+def index_sac_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sta, chan, stime, etime, hz, npts) of the SAC files below path, of either byte order. Only headers leave the readers."""
+    schema = "path string, sta string, chan string, stime double, etime double, hz double, npts long"
+
+    def decode(batches):
+        import struct
+
         for pdf in batches:
-            samples = []
-            for r in pdf.itertuples():
-                raw = gzip.decompress(r.content) if r.gz else r.content
-                width = 4 if r.datatype == "s4" else 3
-                samples.append(waves.decode_samples(raw[r.foff : r.foff + width * r.nsamp], r.datatype, r.calib).tolist())
-            yield pdf[keep].assign(samples=samples)
-
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema.fields)
-    return both.select(*keep, F.col("_gz").alias("gz"), "content").mapInPandas(decode, f"{base}, samples array<double>")
+            rows = []
+            for name, head in zip(pdf["path"], pdf["head"]):
+                if len(head) < SAC_HEADER:
+                    continue
+                order = next((o for o in "<>" if struct.unpack_from(o + "i", head, 304)[0] in (6, 7)), None)
+                if order is None:
+                    continue
+                f = {k: struct.unpack_from(order + "f", head, at)[0] for k, at in SAC_FLOATS.items()}
+                n = {k: struct.unpack_from(order + "i", head, at)[0] for k, at in SAC_INTEGERS.items()}
+                t = {k: head[at : at + size].decode("ascii", "replace").rstrip("\0 ") for k, (at, size) in SAC_TEXTS.items()}
+                zero = datetime(n["nzyear"], 1, 1, tzinfo=timezone.utc).timestamp() + ((n["nzjday"] - 1) * 24 + n["nzhour"]) * 3600 + n["nzmin"] * 60 + n["nzsec"] + n["nzmsec"] / 1000
+                begin = zero + (0.0 if f["b"] == SAC_MISSING else f["b"])
+                rows.append((name, t["kstnm"], t["kcmpnm"], begin, begin + n["npts"] * f["delta"], 1 / f["delta"], n["npts"]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", F.expr(f"substring(content, 1, {SAC_HEADER})").alias("head")).mapInPandas(decode, schema)
+
+
+def append_trace(rows: DataFrame, path: str) -> None:
+    """Adds rows of sampled states (chain, step, ...) to a table kept by chain; what is there stays as it is."""
+    rows.repartition("chain").write.mode("append").partitionBy("chain").parquet(path)
+
+
+def read_traces(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All states appended so far; a condition on chain reads only its folder."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def appended(rows: DataFrame, path: str) -> None:
+    """INSERT INTO a Parquet table ... SELECT: the columns by name, in the table's order and types."""
+    table = rows.sparkSession.read.parquet(path).schema
+    rows.select(*(F.col(f.name).cast(f.dataType) for f in table.fields)).write.mode("append").parquet(path)
 
 
 def merged_states(parts: list[DataFrame], periods: list[tuple[float, float]], time: str = "time") -> DataFrame:
