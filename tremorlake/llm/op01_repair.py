@@ -32,50 +32,95 @@ _BINS = 20
 BLOCK_SCHEMA = "shard int, block int, n_ids long, n_terminals int, doc_ids array<long>, doc_tokens binary, rules binary, round_sizes array<int>, expansions binary, symbols binary"
 
 
+def _distinct(code: np.ndarray, slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, for each place the number of its pair, and how often each is there. Slots that hold one pair only need no sorting."""
+    if slot is None:
+        return np.unique(code, return_inverse=True, return_counts=True)
+    holds, mixed, number = np.zeros(1 << _BINS, np.int64), np.zeros(1 << _BINS, bool), np.full(1 << _BINS, -1, np.int32)
+    holds[slot] = code
+    mixed[slot[holds[slot] != code]] = True
+    several = mixed[slot]
+    one = slot[~several]
+    number[one] = 0
+    slots = np.flatnonzero(number == 0)
+    number[slots] = np.arange(len(slots))
+    pairs, of, n = np.unique(code[several], return_inverse=True, return_counts=True)
+    out = np.empty(len(code), np.int64)
+    out[~several], out[several] = number[one], of + len(slots)
+    return np.concatenate([holds[slots], pairs]), out, np.concatenate([np.bincount(number[one], minlength=len(slots)), n])
+
+
+def _frequent_pairs(code: np.ndarray, slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs at some places the most frequent ones, and for each place the number of its pair or -1."""
+    pairs, of, n = _distinct(code, slot)
+    top = np.lexsort([pairs, -n])[:RULES_PER_ROUND]
+    top = top[n[top] >= LEAST_COUNT]
+    top = top[np.argsort(pairs[top])]
+    rule_of = np.full(len(pairs), -1)
+    rule_of[top] = np.arange(len(top))
+    return pairs[top], rule_of[of]
+
+
+def _places_of_frequent_pairs(seq: np.ndarray, last: np.ndarray):
+    """Places that the most frequent pairs of the whole sequence are among, by the sums of hash slots; then those of all slots that are
+    heavy enough, if many rare pairs in common slots hid every frequent one."""
+    code = (seq[:-1] << 32) | seq[1:]
+    with np.errstate(over="ignore"):
+        slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
+    slot[last[:-1]] = 1 << _BINS
+    heavy = np.bincount(slot, minlength=(1 << _BINS) + 1)
+    heavy[1 << _BINS] = 0
+    more = np.cumsum(np.bincount(heavy)[::-1])[::-1]  # slots of so many pairs or more
+    heaviest = int(np.searchsorted(-more, -RULES_PER_ROUND, "right")) - 1
+    for bound in sorted({max(LEAST_COUNT, heaviest), LEAST_COUNT}, reverse=True):
+        at = np.flatnonzero(heavy[slot] >= bound)
+        yield at, code[at], slot[at], bound == LEAST_COUNT
+
+
 def build_grammar(ids: np.ndarray, counts: np.ndarray) -> dict:
-    """Rules (left, right), rules made in each round, expansion lengths and what is left of the ids."""
+    """Rules (left, right), rules made in each round, expansion lengths and what is left of the ids.
+
+    A round that replaces all frequent pairs leaves none but those that hold a new nonterminal, so that the rounds after it
+    look at those places alone.
+    """
     n_terminals = int(ids.max()) + 1 if len(ids) else 1
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(counts) - 1] = True
     lefts, rights, sizes = [], [], []
     lengths = np.ones(n_terminals, np.int64)
+    near = None  # places of pairs with a nonterminal of the last round, where no other pair can be frequent
     while len(seq) > 1:
-        code = (seq[:-1] << 32) | seq[1:]
-        with np.errstate(over="ignore"):
-            slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BINS)).astype(np.int64)
-        slot[last[:-1]] = 1 << _BINS
-        heavy = np.bincount(slot, minlength=(1 << _BINS) + 1)
-        heavy[1 << _BINS] = 0
-        k = min(RULES_PER_ROUND, 1 << _BINS)
-        heaviest = int(np.partition(heavy, len(heavy) - k)[len(heavy) - k])
-        top = np.zeros(0, np.int64)
-        for bound in sorted({max(LEAST_COUNT, heaviest), LEAST_COUNT}, reverse=True):  # slots of many rare pairs must not hide a frequent one
-            at = np.flatnonzero(heavy[slot] >= bound)
-            pairs, of, n = np.unique(code[at], return_inverse=True, return_counts=True)
-            top = np.sort(np.argsort(-n, kind="stable")[:RULES_PER_ROUND])
-            top = top[n[top] >= LEAST_COUNT]
-            if len(top):
+        if near is not None:
+            places = [(near, (seq[near] << 32) | seq[near + 1], None, True)]
+        else:
+            places = _places_of_frequent_pairs(seq, last)
+        for at, code, slot, whole in places:
+            pairs, hit = _frequent_pairs(code, slot)
+            if len(pairs):
                 break
-        if not len(top):
+        if not len(pairs):
             break
-        rule_of = np.full(len(pairs), -1)
-        rule_of[top] = np.arange(len(top))
-        hit = rule_of[of]
+        whole = whole and len(pairs) < RULES_PER_ROUND
         at, hit = at[hit >= 0], hit[hit >= 0]
         begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of neighbouring hits every second one is replaced
         odd = (np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))) % 2 == 1
         at, hit = at[~odd], hit[~odd]
         used, hit = np.unique(hit, return_inverse=True)
-        top = top[used]
-        left, right = pairs[top] >> 32, pairs[top] & 0xFFFFFFFF
+        left, right = pairs[used] >> 32, pairs[used] & 0xFFFFFFFF
         seq[at] = len(lengths) + hit
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
+        near = None
+        if whole:
+            made = at - np.arange(len(at))  # where the new nonterminals are now
+            near = np.unique(np.concatenate([made - 1, made]))
+            near = near[(near >= 0) & (near < len(seq) - 1)]
+            near = near[~last[near]]
         lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
-        lefts.append(left), rights.append(right), sizes.append(len(top))
+        lefts.append(left), rights.append(right), sizes.append(len(used))
     pairs = np.stack([np.concatenate(lefts), np.concatenate(rights)]).astype("<u4") if sizes else np.zeros((2, 0), "<u4")
     return {"n_terminals": n_terminals, "rules": pairs, "round_sizes": sizes, "expansions": lengths[n_terminals:].astype("<u4"), "symbols": seq.astype("<u4")}
 
