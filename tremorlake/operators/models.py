@@ -107,13 +107,13 @@ def noise_priors(rows: DataFrame, key: str, seconds: float) -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"), F.avg("s").alias("variance"))
 
 
-def mixture(rows: DataFrame, x: str, k: int, seed: int = 0) -> DataFrame:
-    """(component, weight, mean, var) of a Gaussian mixture over one column."""
+def mixture(rows: DataFrame, x: str, k: int, tries: int = 4) -> DataFrame:
+    """(component, weight, mean, var) of a Gaussian mixture over one column: the likeliest of several that begin elsewhere."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
     ready = VectorAssembler(inputCols=[x], outputCol="_v").transform(rows.where(F.col(x).isNotNull()).select(x))
-    model = GaussianMixture(k=k, seed=seed, featuresCol="_v").fit(ready)
+    model = max((GaussianMixture(k=k, seed=seed, featuresCol="_v").fit(ready) for seed in range(tries)), key=lambda m: m.summary.logLikelihood)
     parts = sorted((float(g.mean[0]), float(g.cov.toArray()[0, 0]), float(w)) for w, g in zip(model.weights, model.gaussians))
     return rows.sparkSession.createDataFrame([(i, w, m, s) for i, (m, s, w) in enumerate(parts)], "component int, weight double, mean double, var double")
 
