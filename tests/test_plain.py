@@ -103,7 +103,7 @@ def test_learned_models(spark):
     assert np.mean([(v > 0) == s[3] for v, s in zip(z, seen)]) > 0.95
     assert models.detection_model(df.where("NOT seen"), "seen")["intercept"] == -10.0
     two = spark.createDataFrame([(float(c + rng.normal()),) for c in (0, 20) for _ in range(200)], "x double")
-    parts = models.mixture(two, "x", 2).toPandas()
+    parts = models.mixture(two, "x", 2, tries=4).toPandas()
     assert np.allclose(parts["mean"], (0, 20), atol=0.5) and np.allclose(parts["weight"], 0.5, atol=0.05)
 
 

@@ -107,7 +107,7 @@ def noise_priors(rows: DataFrame, key: str, seconds: float) -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"), F.avg("s").alias("variance"))
 
 
-def mixture(rows: DataFrame, x: str, k: int, tries: int = 4) -> DataFrame:
+def mixture(rows: DataFrame, x: str, k: int, tries: int = 2) -> DataFrame:
     """(component, weight, mean, var) of a Gaussian mixture over one column: the likeliest of several that begin elsewhere."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
