@@ -26,3 +26,21 @@ def bilinear(rows: DataFrame, cells: DataFrame, x: str, y: str, step_x: float, s
     u, w = F.col(x) / step_x - F.col("i"), F.col(y) / step_y - F.col("j")
     value = F.col("v00") * (1 - u) * (1 - w) + F.col("v10") * u * (1 - w) + F.col("v01") * (1 - u) * w + F.col("v11") * u * w
     return placed.join(cells, ["i", "j"], "left").withColumn(name, F.coalesce(value, F.lit(-1.0))).drop("i", "j", "v00", "v10", "v01", "v11")
+
+
+def cell_coefficients(cells: DataFrame, step_x: float, step_y: float, decimals: int | None = None) -> DataFrame:
+    """The polynomial c0 + c1 x + c2 y + c3 x y of every cell of ``grid_cells``, null where a corner is missing. ``decimals`` rounds the
+    coefficients, for tables that are known to have no more."""
+    x, y = F.col("i") * F.lit(step_x), F.col("j") * F.lit(step_y)
+    c3 = (F.col("v11") - F.col("v10") - F.col("v01") + F.col("v00")) / (step_x * step_y)
+    c1, c2 = (F.col("v10") - F.col("v00")) / step_x - c3 * y, (F.col("v01") - F.col("v00")) / step_y - c3 * x
+    c0 = F.col("v00") - c1 * x - c2 * y - c3 * x * y
+    tidy = (lambda c: c) if decimals is None else (lambda c: F.round(c, decimals))
+    return cells.select("i", "j", *(tidy(c).alias(f"c{k}") for k, c in enumerate((c0, c1, c2, c3))))
+
+
+def by_coefficients(rows: DataFrame, coefficients: DataFrame, x: str, y: str, step_x: float, step_y: float, n_x: int, n_y: int, name: str) -> DataFrame:
+    """``bilinear`` with the polynomials of ``cell_coefficients``."""
+    placed = rows.withColumns({"i": cell_of(x, step_x, n_x), "j": cell_of(y, step_y, n_y)})
+    value = F.col("c0") + F.col(x) * F.col("c1") + F.col(y) * F.col("c2") + F.col(x) * F.col(y) * F.col("c3")
+    return placed.join(coefficients, ["i", "j"], "left").withColumn(name, F.coalesce(value, F.lit(-1.0))).drop("i", "j", "c0", "c1", "c2", "c3")

@@ -74,14 +74,28 @@ def s21(spark, sf):
     return io.merged_states([a.where("arid % 2 = 0"), a.where("arid % 2 = 1")], [(1704067200, 1705000000), (1705000000, 1706000000)]).select("arid")
 
 
-@query("x16_travel_time", "SELECT event_id, round(CASE WHEN d > 180 OR z > 700 THEN -1 ELSE 3 + d * 8 - z * 0.01 + d * z * 0.0005 END, 8) AS tt FROM (SELECT event_id, value * 0.5 AS d, (event_id % 800)::DOUBLE AS z FROM events)")
-def x16(spark, sf):
-    # a table of nodes that is bilinear in itself, so that interpolation has to be exact; its values are multiples of 0.0000025, and
-    # eight decimals, unlike four, have no ties that the last bit would decide
+def sloping_table(spark):
+    # a table of nodes that is bilinear in itself, so that interpolation has to be exact; it goes below zero
     nodes = spark.range(19 * 8).select((F.col("id") % 19 * 10.0).alias("d"), (F.floor(F.col("id") / 19) * 100.0).alias("z")).withColumn("tt", 3 + F.col("d") * 8 - F.col("z") * 0.01 + F.col("d") * F.col("z") * 0.0005)
-    cells = tables.grid_cells(nodes, "d", "z", "tt", 10.0, 100.0, negative_is_missing=False)  # this one goes below zero
-    rows = v.table(spark, sf, "events").select("event_id", (F.col("value") * 0.5).alias("d"), (F.col("event_id") % 800).cast("double").alias("z"))
-    return tables.bilinear(rows, cells, "d", "z", 10.0, 100.0, 18, 7, "tt").select("event_id", F.round("tt", 8).alias("tt"))
+    return tables.grid_cells(nodes, "d", "z", "tt", 10.0, 100.0, negative_is_missing=False)
+
+
+def distances(spark, sf):
+    return v.table(spark, sf, "events").select("event_id", (F.col("value") * 0.5).alias("d"), (F.col("event_id") % 800).cast("double").alias("z"))
+
+
+@query("x16_travel_time", "SELECT event_id, round(CASE WHEN d > 180 OR z > 700 THEN -1 ELSE 3 + d * 8 - z * 0.01 + d * z * 0.0005 END, 4) AS tt FROM (SELECT event_id, value * 0.5 AS d, (event_id % 800)::DOUBLE AS z FROM events)")
+def x16(spark, sf):
+    # values are multiples of 0.0000025, so one in forty is a tie of the fourth decimal; coefficients without the error of their last bits
+    # let it fall as the formula of the nodes does, rounded half away from zero as a double and not, as F.round does, as a decimal text
+    cells = tables.cell_coefficients(sloping_table(spark), 10.0, 100.0, decimals=10)
+    out = tables.by_coefficients(distances(spark, sf), cells, "d", "z", 10.0, 100.0, 18, 7, "tt")
+    return out.select("event_id", (F.signum("tt") * F.floor(F.abs("tt") * 1e4 + 0.5) / 1e4).alias("tt"))
+
+
+@query("x16_corner_weights", "SELECT event_id, round(CASE WHEN d > 180 OR z > 700 THEN -1 ELSE 3 + d * 8 - z * 0.01 + d * z * 0.0005 END, 8) AS tt FROM (SELECT event_id, value * 0.5 AS d, (event_id % 800)::DOUBLE AS z FROM events)")
+def x16_corners(spark, sf):
+    return tables.bilinear(distances(spark, sf), sloping_table(spark), "d", "z", 10.0, 100.0, 18, 7, "tt").select("event_id", F.round("tt", 8).alias("tt"))
 
 
 @query("x16_missing_nodes", "SELECT event_id, round(CASE WHEN d > 180 OR z > 700 OR (least(floor(d / 10), 17) IN (3, 4) AND least(floor(z / 100), 6) IN (1, 2)) THEN -1 ELSE 3 + d * 8 + z * 0.01 + d * z * 0.0005 END, 8) AS tt FROM (SELECT event_id, value * 0.5 AS d, (event_id % 800)::DOUBLE AS z FROM events)")
@@ -89,8 +103,7 @@ def x16_missing(spark, sf):
     # the node at 40 degrees and 200 km has no value, so the four cells around it have none
     value = F.when((F.col("d") == 40) & (F.col("z") == 200), -1.0).otherwise(3 + F.col("d") * 8 + F.col("z") * 0.01 + F.col("d") * F.col("z") * 0.0005)
     nodes = spark.range(19 * 8).select((F.col("id") % 19 * 10.0).alias("d"), (F.floor(F.col("id") / 19) * 100.0).alias("z")).withColumn("tt", value)
-    rows = v.table(spark, sf, "events").select("event_id", (F.col("value") * 0.5).alias("d"), (F.col("event_id") % 800).cast("double").alias("z"))
-    return tables.bilinear(rows, tables.grid_cells(nodes, "d", "z", "tt", 10.0, 100.0), "d", "z", 10.0, 100.0, 18, 7, "tt").select("event_id", F.round("tt", 8).alias("tt"))
+    return tables.bilinear(distances(spark, sf), tables.grid_cells(nodes, "d", "z", "tt", 10.0, 100.0), "d", "z", 10.0, 100.0, 18, 7, "tt").select("event_id", F.round("tt", 8).alias("tt"))
 
 
 @query("t14_grown_mask", v.with_views("arrival") + ", r AS (SELECT sta, arid, max(CASE WHEN amp > 150 THEN 1 ELSE 0 END) OVER (PARTITION BY sta ORDER BY time, arid ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM arrival) SELECT arid, m = 1 AS masked FROM r")
