@@ -25,7 +25,7 @@ def degrees(a, b):
 def test_regional_counts_take_all_events(spark):
     site, origin = v.site(spark, SF).toPandas(), v.origin(spark, SF).toPandas()
     d = degrees(site, origin)  # coordinates are whole degrees, so some events lie on the border itself
-    got = {r.sta: r.n for r in QUERIES["a16_regional_counts_whole"](spark, SF).collect()}
+    got = {r.sta: r.n for r in QUERIES["a16_regional_counts"](spark, SF).collect()}
     n = np.array([got[s] for s in site["sta"]])
     assert len(got) == len(site) and ((d < 6 - 1e-6).sum(axis=1) <= n).all() and (n <= (d < 6 + 1e-6).sum(axis=1)).all()
 
@@ -33,7 +33,7 @@ def test_regional_counts_take_all_events(spark):
 def test_new_events_are_far_from_all_known_ones(spark):
     origin, gold = v.origin(spark, SF).toPandas(), v.gold(spark, SF).toPandas()
     far = (degrees(origin, gold) * 111.19492664455873 > 250).all(axis=1)
-    got = [r.id for r in QUERIES["f14_de_novo_whole"](spark, SF).collect()]
+    got = [r.id for r in QUERIES["f14_de_novo"](spark, SF).collect()]
     assert sorted(got) == sorted(origin["orid"][far]) and 0 < len(got) < len(origin)
 
 
@@ -77,7 +77,7 @@ def test_every_row_has_its_place(spark, shuffles):
     try:
         arrivals = v.arrival(spark, SF).toPandas().sort_values(["time", "arid"])["arid"].tolist()
         sites = v.site(spark, SF).toPandas().sort_values(["statype", "ondate", "sta"], ascending=[True, False, True])["sta"].tolist()
-        for name, key, want in (("k01_order_whole", "arid", arrivals), ("k02_multi_key_whole", "sta", sites)):
+        for name, key, want in (("k01_order", "arid", arrivals), ("k02_multi_key", "sta", sites)):
             got = QUERIES[name](spark, SF).toPandas().sort_values("place")
             assert got[key].tolist() == want and got["place"].tolist() == list(range(1, len(want) + 1))
     finally:

@@ -67,8 +67,9 @@ def true_blocks(rows: DataFrame, keys: list[str], index: str, flag: Column) -> D
     return kept.groupBy(*keys, "_run").agg(F.min(index).alias("first"), (F.max(index) + 1).alias("end")).drop("_run")
 
 
-def running_roc(rows: DataFrame, score: str, is_true: str, total_true: int) -> DataFrame:
-    """Precision and recall at each score from the highest on: counts by score first, so ties are one point."""
+def running_roc(rows: DataFrame, score: str, is_true: str, total_true: int | Column) -> DataFrame:
+    """Precision and recall at each score from the highest on: counts by score first, so ties are one point. total_true is a
+    number or a scalar subquery."""
     counts = rows.groupBy(score).agg(F.count_if(F.col(is_true)).alias("t"), F.count("*").alias("n"))
     run = running_sums(counts, [score], {"n_true": "t", "n_all": "n"}, descending=True).select(score, "n_true", "n_all")
     return run.withColumns({"precision": F.col("n_true") / F.col("n_all"), "recall": F.col("n_true") / F.lit(total_true)})

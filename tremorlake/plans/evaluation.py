@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tremorlake.operators import matching, models
 
 from . import views as v
-from .registry import query, whole
+from .registry import query
 
 _MATCH = v.with_views("gold", "guess")
 
@@ -71,18 +71,13 @@ def m18(spark, sf):
     return models.nearest_values(rows, places, "x", "qx", "y", 20.0, 5).select("qid", F.round("value", 6).alias("value"), "n")
 
 
-@query("m20_hough", "WITH s AS (SELECT s_suppkey AS sta, (s_suppkey * 37 % 360 - 180.0) AS slon, (s_suppkey * 17 % 181 - 90.0) AS slat FROM supplier WHERE s_suppkey < 20), c AS (SELECT unnest(generate_series(0, 71)) AS cell), p AS (SELECT sta, cell, slon, slat, cell % 12 * 30.0 - 165 AS clon, floor(cell / 12) * 30.0 - 75 AS clat FROM s, c), tt AS (SELECT sta, cell, radians(degrees(2*asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(clat)-radians(slat))/2),2) + cos(radians(clat))*cos(radians(slat))*pow(sin((radians(clon)-radians(slon))/2),2))))))) * 6371.0 / 8.0 AS tt FROM p), o AS (SELECT a.user_id AS sta, event_type AS phase, cell, epoch(ts) - tt AS t0 FROM events a JOIN tt ON tt.sta = a.user_id), n AS (SELECT *, CAST(floor(t0 / 10) AS BIGINT) + unnest([-1, 0, 1]) AS tbin FROM o), q AS (SELECT *, (tbin + 1) * 10 - t0 AS zb, tbin * 10 - t0 AS za FROM n), m AS (SELECT cell, tbin, sta, phase, ln(greatest((CASE WHEN zb < 0 THEN 0.5*exp(zb/5.0) ELSE 1-0.5*exp(-zb/5.0) END) - (CASE WHEN za < 0 THEN 0.5*exp(za/5.0) ELSE 1-0.5*exp(-za/5.0) END), 1e-12)) - ln(10) + 8 AS s FROM q), b AS (SELECT cell, tbin, sta, phase, max(s) AS s FROM m WHERE s > 0 GROUP BY ALL) SELECT CAST(cell AS BIGINT) AS cell, tbin, round(sum(s), 4) AS score, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) >= 2")
-def m20(spark, sf, some="sta < 20"):
-    stations = v.site(spark, sf).where(some).select("sta", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
-    templates = v.arrival(spark, sf).where(some).select("sta", F.col("iphase").alias("phase"), F.col("time").alias("atime"))
+@query("m20_hough", "WITH s AS (SELECT s_suppkey AS sta, (s_suppkey * 37 % 360 - 180.0) AS slon, (s_suppkey * 17 % 181 - 90.0) AS slat FROM supplier), c AS (SELECT unnest(generate_series(0, 71)) AS cell), p AS (SELECT sta, cell, slon, slat, cell % 12 * 30.0 - 165 AS clon, floor(cell / 12) * 30.0 - 75 AS clat FROM s, c), tt AS (SELECT sta, cell, radians(degrees(2*asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(clat)-radians(slat))/2),2) + cos(radians(clat))*cos(radians(slat))*pow(sin((radians(clon)-radians(slon))/2),2))))))) * 6371.0 / 8.0 AS tt FROM p), o AS (SELECT a.user_id AS sta, event_type AS phase, cell, epoch(ts) - tt AS t0 FROM events a JOIN tt ON tt.sta = a.user_id), n AS (SELECT *, CAST(floor(t0 / 10) AS BIGINT) + unnest([-1, 0, 1]) AS tbin FROM o), q AS (SELECT *, (tbin + 1) * 10 - t0 AS zb, tbin * 10 - t0 AS za FROM n), m AS (SELECT cell, tbin, sta, phase, ln(greatest((CASE WHEN zb < 0 THEN 0.5*exp(zb/5.0) ELSE 1-0.5*exp(-zb/5.0) END) - (CASE WHEN za < 0 THEN 0.5*exp(za/5.0) ELSE 1-0.5*exp(-za/5.0) END), 1e-12)) - ln(10) + 8 AS s FROM q), b AS (SELECT cell, tbin, sta, phase, max(s) AS s FROM m WHERE s > 0 GROUP BY ALL) SELECT CAST(cell AS BIGINT) AS cell, tbin, round(sum(s), 4) AS score, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) >= 2")
+def m20(spark, sf):
+    stations = v.site(spark, sf).select("sta", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
+    templates = v.arrival(spark, sf).select("sta", F.col("iphase").alias("phase"), F.col("time").alias("atime"))
     return models.event_grid(templates, stations, 30.0, 30.0, 10.0).where("n >= 2").select(F.col("cell").cast("bigint").alias("cell"), "tbin", F.round("score", 4).alias("score"), "n")
 
 
-@whole("m20_hough", (" WHERE s_suppkey < 20", ""))
-def m20w(spark, sf):
-    return m20(spark, sf, "true")
-
-
 @query("m21_bin_index", v.with_views("origin") + "SELECT orid, CAST(least(floor(depth / 50.0 + 1e-8), 13) AS BIGINT) AS b FROM origin WHERE depth BETWEEN 0 AND 700")
 def m21(spark, sf):
     return v.origin(spark, sf).where("depth BETWEEN 0 AND 700").select("orid", models.bin_index("depth", 0.0, 50.0, 14).alias("b"))

@@ -8,7 +8,7 @@ from tremorlake.functions import geo, names
 from tremorlake.operators import joins as jn
 
 from . import views as v
-from .registry import query, whole
+from .registry import query
 
 _HAV = "degrees(2*asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(a.lat)-radians(b.lat))/2),2) + cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(a.lon)-radians(b.lon))/2),2))))))"
 
@@ -46,19 +46,14 @@ def j05(spark, sf):
     return a.join(v.assoc(spark, sf).where("orid <> 17"), "arid", "left_semi").select("arid")
 
 
-@query("j06_nested_lists", v.with_views("origin", "assoc", "arrival") + ", d AS (SELECT DISTINCT orid, arid FROM assoc JOIN arrival USING (arid) WHERE timedef = 'd') SELECT orid, count(arid) AS n, string_agg(CAST(arid AS VARCHAR), ',' ORDER BY arid) AS arids FROM origin LEFT JOIN d USING (orid) WHERE orid < 2000 GROUP BY orid")
-def j06(spark, sf, some="orid < 2000"):
+@query("j06_nested_lists", v.with_views("origin", "assoc", "arrival") + ", d AS (SELECT DISTINCT orid, arid FROM assoc JOIN arrival USING (arid) WHERE timedef = 'd') SELECT orid, count(arid) AS n, string_agg(CAST(arid AS VARCHAR), ',' ORDER BY arid) AS arids FROM origin LEFT JOIN d USING (orid) GROUP BY orid")
+def j06(spark, sf):
     d = v.assoc(spark, sf).where("timedef = 'd'").join(v.arrival(spark, sf).select("arid"), "arid").select("orid", "arid").distinct()
     nested = d.groupBy("orid").agg(F.array_sort(F.collect_list("arid")).alias("list"))  # an event's own detections
-    out = v.origin(spark, sf).where(some).select("orid").join(nested, "orid", "left")
+    out = v.origin(spark, sf).select("orid").join(nested, "orid", "left")
     return out.select("orid", F.coalesce(F.size("list"), F.lit(0)).cast("bigint").alias("n"), F.array_join("list", ",").alias("arids"))
 
 
-@whole("j06_nested_lists", (" WHERE orid < 2000", ""))
-def j06w(spark, sf):
-    return j06(spark, sf, "true")
-
-
 @query("j07_join_using", v.with_views("origin", "assoc") + "SELECT orid, count(*) AS n, max(mb) AS mb FROM origin JOIN assoc USING (orid) GROUP BY orid")
 def j07(spark, sf):
     n = v.assoc(spark, sf).groupBy("orid").agg(F.count("*").alias("n"))  # before the join: fewer rows to shuffle
@@ -153,32 +148,22 @@ def j19(spark, sf):
     return jn.band_join(a, b, "t", "gt", 5.0, near).groupBy("id").agg(F.min("gid").alias("gid"))
 
 
-@query("j20_interval_overlap", v.with_views("arrival") + ", r AS (SELECT sta, arid AS rid, time AS st, time + 300 AS et FROM arrival WHERE arid % 10 = 0), w AS (SELECT sta, arid AS wid, time AS ws, time + 1800 AS we FROM arrival WHERE arid % 3 = 1) SELECT rid, count(*) AS n FROM r JOIN w USING (sta) WHERE ws <= et AND st <= we AND ws >= st - 28800 GROUP BY rid")
-def j20(spark, sf, some=("arid % 10 = 0", "arid % 3 = 1")):
+@query("j20_interval_overlap", v.with_views("arrival") + ", r AS (SELECT sta, arid AS rid, time AS st, time + 300 AS et FROM arrival), w AS (SELECT sta, arid AS wid, time AS ws, time + 1800 AS we FROM arrival) SELECT rid, count(*) AS n FROM r JOIN w USING (sta) WHERE ws <= et AND st <= we AND ws >= st - 28800 GROUP BY rid")
+def j20(spark, sf):
     a = v.arrival(spark, sf)
-    r = a.where(some[0]).select("sta", F.col("arid").alias("rid"), F.col("time").alias("st"), (F.col("time") + 300).alias("et"))
-    w = a.where(some[1]).select("sta", F.col("arid").alias("wid"), F.col("time").alias("ws"), (F.col("time") + 1800).alias("we"))
+    r = a.select("sta", F.col("arid").alias("rid"), F.col("time").alias("st"), (F.col("time") + 300).alias("et"))
+    w = a.select("sta", F.col("arid").alias("wid"), F.col("time").alias("ws"), (F.col("time") + 1800).alias("we"))
     return jn.overlap_join(r, w, ("st", "et"), ("ws", "we"), 3600.0, F.col("ws") >= F.col("st") - 28800, ["sta"]).groupBy("rid").agg(F.count("*").alias("n"))
 
 
-@whole("j20_interval_overlap", (" WHERE arid % 10 = 0", ""), (" WHERE arid % 3 = 1", ""))
-def j20w(spark, sf):
-    return j20(spark, sf, ("true", "true"))
-
-
-@query("j21_asof", v.with_views("arrival") + "SELECT a.arid, max(b.time) IS NOT NULL AS has, round(max(b.time), 3) AS noise_time FROM arrival a LEFT JOIN arrival b ON a.sta = b.sta AND b.iphase = 'error' AND b.time <= a.time WHERE a.arid % 4 = 0 GROUP BY a.arid")
-def j21(spark, sf, some="arid % 4 = 0"):
+@query("j21_asof", v.with_views("arrival") + "SELECT a.arid, max(b.time) IS NOT NULL AS has, round(max(b.time), 3) AS noise_time FROM arrival a LEFT JOIN arrival b ON a.sta = b.sta AND b.iphase = 'error' AND b.time <= a.time GROUP BY a.arid")
+def j21(spark, sf):
     a = v.arrival(spark, sf)
     noise = a.where("iphase = 'error'").select("sta", F.col("time").alias("nt"), F.col("time").alias("noise_time"))
-    out = jn.asof_join(a.where(some).select("sta", "arid", "time"), noise, "sta", "time", "nt", "noise_time")
+    out = jn.asof_join(a.select("sta", "arid", "time"), noise, "sta", "time", "nt", "noise_time")
     return out.select("arid", F.col("noise_time").isNotNull().alias("has"), F.round("noise_time", 3).alias("noise_time"))
 
 
-@whole("j21_asof", (" WHERE a.arid % 4 = 0", ""))
-def j21w(spark, sf):
-    return j21(spark, sf, "true")
-
-
 @query("j22_safe_blocks", v.with_views("arrival") + ", b AS (SELECT sta, arid, time - 130 AS s, time - 10 AS e FROM arrival) SELECT arid FROM b WHERE NOT EXISTS (SELECT 1 FROM arrival a WHERE a.sta = b.sta AND ((a.time > b.s AND a.time < b.e) OR (b.s - a.time >= 0 AND b.s - a.time < 400)))")
 def j22(spark, sf):
     a = v.arrival(spark, sf)
@@ -193,10 +178,10 @@ def j23(spark, sf):
     return v.arrival(spark, sf).join(s, "sta").where("time >= on AND (off IS NULL OR time <= off)").select("arid")
 
 
-@query("j24_array_elements", v.with_views("site") + "SELECT a.sta AS arr, b.sta AS element FROM site a JOIN site b ON b.refsta = a.sta WHERE a.sta % 10 = 0")
+@query("j24_array_elements", v.with_views("site") + "SELECT a.sta AS arr, b.sta AS element FROM site a JOIN site b ON b.refsta = a.sta")
 def j24(spark, sf):
     s = v.site(spark, sf)
-    return s.where("sta % 10 = 0").select(F.col("sta").alias("arr")).join(s.select(F.col("refsta").alias("arr"), F.col("sta").alias("element")), "arr")
+    return s.select(F.col("sta").alias("arr")).join(s.select(F.col("refsta").alias("arr"), F.col("sta").alias("element")), "arr")
 
 
 @query("j25_work_list", v.with_views("site") + "SELECT n_nationkey AS evid, sta FROM nation CROSS JOIN site WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = sta AND s_nationkey >= n_nationkey)")
@@ -212,31 +197,21 @@ def j26(spark, sf):
     return jn.bin_lookup(v.arrival(spark, sf), bins, "slow", "arid").select("arid", "bin")
 
 
-@query("j27_fallback", v.with_views("gold", "guess") + "SELECT e.event_id AS id, coalesce(a.t, b.t) AS t FROM events e LEFT JOIN gold a ON a.id = e.event_id AND e.event_id % 2 = 0 LEFT JOIN gold b ON b.id = e.event_id WHERE e.event_id % 3 = 0")
-def j27(spark, sf, some="event_id % 3 = 0"):
+@query("j27_fallback", v.with_views("gold", "guess") + "SELECT e.event_id AS id, coalesce(a.t, b.t) AS t FROM events e LEFT JOIN gold a ON a.id = e.event_id AND e.event_id % 2 = 0 LEFT JOIN gold b ON b.id = e.event_id")
+def j27(spark, sf):
     g = v.gold(spark, sf)
     leb, isc = g.where("id % 2 = 0").select("id", F.col("t").alias("t1")), g.select("id", F.col("t").alias("t2"))
-    ids = v.table(spark, sf, "events").where(some).select(F.col("event_id").alias("id"))
+    ids = v.table(spark, sf, "events").select(F.col("event_id").alias("id"))
     return ids.join(leb, "id", "left").join(isc, "id", "left").select("id", F.coalesce("t1", "t2").alias("t"))
 
 
-@whole("j27_fallback", ("ON b.id = e.event_id WHERE e.event_id % 3 = 0", "ON b.id = e.event_id"))
-def j27w(spark, sf):
-    return j27(spark, sf, "true")
-
-
-@query("f14_de_novo", v.with_views("gold", "origin") + ", a AS (SELECT orid AS id, lon, lat FROM origin WHERE orid % 50 = 1), b AS (SELECT id, lon, lat FROM gold WHERE id % 40 = 0) SELECT id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE " + _HAV + " * 111.19492664455873 <= 250)")
-def f14(spark, sf, some=("orid % 50 = 1", "id % 40 = 0")):
-    a = v.origin(spark, sf).where(some[0]).select(F.col("orid").alias("id"), "lon", "lat")
-    b = v.gold(spark, sf).where(some[1]).select(F.col("lon").alias("blon"), F.col("lat").alias("blat"))
+@query("f14_de_novo", v.with_views("gold", "origin") + ", a AS (SELECT orid AS id, lon, lat FROM origin), b AS (SELECT id, lon, lat FROM gold) SELECT id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE " + _HAV + " * 111.19492664455873 <= 250)")
+def f14(spark, sf):
+    a = v.origin(spark, sf).select(F.col("orid").alias("id"), "lon", "lat")
+    b = v.gold(spark, sf).select(F.col("lon").alias("blon"), F.col("lat").alias("blat"))
     return jn.band_join(a, b, "lat", "blat", 250 / 111.0, geo.dist_km("lon", "lat", "blon", "blat") <= 250, "left_anti").select("id")
 
 
-@query("f14_de_novo_whole")  # all pairs are too many for SQL: tested by brute force
-def f14w(spark, sf):
-    return f14(spark, sf, ("true", "true"))
-
-
 @query("u05_priority_union", v.with_views("gold", "guess") + "SELECT id, t FROM gold UNION ALL SELECT id, t FROM guess g WHERE NOT EXISTS (SELECT 1 FROM gold a JOIN guess b ON abs(a.t - b.t) <= 50 WHERE b.id = g.id AND " + _HAV + " <= 1.0)")
 def u05(spark, sf):
     from tremorlake.operators.catalogue import priority_union

@@ -20,16 +20,18 @@ def w02(spark, sf):
     return seq.gaps(v.arrival(spark, sf), ["sta"], "time", "arid").where("gap < 3600").select("sta", "arid", F.round("gap", 3).alias("gap"))
 
 
-@query("w03_running_roc", v.with_views("guess") + ", c AS (SELECT score, count(*) FILTER (id % 3 = 0) AS t, count(*) AS n FROM guess GROUP BY 1), r AS (SELECT score, sum(t) OVER (ORDER BY score DESC) AS nt, sum(n) OVER (ORDER BY score DESC) AS na FROM c) SELECT score, CAST(nt AS BIGINT) AS n_true, CAST(na AS BIGINT) AS n_all, round(nt / na, 8) AS precision, round(nt / 5000.0, 8) AS recall FROM r")
+@query("w03_running_roc", v.with_views("gold", "guess") + ", c AS (SELECT score, count(*) FILTER (id % 3 = 0) AS t, count(*) AS n FROM guess GROUP BY 1), r AS (SELECT score, sum(t) OVER (ORDER BY score DESC) AS nt, sum(n) OVER (ORDER BY score DESC) AS na FROM c) SELECT score, CAST(nt AS BIGINT) AS n_true, CAST(na AS BIGINT) AS n_all, round(nt / na, 8) AS precision, round(nt / (SELECT count(*) FROM gold), 8) AS recall FROM r")
 def w03(spark, sf):
     g = v.guess(spark, sf).withColumn("hit", F.col("id") % 3 == 0)
-    return seq.running_roc(g, "score", "hit", 5000).select("score", "n_true", "n_all", F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"))
+    events = v.gold(spark, sf).select(F.count("*")).scalar()
+    return seq.running_roc(g, "score", "hit", events).select("score", "n_true", "n_all", F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"))
 
 
 @query("w04_precision_threshold", v.with_views("guess") + ", c AS (SELECT score, count(*) FILTER (id % 3 = 0) AS t, count(*) AS n FROM guess GROUP BY 1), r AS (SELECT score, sum(t) OVER (ORDER BY score DESC) AS nt, sum(n) OVER (ORDER BY score DESC) AS na FROM c) SELECT min(score) AS score FROM r WHERE nt / na >= 0.72")
 def w04(spark, sf):
     g = v.guess(spark, sf).withColumn("hit", F.col("id") % 3 == 0)
-    return seq.running_roc(g, "score", "hit", 5000).where("precision >= 0.72").agg(F.min("score").alias("score"))
+    events = v.gold(spark, sf).select(F.count("*")).scalar()
+    return seq.running_roc(g, "score", "hit", events).where("precision >= 0.72").agg(F.min("score").alias("score"))
 
 
 @query("w05_masked_blocks", "WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), k AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM r WHERE value > 50) SELECT user_id AS sta, CAST(min(i) AS BIGINT) AS first, CAST(max(i) + 1 AS BIGINT) AS \"end\" FROM k GROUP BY user_id, g")

@@ -16,14 +16,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-def whole(name: str, *left_out: tuple[str, str]):
-    """The query ``name`` registered again as name_whole, over all rows. Its SQL is that of ``name`` with the parts that choose
-    rows replaced; the SQL of ``name`` stays as it is."""
-    sql = ORACLE[name]
-    for part, by in left_out:
-        if sql.count(part) != 1:
-            raise ValueError(f"{part!r} isn't once in the SQL of {name}")
-        sql = sql.replace(part, by)
-    return query(f"{name}_whole", sql)

@@ -10,7 +10,7 @@ from tremorlake.operators import catalogue as ops
 from tremorlake.operators import sequences
 
 from . import views as v
-from .registry import query, whole
+from .registry import query
 
 START = 1704067200.0  # of the detections' tables
 
@@ -101,15 +101,10 @@ def a15(spark, sf):
     return ops.greedy_coverage(seen, 5, times=4)
 
 
-@query("a16_regional_counts", v.with_views("origin", "site") + ", s AS (SELECT sta, lon AS slon, lat AS slat FROM site) SELECT sta, count(*) FILTER (degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(slat)) + cos(radians(lat))*cos(radians(slat))*cos(radians(lon)-radians(slon)))))) <= 6) AS n FROM s, origin WHERE orid % 20 = 0 GROUP BY sta")
-def a16(spark, sf, some="orid % 20 = 0"):
+@query("a16_regional_counts", v.with_views("origin", "site") + ", s AS (SELECT sta, lon AS slon, lat AS slat FROM site) SELECT sta, count(*) FILTER (degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(slat)) + cos(radians(lat))*cos(radians(slat))*cos(radians(lon)-radians(slon)))))) <= 6) AS n FROM s, origin GROUP BY sta")
+def a16(spark, sf):
     sites = v.site(spark, sf).select("sta", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
-    return ops.regional_counts(sites, v.origin(spark, sf).where(some), 6.0)
-
-
-@whole("a16_regional_counts", (" WHERE orid % 20 = 0", ""))
-def a16w(spark, sf):
-    return a16(spark, sf, "true")
+    return ops.regional_counts(sites, v.origin(spark, sf), 6.0)
 
 
 @query("a17_distinct", "SELECT DISTINCT user_id AS sta, event_type AS iphase FROM events")
@@ -156,15 +151,10 @@ def a24(spark, sf):
     return ops.kernel_density(v.table(spark, sf, "events"), "value", grid, 8.0).select("x", F.round("p", 8).alias("p"))
 
 
-@query("a25_location_prior", v.with_views("origin") + ", g AS (SELECT unnest(generate_series(0, 11)) AS i), c AS (SELECT a.i * 30.0 - 165 AS glon, b.i * 15.0 - 82.5 AS glat FROM g a, g b) SELECT CAST(glon AS DOUBLE) AS glon, CAST(glat AS DOUBLE) AS glat, round(sum(exp(-degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(glat)) + cos(radians(lat))*cos(radians(glat))*cos(radians(lon)-radians(glon)))))) / 5.0)), 5) AS w FROM c, origin WHERE orid % 10 = 0 GROUP BY 1, 2")
-def a25(spark, sf, some="orid % 10 = 0"):
+@query("a25_location_prior", v.with_views("origin") + ", g AS (SELECT unnest(generate_series(0, 11)) AS i), c AS (SELECT a.i * 30.0 - 165 AS glon, b.i * 15.0 - 82.5 AS glat FROM g a, g b) SELECT CAST(glon AS DOUBLE) AS glon, CAST(glat AS DOUBLE) AS glat, round(sum(exp(-degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(glat)) + cos(radians(lat))*cos(radians(glat))*cos(radians(lon)-radians(glon)))))) / 5.0)), 5) AS w FROM c, origin GROUP BY 1, 2")
+def a25(spark, sf):
     grid = spark.range(144).select((F.floor(F.col("id") / 12) * 30.0 - 165).alias("glon"), (F.col("id") % 12 * 15.0 - 82.5).alias("glat"))
-    return ops.location_prior(v.origin(spark, sf).where(some), grid, 5.0).select("glon", "glat", F.round("w", 5).alias("w"))
-
-
-@whole("a25_location_prior", (" WHERE orid % 10 = 0", ""))
-def a25w(spark, sf):
-    return a25(spark, sf, "true")
+    return ops.location_prior(v.origin(spark, sf), grid, 5.0).select("glon", "glat", F.round("w", 5).alias("w"))
 
 
 @query("a26_estimators", "WITH m AS (SELECT event_type, median(value) AS med FROM events GROUP BY 1) SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(med), 6) AS center, round(avg(abs(value - med)), 6) AS scale, round(avg(ln(value)), 6) AS mu, round(stddev_pop(ln(value)), 6) AS sigma, round(pow(avg(value), 2) / var_pop(value), 6) AS shape FROM events JOIN m USING (event_type) GROUP BY 1")
@@ -254,31 +244,22 @@ def f17(spark, sf):
     return v.table(spark, sf, "part").where(F.col("p_name").like("red%")).select("p_partkey")
 
 
-@query("k01_order", v.with_views("arrival") + "SELECT arid, CAST(row_number() OVER (ORDER BY time, arid) AS BIGINT) AS place FROM arrival ORDER BY time, arid LIMIT 100")
+@query("k01_order", v.with_views("arrival") + "SELECT arid, CAST(row_number() OVER (ORDER BY time, arid) AS BIGINT) AS place FROM arrival")
 def k01(spark, sf):
-    return v.arrival(spark, sf).orderBy("time", "arid").limit(100).select("arid", F.row_number().over(Window.orderBy("time", "arid")).cast("bigint").alias("place"))
-
-
-@whole("k01_order", (" ORDER BY time, arid LIMIT 100", ""))
-def k01w(spark, sf):
     places = sequences.ordinal(v.arrival(spark, sf).select("arid", "time"), [], ["time", "arid"], "place")
     return places.select("arid", (F.col("place") + 1).alias("place"))
 
 
-@query("k02_multi_key", v.with_views("site") + "SELECT sta, ondate FROM site ORDER BY statype, ondate DESC, sta LIMIT 20")
+@query("k02_multi_key", v.with_views("site") + "SELECT sta, ondate, CAST(row_number() OVER (ORDER BY statype, ondate DESC, sta) AS BIGINT) AS place FROM site")
 def k02(spark, sf):
-    return v.site(spark, sf).orderBy("statype", F.desc("ondate"), "sta").limit(20).select("sta", "ondate")
-
-
-@query("k02_multi_key_whole", v.with_views("site") + "SELECT sta, ondate, CAST(row_number() OVER (ORDER BY statype, ondate DESC, sta) AS BIGINT) AS place FROM site")
-def k02w(spark, sf):
     places = sequences.ordinal(v.site(spark, sf).select("sta", "statype", "ondate"), [], ["statype", F.desc("ondate"), "sta"], "place")
     return places.select("sta", "ondate", (F.col("place") + 1).alias("place"))
 
 
-@query("k03_stations_by_distance", v.with_views("site") + "SELECT sta, round(degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(10.0)) + cos(radians(lat))*cos(radians(10.0))*cos(radians(lon)-radians(20.0)))))), 4) AS d FROM site ORDER BY d, sta LIMIT 10")
+@query("k03_stations_by_distance", v.with_views("site") + ", k AS (SELECT sta, round(degrees(acos(least(1.0, greatest(-1.0, sin(radians(lat))*sin(radians(10.0)) + cos(radians(lat))*cos(radians(10.0))*cos(radians(lon)-radians(20.0)))))), 4) AS d FROM site) SELECT sta, d, CAST(row_number() OVER (ORDER BY d, sta) AS BIGINT) AS place FROM k")
 def k03(spark, sf):
-    return v.site(spark, sf).select("sta", F.round(geo.dist_deg_acos("lon", "lat", 20.0, 10.0), 4).alias("d")).orderBy("d", "sta").limit(10)
+    far = v.site(spark, sf).select("sta", F.round(geo.dist_deg_acos("lon", "lat", 20.0, 10.0), 4).alias("d"))
+    return sequences.ordinal(far, [], ["d", "sta"], "place").select("sta", "d", (F.col("place") + 1).alias("place"))
 
 
 @query("k04_top_n", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k <= 3")
