@@ -138,11 +138,12 @@ def event_grid(templates: DataFrame, stations: DataFrame, lon_step: float, lat_s
     places = stations.select("sta", "slon", "slat", cells).withColumns({"clon": F.col("cell") % n_lon * lon_step - 180 + lon_step / 2, "clat": F.floor(F.col("cell") / n_lon) * lat_step - 90 + lat_step / 2})
     travel = places.select("sta", "cell", (geo.dist_km("clon", "clat", "slon", "slat") / speed_km_s).alias("tt"))
     origin = templates.join(travel, "sta").withColumn("t0", F.col("atime") - F.col("tt"))
-    near = origin.withColumn("tbin", F.explode(F.sequence(F.floor(F.col("t0") / tick) - 1, F.floor(F.col("t0") / tick) + 1)))
+    near = origin.withColumn("tbin", F.explode(F.array(*(F.floor(F.col("t0") / tick) + i for i in (-1, 0, 1)))))
     mass = dist.laplace_cdf((F.col("tbin") + 1) * tick, F.col("t0"), scale) - dist.laplace_cdf(F.col("tbin") * tick, F.col("t0"), scale)
-    score = F.ln(F.greatest(mass, F.lit(1e-12))) - math.log(tick) - log_rate
-    best = near.withColumn("s", score).where("s > 0").groupBy("cell", "tbin", "sta", "phase").agg(F.max("s").alias("s"))
-    return best.groupBy("cell", "tbin").agg(F.sum("s").alias("score"), F.count("*").alias("n"))
+    votes = near.select("cell", "tbin", "sta", "phase", F.greatest(mass, F.lit(1e-12)).alias("m")).where(F.col("m") > tick * math.exp(log_rate))
+    # few votes share a station and phase, so nothing is summed before the one shuffle, which serves both aggregates
+    best = votes.repartition("cell", "tbin").groupBy("cell", "tbin", "sta", "phase").agg(F.max("m").alias("m"))
+    return best.groupBy("cell", "tbin").agg(F.sum(F.ln("m") - math.log(tick) - log_rate).alias("score"), F.count("*").alias("n"))
 
 
 def grid_peaks(grid: DataFrame, per_bin: int = 1) -> DataFrame:
