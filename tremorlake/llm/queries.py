@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import read_table, shared_path
 from .tokens import tokenizer_path
 
@@ -77,4 +78,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need a tokenizer, a model or a codec."""
+    return {
+        "op2_suffix_array_dedup": oracles.SUFFIX,
+        "op3_winnowing_contamination": oracles.CONTAMINATION,
+        "op5_divideskip_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op9_recompression_dedup": oracles.REPEATED_WINDOWS,
+    }
