@@ -42,9 +42,19 @@ def m08(spark, sf):
     return models.gaussian_process(e, ["sta"], [0.0, 90.0, 180.0, 270.0], "azimuth", "amp", 45.0, 1.0)
 
 
-@query("m09_robust_line")
+def _refit(k):
+    """Views of the k-th round: the line f<k> through the rows k<k>, and what is left for the next one."""
+    return (
+        f"f{k} AS (SELECT iphase, regr_slope(amp, slow) AS slope, regr_intercept(amp, slow) AS intercept FROM k{k} GROUP BY 1), "
+        f"r{k} AS (SELECT iphase, slow, amp, amp - slope * slow - intercept AS r FROM arrival JOIN f{k} USING (iphase)), "
+        f"k{k + 1} AS (SELECT iphase, slow, amp FROM r{k} JOIN (SELECT iphase, stddev_pop(r) AS d FROM r{k} GROUP BY 1) USING (iphase) WHERE abs(r) <= 3 * d)"
+    )
+
+
+@query("m09_robust_line", v.with_views("arrival") + ", k0 AS (SELECT iphase, slow, amp FROM arrival), " + ", ".join(map(_refit, range(3))) + " SELECT iphase, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM f2")
 def m09(spark, sf):
-    return models.robust_line(v.arrival(spark, sf), ["iphase"], "slow", "amp")
+    fit = models.robust_line(v.arrival(spark, sf), ["iphase"], "slow", "amp")
+    return fit.select("iphase", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
 @query("m10_clusters")

@@ -95,7 +95,13 @@ def a14(spark, sf):
     return ops.bucket_recall(hit, "mb", [3.1, 3.25, 3.5], F.col("hit").isNotNull())
 
 
-@query("a15_greedy_coverage")
+def _covered(k):
+    """The k-th best station as a view c<k>: events that four chosen ones have seen don't count."""
+    chosen = " UNION ALL ".join(f"SELECT sta FROM c{i}" for i in range(k)) or "SELECT NULL AS sta LIMIT 0"
+    return f"c{k} AS (SELECT {k} AS rank, sta, count(*) AS gain FROM seen WHERE sta NOT IN ({chosen}) AND evid NOT IN (SELECT evid FROM seen WHERE sta IN ({chosen}) GROUP BY evid HAVING count(*) >= 4) GROUP BY sta ORDER BY gain DESC, sta LIMIT 1)"
+
+
+@query("a15_greedy_coverage", "WITH seen AS (SELECT DISTINCT l_suppkey AS sta, l_orderkey AS evid FROM lineitem), " + ", ".join(map(_covered, range(5))) + " " + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(5)))
 def a15(spark, sf):
     seen = v.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sta"), F.col("l_orderkey").alias("evid")).distinct()
     return ops.greedy_coverage(seen, 5, times=4)
