@@ -57,3 +57,38 @@ gone AS (SELECT DISTINCT doc_id, unnest(generate_series(j, j + 12)) AS j FROM f
 kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS x FROM w ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+#: Every document goes through every order by itself; nothing is read off cells of masks.
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, {_NO_SPACE}) AS ws, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS caps, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+      concat(CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END, CASE WHEN 100 * caps > 2 * length(t) THEN 'C' ELSE '' END,
+             CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN least < doc_id THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN l USING (doc_id)),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step:step] AS x, filter_order[1:step - 1] AS before FROM o, (SELECT unnest(generate_series(1, 5)) AS step)),
+r AS (SELECT part, filter_order, step, x, contains(fails, x) AS failing, len(regexp_replace(fails, '[^' || before || '_]', '', 'g')) > 0 AS gone, fails = x AS alone, good, toxic FROM f, s),
+c AS (SELECT part, filter_order, step, x, count(*) FILTER (NOT gone AND NOT failing) AS kept, count(*) FILTER (NOT gone AND failing) AS removed, count(*) FILTER (gone AND failing) AS redundant,
+      count(*) FILTER (alone) AS unique_fails, count(*) FILTER (NOT gone AND failing AND good) AS good_lost, count(*) FILTER (NOT gone AND failing AND toxic) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM c
+"""
+
+#: CRC-32 by its table of 256 entries, made by the rule of its polynomial.
+RESAMPLING = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS table_ FROM (SELECT unnest(generate_series(0::BIGINT, 255::BIGINT)) AS i)),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_LETTERS}) AS ws FROM documents WHERE doc_id IS NOT NULL),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all({_LOWER}, {_LETTERS})) AS w FROM benchmark),
+ds AS (SELECT w, count(*) AS n FROM dw GROUP BY w), bs AS (SELECT w, count(*) AS n FROM bw GROUP BY w),
+v AS (SELECT w FROM ds UNION SELECT w FROM bs),
+h AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(generate_series(1, octet_length(encode(w))), lambda k: ('0x' || hex(encode(w))[2 * k - 1:2 * k])::BIGINT)), lambda c, b: xor(c >> 8, table_[1 + (xor(c, b) & 255)]))) % 10000 AS bucket FROM v, crc),
+s AS (SELECT bucket, sum(n) AS s FROM ds JOIN h USING (w) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM bs JOIN h USING (w) GROUP BY bucket),
+g AS (SELECT w, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM ds) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM bs) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM h LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+f AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM dw JOIN g USING (w) GROUP BY doc_id),
+x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN total IS NULL THEN 0 ELSE total // n_features - CASE WHEN total < 0 AND total % n_features <> 0 THEN 1 ELSE 0 END END AS weight, ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM d LEFT JOIN f USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM y LEFT JOIN r USING (doc_id)
+"""

@@ -73,8 +73,26 @@ def op5_divideskip_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return op.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op11_audit as op
+
+    return op.interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op12_simhash as op
+
+    return op.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op13_resample as op
+
+    return op.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, seed=2024, least_words=20, per_cent=10)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repair_token_ids, op2_suffix_array_dedup, op3_winnowing_contamination, op4_crf_quality, op5_divideskip_near_duplicates, op6_toxicity_chain, op7_telephony_audio, op8_sum_of_squares_packing, op9_recompression_dedup, op10_two_tier_token_counts)}
+    return {f.__name__: f for f in (op1_repair_token_ids, op2_suffix_array_dedup, op3_winnowing_contamination, op4_crf_quality, op5_divideskip_near_duplicates, op6_toxicity_chain, op7_telephony_audio, op8_sum_of_squares_packing, op9_recompression_dedup, op10_two_tier_token_counts, op11_filter_audit, op12_deletion_variant_simhash, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -84,4 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_winnowing_contamination": oracles.CONTAMINATION,
         "op5_divideskip_near_duplicates": oracles.NEAR_DUPLICATES,
         "op9_recompression_dedup": oracles.REPEATED_WINDOWS,
+        "op11_filter_audit": oracles.FILTER_AUDIT,
+        "op13_importance_resampling": oracles.RESAMPLING,
     }
