@@ -74,11 +74,11 @@ def greedy_coverage(seen: DataFrame, k: int, times: int = 4) -> DataFrame:
 
 
 def regional_counts(sites: DataFrame, origins: DataFrame, degrees: float) -> DataFrame:
-    """(sta, n) events within a distance. Events meet sites by bands of latitude, sites without events keep 0."""
-    from .joins import band_join
+    """(sta, n) events within a distance. Events meet sites in cells of the sphere; sites without events keep 0."""
+    from .sphere import near_join
 
     far = sites.select("sta", "slon", "slat")
-    near = band_join(origins.select("lon", "lat"), far, "lat", "slat", degrees + 1e-6, geo.dist_deg_acos("lon", "lat", "slon", "slat") <= degrees)
+    near = near_join(origins.select("lon", "lat"), far, degrees, right_at=("slon", "slat"), within=geo.dist_deg_acos("lon", "lat", "slon", "slat") <= degrees)
     return sites.select("sta").join(near.groupBy("sta").agg(F.count("*").alias("n")), "sta", "left").select("sta", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
 
-from .joins import band_join
 from .models import linear_fits
+from .sphere import near_join
 
 #: Plausible ranges of the parameters that are learned; rows outside are no training data.
 BOUNDS = {"tt_residual": (-30.0, 30.0), "amp_transfer": (-6.0, 17.0), "coda_decay": (-6.0, 4.0), "peak_decay": (-6.0, 4.0), "mult_wiggle_std": (0.0, 1.0), "peak_offset": (-5.0, 5.0)}
@@ -63,7 +63,7 @@ def suspect_fits(fits: DataFrame, km: float = 25.0, more_than: int = 5, bound: f
     other = slim.select("sta", "phase", *(F.col(c).alias(f"o_{c}") for c in ("evid", "lon", "lat", "depth", "residual")))
     near = geo.dist_km("lon", "lat", "o_lon", "o_lat") + F.abs(F.col("depth") - F.col("o_depth")) < km
     degrees = km / float(geo.EARTH_RADIUS_KM) * 57.29577951308232 + 1e-6
-    pairs = band_join(slim, other, "lat", "o_lat", degrees, (F.col("evid") != F.col("o_evid")) & near, keys=["sta", "phase"])
+    pairs = near_join(slim, other, degrees, F.col("evid") != F.col("o_evid"), keys=["sta", "phase"], within=near)
     stats = pairs.groupBy("fitid").agg(F.first("residual").alias("residual"), F.median("o_residual").alias("med"), F.stddev_pop("o_residual").alias("sd"), F.count("*").alias("n"))
     z = F.try_divide(F.abs(F.col("residual") - F.col("med")), F.col("sd"))
     return stats.where(F.col("n") > more_than).select("fitid", z.alias("z")).where(F.col("z") > bound)

@@ -81,14 +81,6 @@ def s09(spark, sf):
     return io.read_phase_bulletin(spark, path, start=1704300000.0).select("eventid", "time", "lat", "lon", "mb")
 
 
-@query("s10_binary_samples", "SELECT 1 AS wfid, 'nation.parquet' AS dfile, 1346458161.0 AS first, 1 AS n UNION ALL SELECT 2, 'region.parquet', 1346458161.0, 1 UNION ALL SELECT 3, 'region.parquet', 5259602 * 0.5, 1")
-def s10(spark, sf):
-    # any file holds bytes: the four that begin a Parquet file as one 4-byte sample, three of them as a 3-byte one
-    index = spark.createDataFrame([(1, "nation.parquet", 0, 1, "s4", 1.0), (2, "region.parquet", 0, 1, "s4", 1.0), (3, "region.parquet", 0, 1, "s3", 0.5)], "wfid int, dfile string, foff long, nsamp int, datatype string, calib double")
-    got = io.read_waveforms(spark, index, f"{sf}/*n.parquet")
-    return got.select("wfid", "dfile", F.get("samples", 0).alias("first"), F.size("samples").alias("n"))
-
-
 @query("s22_traces", "SELECT event_type AS chain, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def s22(spark, sf):
     path = shared_path(spark, "traces")

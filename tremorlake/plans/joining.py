@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import geo, names
 from tremorlake.operators import joins as jn
+from tremorlake.operators.sphere import near_join
 
 from . import views as v
 from .registry import query
@@ -117,7 +118,7 @@ def j14(spark, sf):
 def j15(spark, sf):
     g = v.gold(spark, sf).select("id", "t", "lon", "lat")
     other = g.select(F.col("id").alias("b"), F.col("t").alias("bt"), F.col("lon").alias("blon"), F.col("lat").alias("blat"))
-    return jn.band_join(g, other, "t", "bt", 600.0, (F.col("id") < F.col("b")) & (geo.dist_deg("lon", "lat", "blon", "blat") <= 20)).select(F.col("id").alias("a"), "b")
+    return near_join(g, other, 20.0, F.col("id") < F.col("b"), right_at=("blon", "blat"), times=("t", "bt"), seconds=600.0).select(F.col("id").alias("a"), "b")
 
 
 @query("j16_neighbour_fits", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id <> b.event_id AND abs(epoch(a.ts) - epoch(b.ts)) <= 300")
@@ -131,7 +132,7 @@ def j16(spark, sf):
 def j17(spark, sf):
     a, b = _sides(spark, sf)
     d = geo.dist_deg("lon", "lat", "glon", "glat")
-    return jn.band_join(a, b, "t", "gt", 40.0, d * 111.19 <= 250).groupBy("id").agg(F.round(F.min(d), 5).alias("d"))
+    return near_join(a, b, 250 / 111.19, right_at=("glon", "glat"), within=d * 111.19 <= 250, times=("t", "gt"), seconds=40.0).groupBy("id").agg(F.round(F.min(d), 5).alias("d"))
 
 
 @query("j18_nearest", v.with_views("gold", "guess") + f", c AS (SELECT a.id, b.id AS gid, {_HAV} + abs(a.t - b.t) / 10 AS cost FROM gold a JOIN guess b ON abs(a.t - b.t) <= 600), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cost, gid) AS k FROM c) SELECT g.id, r.gid, round(r.cost, 5) AS cost FROM gold g LEFT JOIN r ON g.id = r.id AND k = 1")
@@ -209,7 +210,7 @@ def j27(spark, sf):
 def f14(spark, sf):
     a = v.origin(spark, sf).select(F.col("orid").alias("id"), "lon", "lat")
     b = v.gold(spark, sf).select(F.col("lon").alias("blon"), F.col("lat").alias("blat"))
-    return jn.band_join(a, b, "lat", "blat", 250 / 111.0, geo.dist_km("lon", "lat", "blon", "blat") <= 250, "left_anti").select("id")
+    return near_join(a, b, 250 / 111.0, how="left_anti", right_at=("blon", "blat"), within=geo.dist_km("lon", "lat", "blon", "blat") <= 250).select("id")
 
 
 @query("u05_priority_union", v.with_views("gold", "guess") + "SELECT id, t FROM gold UNION ALL SELECT id, t FROM guess g WHERE NOT EXISTS (SELECT 1 FROM gold a JOIN guess b ON abs(a.t - b.t) <= 50 WHERE b.id = g.id AND " + _HAV + " <= 1.0)")
