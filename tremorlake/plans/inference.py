@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorlake.functions.time import epoch
-from tremorlake.operators import association, library
+from tremorlake.operators import alignment, association, hierarchy, library
 
 from . import views as v
 from .registry import query
@@ -94,3 +94,51 @@ SELECT k.id, k.gid, round(sum(exp(s)) / any_value(z), 6) AS p FROM k JOIN states
 @query("m25_competing_marginals", _STATES)
 def m25_marginals(spark, sf):
     return association.marginals(_pairs(spark, sf)[2]).select("id", "gid", F.round("p", 6).alias("p"))
+
+
+#: Five recordings of each event, all pairs of which are alike: the first vector of five moved by a lag, with a little of each own vector.
+_LAGS = """WITH e AS (SELECT vec_id AS id, vec_id // 5 AS grp, embedding::DOUBLE[] AS x FROM embeddings), b AS (SELECT grp, x AS base FROM e WHERE id % 5 = 0),
+w AS (SELECT id, grp, list_transform(generate_series(1, 64), lambda i: CASE WHEN i - id % 5 * (1 + grp % 2) >= 1 THEN base[i - id % 5 * (1 + grp % 2)] ELSE 0.0 END + 0.3 * x[i]) AS x FROM e JOIN b USING (grp)),
+s AS (SELECT a.id AS a, b.id AS b, k, CASE WHEN k >= 0 THEN a.x[1 + k:64] ELSE a.x[1:64 + k] END AS u, CASE WHEN k >= 0 THEN b.x[1:64 - k] ELSE b.x[1 - k:64] END AS v FROM w a JOIN w b ON a.grp = b.grp AND a.id < b.id, (SELECT unnest(generate_series(-10, 10)) AS k)),
+c AS (SELECT a, b, k, list_dot_product(u, v) / sqrt(list_dot_product(u, u) * list_dot_product(v, v)) AS xc FROM s), d AS (SELECT a, b, arg_max(-k, xc) AS d FROM c GROUP BY a, b),
+n AS (SELECT b AS node, d FROM d UNION ALL SELECT a, -d FROM d) """
+
+
+def _lagged(spark, sf):
+    e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.floor(F.col("vec_id") / 5).alias("grp"), F.col("embedding").cast("array<double>").alias("x"))
+    both = e.join(e.where("node % 5 = 0").select("grp", F.col("x").alias("base")), "grp")
+    lag = (F.col("node") % 5 * (1 + F.col("grp") % 2)).cast("int")
+    moved = F.slice(F.concat(F.array_repeat(F.lit(0.0), lag), "base"), 1, 64)
+    return both.select("node", F.lit("A").alias("sta"), (F.col("grp") % 3600 / 10.0 - 180).alias("lon"), F.lit(0.0).alias("lat"), F.lit(1.0).alias("srate"), F.zip_with(moved, "x", lambda m, x: m + 0.3 * x).alias("samples"))
+
+
+@query("m24_pair_shifts", _LAGS + "SELECT a, b, d::DOUBLE AS d FROM d")
+def m24_shifts(spark, sf):
+    return alignment.pair_shifts(_lagged(spark, sf), km=5.0, most=10).select("a", "b", "d")
+
+
+@query("m24_alignment", _LAGS + "SELECT node, round(sum(d) / 5.25, 6) AS x FROM n GROUP BY node")
+def m24(spark, sf):
+    shifts = alignment.pair_shifts(_lagged(spark, sf), km=5.0, most=10).withColumn("w", F.lit(1.0))
+    return alignment.least_squares(shifts, ridge=0.25).select("node", F.round("x", 6).alias("x"))
+
+
+def _pooling_sql(rounds: int) -> str:
+    """Rounds of the tree's sums, one after the other."""
+    out = ["WITH s AS (SELECT user_id % 7 AS region, user_id AS sta, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS squares FROM events GROUP BY ALL)", "v0 AS (SELECT sum(squares) / sum(n) AS value, var_pop(mean) / 2 AS station, var_pop(mean) / 2 AS region FROM s)"]
+    for k in range(rounds + 1):
+        out += [
+            f"u{k} AS (SELECT s.region, sum(n / (value + n * station)) AS p, sum(n / (value + n * station) * mean) / sum(n / (value + n * station)) AS m FROM s, v{k} GROUP BY s.region)",
+            f"g{k} AS (SELECT sum(p / (1 + p * v.region)) AS gp, sum(p / (1 + p * v.region) * m) / sum(p / (1 + p * v.region)) AS g FROM u{k}, v{k} v)",
+            f"r{k} AS (SELECT u.region, g, gp, (m * p + g / v.region) / (p + 1 / v.region) AS rm, 1 / (p + 1 / v.region) + pow(1 / v.region / (p + 1 / v.region), 2) / gp AS rv, 1 / v.region / (p + 1 / v.region) AS h FROM u{k} u, g{k}, v{k} v)",
+            f"t{k} AS (SELECT s.*, g, rm, rv, (n * mean / value + rm / station) / (n / value + 1 / station) AS pooled, 1 / (n / value + 1 / station) + pow(1 / station / (n / value + 1 / station), 2) * rv AS pv, 1 / station / (n / value + 1 / station) AS h FROM s JOIN r{k} USING (region), v{k} v)",
+            f"v{k + 1} AS (SELECT (SELECT sum(squares + n * (pow(mean - pooled, 2) + pv)) / sum(n) FROM t{k}) AS value, (SELECT avg(pow(pooled - rm, 2) + pv + (1 - 2 * h) * rv) FROM t{k}) AS station, (SELECT avg(pow(rm - g, 2) + rv + (1 - 2 * h) / gp) FROM r{k}) AS region)",
+        ]
+    return ", ".join(out) + f" SELECT region, sta, n, round(pooled, 6) AS pooled, round(pv, 6) AS pooled_var, round(rm, 6) AS region_mean, round(g, 6) AS global_mean FROM t{rounds}"
+
+
+@query("m13_pooled_tree", _pooling_sql(6))
+def m13_tree(spark, sf):
+    e = v.table(spark, sf, "events").select((F.col("user_id") % 7).alias("region"), F.col("user_id").alias("sta"), "value")
+    got, _ = hierarchy.pooled_tree(e, "region", "sta", "value", rounds=6)
+    return got.select("region", "sta", "n", *(F.round(c, 6).alias(c) for c in ("pooled", "pooled_var", "region_mean", "global_mean")))
