@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
 
+from .ranks import medians, ranked
+
 #: Detections of events up to the end of a period arrive until so many seconds after it.
 MAX_TRAVEL_TIME = 2000
 UPTIME_SECONDS = 3600
@@ -32,7 +34,8 @@ def next_run_id(runs: DataFrame, column: str = "runid") -> DataFrame:
 
 
 def robust_stats(rows: DataFrame, keys: list[str], x: str, least: int = 2) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.median(x).alias("med"), F.stddev_pop(x).alias("std"), F.count("*").alias("n")).where(F.col("n") >= least)
+    moments = rows.groupBy(*keys).agg(F.stddev_pop(x).alias("std"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return medians(rows, keys, x).join(moments, keys).select(*keys, "med", "std", "n")
 
 
 def robust_outliers(rows: DataFrame, keys: list[str], x: str, bound: float, more_than: int) -> DataFrame:
@@ -110,9 +113,8 @@ def histogram(rows: DataFrame, x: str, size: float) -> DataFrame:
 
 def ks_statistic(rows: DataFrame, keys: list[str], x: str, tie: str, cdf: Column) -> DataFrame:
     """Greatest distance of the empirical distribution from a given one, on both sides of each step."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, cdf.alias("_c"), F.row_number().over(w.orderBy(x, tie)).alias("_i"), F.count("*").over(w).alias("_n"))
-    return ranked.groupBy(*keys).agg(F.max(F.greatest(F.abs(F.col("_c") - F.col("_i") / F.col("_n")), F.abs(F.col("_c") - (F.col("_i") - 1) / F.col("_n")))).alias("d"))
+    placed = ranked(rows.select(*keys, cdf.alias("_c"), F.col(x).alias("_x"), F.col(tie).alias("_t")), keys, ["_x", "_t"], "_i", "_n")
+    return placed.groupBy(*keys).agg(F.max(F.greatest(F.abs(F.col("_c") - F.col("_i") / F.col("_n")), F.abs(F.col("_c") - (F.col("_i") - 1) / F.col("_n")))).alias("d"))
 
 
 def kernel_density(rows: DataFrame, x: str, grid: DataFrame, width: float) -> DataFrame:
@@ -137,7 +139,7 @@ def location_prior(origins: DataFrame, grid: DataFrame, degrees: float) -> DataF
 
 def moment_estimates(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Gaussian, Laplace, lognormal and gamma (by moments) parameters of each group."""
-    med = rows.groupBy(*keys).agg(F.median(x).alias("med"))
+    med = medians(rows, keys, x)
     r = lambda c, n: F.round(c, 6).alias(n)
     return rows.join(med, keys).groupBy(*keys).agg(r(F.avg(x), "mean"), r(F.stddev_pop(x), "std"), r(F.min("med"), "center"), r(F.avg(F.abs(F.col(x) - F.col("med"))), "scale"), r(F.avg(F.ln(x)), "mu"), r(F.stddev_pop(F.ln(x)), "sigma"), r(F.pow(F.avg(x), F.lit(2.0)) / F.var_pop(x), "shape"))
 

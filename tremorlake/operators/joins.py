@@ -58,15 +58,11 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, left_on: str,
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
-    """For each left row the value of the latest right row of its key at or before its time, by one sort of both sides.
+    """For each left row the value of the latest right row of its key at or before its time, whatever a key's share of the rows.
     Of right rows at one time that of the greatest value counts."""
-    from pyspark.sql import Window
+    from .ranks import latest
 
-    marked = left.withColumns({"_t": F.col(left_time), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})
-    other = right.groupBy(key, F.col(right_time).alias("_t")).agg(F.max(value).alias("_v")).withColumn("_side", F.lit(0))
-    both = marked.unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_t", "_side", "_v")
+    return latest(left, right, key, left_time, right_time, value)
 
 
 def bin_lookup(rows: DataFrame, bins: DataFrame, on: str, row_id: str, low: str = "low", high: str = "high", order: str = "bin") -> DataFrame:

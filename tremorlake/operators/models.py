@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import dist, geo
 
+from .ranks import medians
+
 
 def linear_fits(rows: DataFrame, keys: list[str], features: dict[str, Column], y: str, prior: float = 1e-3) -> DataFrame:
     """Bayesian linear regression per group: moments are summed by Spark (k * k sums a group, partial in each task), a
@@ -74,7 +76,8 @@ def cross_validated(rows: DataFrame, key: str, x: str, y: str, k: int = 5) -> Da
     parts = folds(rows, key, k).select("fold", x, y)
     fits = parts.withColumn("held", F.explode(F.array(*map(F.lit, range(k))))).where("held <> fold").groupBy("held").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
     error = F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept"))
-    return parts.join(F.broadcast(fits.withColumnRenamed("held", "fold")), "fold").agg(F.avg(error).alias("mean_abs"), F.median(error).alias("median_abs"))
+    errors = parts.join(F.broadcast(fits.withColumnRenamed("held", "fold")), "fold").select(error.alias("_e"))
+    return errors.agg(F.avg("_e").alias("mean_abs")).join(medians(errors, [], "_e", "median_abs"), how="cross")  # single rows
 
 
 def clusters(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tremorlake.functions import geo
 
 from .models import linear_fits
+from .ranks import medians
 from .sphere import near_join
 
 #: Plausible ranges of the parameters that are learned; rows outside are no training data.
@@ -35,7 +36,7 @@ def fitted_models(rows: DataFrame, keys: list[str], kind: str, y: str, basis: di
     if kind == "constant_gaussian":
         return named(rows.groupBy(*keys).agg(F.count(y).alias("n"), F.avg(y).alias("a"), F.stddev_pop(y).alias("b")), "a", "b")
     if kind == "constant_laplacian":
-        center = rows.groupBy(*keys).agg(F.median(y).alias("_m"))
+        center = medians(rows, keys, y, "_m")
         return named(rows.join(center, keys).groupBy(*keys).agg(F.count(y).alias("n"), F.min("_m").alias("a"), F.avg(F.abs(F.col(y) - F.col("_m"))).alias("b")), "a", "b")
     if kind == "constant_beta":
         moments = rows.groupBy(*keys).agg(F.count(y).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))

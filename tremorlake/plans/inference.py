@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorlake.functions.time import epoch
-from tremorlake.operators import alignment, association, hierarchy, library
+from tremorlake.operators import alignment, association, bandwidth, hierarchy, library
 
 from . import views as v
 from .registry import query
@@ -142,3 +142,19 @@ def m13_tree(spark, sf):
     e = v.table(spark, sf, "events").select((F.col("user_id") % 7).alias("region"), F.col("user_id").alias("sta"), "value")
     got, _ = hierarchy.pooled_tree(e, "region", "sta", "value", rounds=6)
     return got.select("region", "sta", "n", *(F.round(c, 6).alias(c) for c in ("pooled", "pooled_var", "region_mean", "global_mean")))
+
+
+_SPHERE_LL = v.with_views("gold") + ", d AS (SELECT a.id, b, exp(-degrees(2*asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(a.lat)-radians(o.lat))/2),2) + cos(radians(a.lat))*cos(radians(o.lat))*pow(sin((radians(a.lon)-radians(o.lon))/2),2)))))) / b) AS k FROM gold a JOIN gold o ON a.id <> o.id, (SELECT unnest([0.5, 1.0, 2.0, 5.0, 10.0]) AS b)), s AS (SELECT id, b, sum(k) / ((SELECT count(*) FROM gold) - 1) AS f FROM d GROUP BY 1, 2) SELECT b::DOUBLE AS bandwidth, count(*) AS n, round(avg(ln(greatest(f, 1e-300)) - ln(2 * pi() * (1 + exp(-pi() / radians(b))) * pow(radians(b), 2) / (1 + pow(radians(b), 2)) * pow(degrees(1), 2))), 2) AS loglik FROM s GROUP BY b"
+
+
+@query("a25_bandwidth", _SPHERE_LL)
+def a25_bandwidth(spark, sf):
+    got = bandwidth.likelihoods(bandwidth.Sphere(1.0), v.gold(spark, sf), [0.5, 1.0, 2.0, 5.0, 10.0], near=8.0)
+    return got.select("bandwidth", "n", F.round("loglik", 2).alias("loglik"))
+
+
+@query("a24_bandwidth", "WITH t AS (SELECT value AS x FROM events WHERE event_id % 10 <> 0), q AS (SELECT event_id, value AS x FROM events WHERE event_id % 10 = 0), s AS (SELECT event_id, b, sum(exp(-pow((q.x - t.x) / b, 2) / 2)) / (SELECT count(*) FROM t) AS f FROM q, t, (SELECT unnest([0.5, 2.0, 8.0, 30.0]) AS b) GROUP BY 1, 2) SELECT b::DOUBLE AS bandwidth, count(*) AS n, round(avg(ln(greatest(f, 1e-300)) - ln(b * sqrt(2 * pi()))), 2) AS loglik FROM s GROUP BY b")
+def a24_bandwidth(spark, sf):
+    e = v.table(spark, sf, "events").select("event_id", F.col("value").alias("x"))
+    got = bandwidth.likelihoods(bandwidth.Line(0.25), e.where("event_id % 10 <> 0"), [0.5, 2.0, 8.0, 30.0], e.where("event_id % 10 = 0"), near=16.0)
+    return got.select("bandwidth", "n", F.round("loglik", 2).alias("loglik"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorlake.operators import series as ts
+from tremorlake.operators.ranks import medians
 
 from . import views as v
 from .registry import query
@@ -96,7 +97,7 @@ def t24(spark, sf):
 @query("t28_l1_noise_model", _W + ", e AS (SELECT label, unnest(x) AS v FROM w), m AS (SELECT label, median(v) AS loc FROM e GROUP BY 1) SELECT label, round(min(loc), 6) AS loc, round(avg(abs(v - loc)), 6) AS scale FROM e JOIN m USING (label) GROUP BY 1")
 def t28(spark, sf):
     e = wave(spark, sf).select("label", F.explode("samples").alias("v"))
-    m = e.groupBy("label").agg(F.median("v").alias("loc"))
+    m = medians(e, ["label"], "v", "loc")
     return e.join(m, "label").groupBy("label").agg(F.round(F.min("loc"), 6).alias("loc"), F.round(F.avg(F.abs(F.col("v") - F.col("loc"))), 6).alias("scale"))
 
 
