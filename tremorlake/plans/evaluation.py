@@ -113,3 +113,24 @@ def m26(spark, sf):
 def w15(spark, sf):
     gold, guess = v.gold(spark, sf), v.guess(spark, sf)
     return matching.curve(guess, matching.matched(gold, guess), gold.count())
+
+
+#: Bounds so wide that many candidates compete. Of a component all matchings are listed; it has c pairs from the greatest score on at which all guesses of a matching of c pairs are there.
+_WIDE = v.with_views("gold", "guess").replace("WITH ", "WITH RECURSIVE ", 1) + """, q AS (SELECT DISTINCT ON (id) id, t, lon, lat, score FROM guess ORDER BY id, t, lon, lat, score),
+e AS (SELECT a.id, b.id AS gid, score FROM gold a JOIN q b ON abs(a.t - b.t) <= 400 WHERE degrees(2*asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(a.lat)-radians(b.lat))/2),2) + cos(radians(a.lat))*cos(radians(b.lat))*pow(sin((radians(a.lon)-radians(b.lon))/2),2)))))) <= 60),
+l AS (SELECT id * 2 AS x, gid * 2 + 1 AS y FROM e UNION ALL SELECT gid * 2 + 1, id * 2 FROM e),
+reached AS (SELECT x, x AS origin FROM l UNION SELECT y, origin FROM reached JOIN l USING (x) WHERE origin < y),
+k AS (SELECT id, gid, score, comp, row_number() OVER (PARTITION BY comp ORDER BY id, gid) AS k FROM e JOIN (SELECT x, min(origin) AS comp FROM reached GROUP BY x) ON x = id * 2),
+states AS (SELECT comp, k, [id] AS ids, [gid] AS gids, score AS s, 1::BIGINT AS c FROM k
+    UNION ALL SELECT comp, k.k, list_append(ids, id), list_append(gids, gid), least(s, score), c + 1 FROM states JOIN k USING (comp) WHERE k.k > states.k AND NOT list_contains(ids, id) AND NOT list_contains(gids, gid)),
+h AS (SELECT comp, c, max(s) AS score FROM states GROUP BY comp, c), n AS (SELECT score, count(*) AS t FROM h GROUP BY score), m AS (SELECT score, count(*) AS n FROM q GROUP BY score),
+r AS (SELECT score, sum(coalesce(t, 0)) OVER (ORDER BY score DESC) AS nt, sum(n) OVER (ORDER BY score DESC) AS na FROM m LEFT JOIN n USING (score))
+SELECT score, CAST(nt AS BIGINT) AS n_true, CAST(na AS BIGINT) AS n_all, round(nt / na, 8) AS precision, round(nt / (SELECT count(*) FROM gold), 8) AS recall FROM r"""
+
+
+@query("w15_exact_curve", _WIDE)
+def w15_exact(spark, sf):
+    every = v.guess(spark, sf)
+    first = every.groupBy("id").agg(F.min(F.struct("t", "lon", "lat", "score")).alias("g")).select("id", "g.*")
+    got = matching.exact_curve(v.gold(spark, sf), first, 400.0, 60.0)
+    return got.select("score", "n_true", "n_all", F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"))
