@@ -74,10 +74,10 @@ def m16(spark, sf):
     return models.cross_validated(v.arrival(spark, sf), "arid", "slow", "amp")
 
 
-@query("m18_nearest_values", "WITH q AS (SELECT unnest(generate_series(0, 9)) AS qid), c AS (SELECT qid, value, event_id, row_number() OVER (PARTITION BY qid ORDER BY abs(event_id - (qid * 500 + 0.25)), event_id) AS k FROM q JOIN events ON abs(event_id - (qid * 500 + 0.25)) <= 20) SELECT CAST(qid AS BIGINT) AS qid, round(avg(value), 6) AS value, count(*) AS n FROM c WHERE k <= 5 GROUP BY 1")
+@query("m18_nearest_values", "WITH q AS (SELECT s_suppkey AS qid, s_suppkey * 100 + 0.25 AS qx FROM supplier), c AS (SELECT qid, value, row_number() OVER (PARTITION BY qid ORDER BY abs(event_id - qx), event_id) AS k FROM q JOIN events ON abs(event_id - qx) <= 20) SELECT qid, round(avg(value), 6) AS value, count(*) AS n FROM c WHERE k <= 5 GROUP BY 1")
 def m18(spark, sf):
     rows = v.table(spark, sf, "events").select(F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
-    places = spark.range(10).select(F.col("id").alias("qid"), (F.col("id") * 500 + 0.25).alias("qx"))
+    places = v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("qid"), (F.col("s_suppkey") * 100 + 0.25).cast("double").alias("qx"))
     return models.nearest_values(rows, places, "x", "qx", "y", 20.0, 5).select("qid", F.round("value", 6).alias("value"), "n")
 
 

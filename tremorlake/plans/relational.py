@@ -127,9 +127,9 @@ def a18(spark, sf):
     return ops.normalise_logs(e, ["user_id"], "x").select("event_id", F.round("p", 8).alias("p"))
 
 
-@query("a19_spherical_centroid", v.with_views("origin") + ", c AS (SELECT round(depth) % 10 AS eid, avg(cos(radians(lat))*cos(radians(lon))) AS x, avg(cos(radians(lat))*sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM origin WHERE lon BETWEEN 0 AND 60 AND lat BETWEEN 0 AND 60 GROUP BY 1) SELECT eid, round(degrees(atan2(y, x)), 5) AS lon, round(degrees(atan2(z, sqrt(x*x + y*y))), 5) AS lat FROM c")
+@query("a19_spherical_centroid", v.with_views("origin") + ", c AS (SELECT round(depth) % 10 AS eid, avg(cos(radians(lat))*cos(radians(lon))) AS x, avg(cos(radians(lat))*sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM origin GROUP BY 1) SELECT eid, round(degrees(atan2(y, x)), 5) AS lon, round(degrees(atan2(z, sqrt(x*x + y*y))), 5) AS lat FROM c")
 def a19(spark, sf):
-    o = v.origin(spark, sf).where("lon BETWEEN 0 AND 60 AND lat BETWEEN 0 AND 60").withColumn("eid", F.round("depth") % 10)
+    o = v.origin(spark, sf).withColumn("eid", F.round("depth") % 10)
     return ops.spherical_centroid(o, ["eid"]).select("eid", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 

@@ -128,19 +128,20 @@ def t27(spark, sf):
     return power.select("event_id", F.round(F.get("samples", 0), 6).alias("power"))
 
 
-@query("t27_ar_autocovariance", "SELECT round(0.01 / ((1 - 0.5 * p1) - (-0.2) * p2), 6) AS r0, round(0.01 / ((1 - 0.5 * p1) - (-0.2) * p2) * p1, 6) AS r1, round(0.01 / ((1 - 0.5 * p1) - (-0.2) * p2) * p2, 6) AS r2, true AS stationary FROM (SELECT p1, 0.5 * p1 - 0.2 AS p2 FROM (SELECT 0.5 / 1.2 AS p1))")
+@query("t27_ar_autocovariance", "WITH m AS (SELECT c_custkey AS id, c_custkey % 11 / 20.0 AS p1, -(c_custkey % 7) / 20.0 AS p2 FROM customer), r AS (SELECT id, p1, p2, 0.01 * (1 - p2) / ((1 + p2) * (pow(1 - p2, 2) - pow(p1, 2))) AS r0 FROM m) SELECT id, round(r0, 6) AS r0, round(p1 * r0 / (1 - p2), 6) AS r1, round(p1 * p1 * r0 / (1 - p2) + p2 * r0, 6) AS r2, true AS stationary FROM r")
 def t27b(spark, sf):
-    models = spark.createDataFrame([([0.5, -0.2],)], "samples array<double>")
+    id_ = F.col("c_custkey")
+    models = v.table(spark, sf, "customer").select(id_.alias("id"), F.array((id_ % 11 / 20).cast("double"), (-(id_ % 7) / 20).cast("double")).alias("samples"))
     got = ts.map_samples(models, lambda x, row: (waves.ar_autocovariance(x, 0.1, 2), float(waves.ar_is_stationary(x))), r="array<double>", ok="double")
-    return got.select(*(F.round(F.get("r", k), 6).alias(f"r{k}") for k in range(3)), (F.col("ok") > 0).alias("stationary"))
+    return got.select("id", *(F.round(F.get("r", k), 6).alias(f"r{k}") for k in range(3)), (F.col("ok") > 0).alias("stationary"))
 
 
-@query("t29_recent_noise_model", v.with_views("arrival") + ", b AS (SELECT sta, floor(time / 7200) AS blk, avg(amp) AS loc, stddev_pop(amp) AS scale, bool_or(iphase = 'error') AS bad FROM arrival GROUP BY 1, 2), r AS (SELECT arid, sta, time FROM arrival WHERE iphase = 'purchase'), m AS (SELECT arid, r.sta, max(blk) AS blk FROM r JOIN b ON b.sta = r.sta AND NOT bad AND (blk + 1) * 7200 <= r.time GROUP BY 1, 2) SELECT arid, CAST(blk * 7200 AS DOUBLE) AS stime, round(loc, 5) AS loc, round(scale, 5) AS scale FROM m JOIN b USING (sta, blk)")
+@query("t29_recent_noise_model", v.with_views("arrival") + ", b AS (SELECT sta, floor(time / 7200) AS blk, avg(amp) AS loc, stddev_pop(amp) AS scale, bool_or(iphase = 'error') AS bad FROM arrival GROUP BY 1, 2), r AS (SELECT arid, sta, time FROM arrival WHERE iphase = 'purchase'), m AS (SELECT arid, r.sta, max(blk) AS blk FROM r JOIN b ON b.sta = r.sta AND NOT bad AND (blk + 1) * 7200 <= r.time GROUP BY 1, 2) SELECT r.arid, CAST(m.blk * 7200 AS DOUBLE) AS stime, round(loc, 5) AS loc, round(scale, 5) AS scale FROM r LEFT JOIN m ON m.arid = r.arid LEFT JOIN b ON b.sta = m.sta AND b.blk = m.blk")
 def t29(spark, sf):
     a = v.arrival(spark, sf)
     requests = a.where("iphase = 'purchase'").select("arid", "sta", "time")
     got = detection.recent_noise(requests, a.select("sta", "time", "amp", (F.col("iphase") == "error").alias("unsafe")), 7200.0)
-    return got.where("stime IS NOT NULL").select("arid", "stime", F.round("loc", 5).alias("loc"), F.round("scale", 5).alias("scale"))
+    return got.select("arid", "stime", F.round("loc", 5).alias("loc"), F.round("scale", 5).alias("scale"))
 
 
 @query("t33_fourier_features", "WITH e AS (SELECT event_id, value / 100 AS a1, (event_id % 7) / 7.0 AS p1, 0.5 AS a2, (event_id % 11) / 11.0 AS p2, unnest(generate_series(0, 19)) AS i FROM events) SELECT event_id, round(sum((a1 * cos(2 * pi() * (i / 10.0 * 0.5 + p1)) + a2 * cos(2 * pi() * (i / 10.0 * 1.0 + p2))) * (i + 1)), 5) AS s FROM e GROUP BY 1")

@@ -59,3 +59,34 @@ def suppressed(detections: DataFrame, seconds: float = 50.0, ts: str = "ts", sta
 
     timed = detections.withWatermark(ts, f"{MAX_TRAVEL_TIME} seconds").withColumn("_t", F.unix_micros(ts) / 1e6)
     return timed.groupBy(F.col(sta).alias("sta")).applyInPandasWithState(step, "sta long, t double, score double, n long", "first double, last double, score double, t double, n long", "append", "EventTimeTimeout")
+
+
+def followed(events: DataFrame, detections: DataFrame, seconds: int, ts: str = "ts", sta: str = "sta") -> DataFrame:
+    """Pairs of an event and a detection of its station at most ``seconds`` after it, from two streams. Watermarks and the bounds let either side's state go
+    once no partner can come any more."""
+    late = f"{MAX_TRAVEL_TIME} seconds"
+    a = events.withWatermark(ts, late).withColumnsRenamed({ts: "event_ts", sta: "event_sta"})
+    b = detections.withWatermark(ts, late)
+    return b.join(a, F.expr(f"{sta} = event_sta AND {ts} >= event_ts AND {ts} <= event_ts + INTERVAL {seconds} SECONDS"))
+
+
+def finished(stream: DataFrame, path: str) -> DataFrame:
+    """A stream's appended rows, once it has read all there is."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def snapshots(stream: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """A stream of counts that change, kept as a table: each batch adds its changed rows with its number, and of a key the last batch's row counts. A batch that is
+    repeated after a failure replaces what it wrote."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{path}/rows")
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in values))
