@@ -360,7 +360,7 @@ def parse_sac_header(head: bytes) -> dict | None:
     n = {k: struct.unpack_from(order + "i", head, at)[0] for k, at in SAC_INTEGERS.items()}
     t = {k: head[at : at + size].decode("ascii", "replace").rstrip("\0 ") for k, (at, size) in SAC_TEXTS.items()}
     zero = datetime(n["nzyear"], 1, 1, tzinfo=timezone.utc).timestamp() + ((n["nzjday"] - 1) * 24 + n["nzhour"]) * 3600 + n["nzmin"] * 60 + n["nzsec"] + n["nzmsec"] / 1000
-    begin, rate = zero + (0.0 if f["b"] == SAC_MISSING else f["b"]), round(1 / f["delta"], 6)  # delta is a 32-bit float
+    begin, rate = zero + (0.0 if f["b"] == SAC_MISSING else f["b"]), float(f"{1 / f['delta']:.6g}")  # delta is a 32-bit float
     return {"sta": t["kstnm"], "chan": t["kcmpnm"], "time": begin, "endtime": begin + n["npts"] / rate, "samprate": rate, "nsamp": n["npts"], "datatype": "f4" if order == "<" else "t4", "calib": 1.0}
 
 
