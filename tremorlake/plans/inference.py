@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorlake.functions.time import epoch
-from tremorlake.operators import alignment, association, bandwidth, hierarchy, library
+from tremorlake.operators import alignment, association, bandwidth, hierarchy, library, process
 
 from . import views as v
 from .registry import query
@@ -158,3 +158,10 @@ def a24_bandwidth(spark, sf):
     e = v.table(spark, sf, "events").select("event_id", F.col("value").alias("x"))
     got = bandwidth.likelihoods(bandwidth.Line(0.25), e.where("event_id % 10 <> 0"), [0.5, 2.0, 8.0, 30.0], e.where("event_id % 10 = 0"), near=16.0)
     return got.select("bandwidth", "n", F.round("loglik", 2).alias("loglik"))
+
+
+@query("m08_local_process")
+def m08_local(spark, sf):
+    a = v.arrival(spark, sf).select("iphase", "time", "amp")
+    days = a.select("iphase", (F.floor(F.col("time") / 21600) * 21600 + 10800.0).alias("at")).distinct()
+    return process.local_process(a, days, ["iphase"], "time", "amp", 43200.0, 1.0, size=300, support=172800.0)
