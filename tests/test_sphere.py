@@ -40,7 +40,7 @@ def test_pairs_equal_all_pairs(spark, degrees):
 
 
 def test_candidates_are_a_few_times_the_result(spark):
-    """What meets in a cell, before any distance is computed; bands of latitude would meet about 30 times as often."""
+    """What meets in a cell, before any distance is computed."""
     rng = random.Random(4)
     rows = [(k, rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1)))) for k in range(4000)]
     left = spark.createDataFrame(rows, "id long, lon double, lat double")
