@@ -65,9 +65,19 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return latest(left, right, key, left_time, right_time, value)
 
 
+#: Bins that go with the plan; more are joined.
+MOST_BINS = 1000
+
+
 def bin_lookup(rows: DataFrame, bins: DataFrame, on: str, row_id: str, low: str = "low", high: str = "high", order: str = "bin") -> DataFrame:
-    """Adds the columns of the first bin (by order) with low <= on < high, nulls where there is none. Bins are a small
-    dimension table; Spark broadcasts it if it is."""
+    """Adds the columns of the first bin (by order) with low <= on < high, nulls where there is none. Up to MOST_BINS bins are a list in the plan, so nothing is joined; more meet the rows
+    in a join whose hits come back by row_id."""
     extra = [c for c in bins.columns if c not in (low, high)]
+    few = bins.orderBy(order).limit(MOST_BINS + 1).collect()
+    if len(few) <= MOST_BINS:
+        types = {f.name: f.dataType for f in bins.schema.fields}
+        listed = F.array(*(F.struct(*(F.lit(r[c]).cast(types[c]).alias(c) for c in bins.columns)) for r in few)) if few else F.array().cast(f"array<{bins.schema.simpleString()}>")
+        hit = F.get(F.filter(listed, lambda b: (F.col(on) >= b[low]) & (F.col(on) < b[high])), 0)
+        return rows.withColumn("_bin", hit).select(*rows.columns, *(F.col("_bin").getField(c).alias(c) for c in extra))
     hit = rows.select(row_id, on).join(bins, (F.col(on) >= F.col(low)) & (F.col(on) < F.col(high))).groupBy(row_id).agg(F.min_by(F.struct(*extra), order).alias("_bin"))
     return rows.join(hit, row_id, "left").select(*rows.columns, *(F.col(f"_bin.{c}").alias(c) for c in extra))

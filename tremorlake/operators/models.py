@@ -159,29 +159,43 @@ def grid_peaks(grid: DataFrame, per_bin: int = 1) -> DataFrame:
     return ranked.where(F.col("_k") <= per_bin).select("tbin", "cell", "score", "n", (F.col("_w") / F.col("_t")).alias("p"))
 
 
-def located(arrivals: DataFrame, speed_km_s: float = 8.0, rounds: int = 15) -> DataFrame:
+def located(arrivals: DataFrame, speed_km_s: float = 8.0, rounds: int = 15, starts: int = 4, enough: float = 0.1) -> DataFrame:
     """(evid, lon, lat, t0, rms): least-squares locations from arrival times (evid, slon, slat, atime), by Gauss-Newton
-    with small damped steps from the station that saw the event first."""
+    with small damped steps from each of the ``starts`` stations that saw the event first, until one ends with residuals of ``enough`` seconds; else the best of
+    these counts."""
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("atime", kind="stable")
-        lon, lat, t0 = float(part["slon"].iloc[0]), float(part["slat"].iloc[0]) + 0.1, float(part["atime"].iloc[0])
         sx, sy, t = (part[c].to_numpy(float) for c in ("slon", "slat", "atime"))
 
+        moves = np.concatenate([np.zeros((1, 3)), np.eye(3) * 1e-3, np.eye(3) * -1e-3])
+        cos_sy = np.cos(np.radians(sy))
+
         def predict(p):
-            a, b = np.radians(p[1]), np.radians(sy)
-            h = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(p[0] - sx) / 2) ** 2
-            return p[2] + 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))) * geo.EARTH_RADIUS_KM / speed_km_s
-
-        p = np.array([lon, lat, t0])
-        for _ in range(rounds):
-            r = t - predict(p)
-            jac = np.stack([(predict(p + e) - predict(p - e)) / (2 * e.max()) for e in np.eye(3) * 1e-3], axis=1)
-            step = np.linalg.solve(jac.T @ jac + 1e-3 * np.eye(3), jac.T @ r)
-            step[:2] = np.clip(step[:2], -10, 10)
-            p = p + step
-            p[1] = np.clip(p[1], -89.9, 89.9)
-        r = t - predict(p)
+            """Arrival times from one place and time a row."""
+            a = np.radians(p[:, 1:2])
+            h = np.sin((a - np.radians(sy)) / 2) ** 2 + np.cos(a) * cos_sy * np.sin(np.radians(p[:, :1] - sx) / 2) ** 2
+            return p[:, 2:] + 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))) * geo.EARTH_RADIUS_KM / speed_km_s
+
+        def descend(p):
+            for _ in range(rounds):
+                near = predict(p + moves)
+                r, jac = t - near[0], (near[1:4] - near[4:]).T / 2e-3
+                step = np.linalg.solve(jac.T @ jac + 1e-3 * np.eye(3), jac.T @ r)
+                step[:2] = np.clip(step[:2], -10, 10)
+                p = p + step
+                p[1] = np.clip(p[1], -89.9, 89.9)
+                if np.abs(step).max() < 1e-7:
+                    break
+            return float(((t - predict(p[None])[0]) ** 2).mean()), p.tolist()
+
+        best = (np.inf, [])
+        for k in range(min(starts, len(t))):
+            best = min(best, descend(np.array([sx[k], sy[k] + 0.1, t[k]])))
+            if best[0] < enough * enough:
+                break
+        p = best[1]
+        r = t - predict(np.array([p]))[0]
         return pd.DataFrame({"evid": [part["evid"].iloc[0]], "lon": [(p[0] + 180) % 360 - 180], "lat": [p[1]], "t0": [p[2]], "rms": [float(np.sqrt((r**2).mean()))]})
 
     return arrivals.groupBy("evid").applyInPandas(fit, "evid long, lon double, lat double, t0 double, rms double")

@@ -49,8 +49,8 @@ def j05(spark, sf):
 
 @query("j06_nested_lists", v.with_views("origin", "assoc", "arrival") + ", d AS (SELECT DISTINCT orid, arid FROM assoc JOIN arrival USING (arid) WHERE timedef = 'd') SELECT orid, count(arid) AS n, string_agg(CAST(arid AS VARCHAR), ',' ORDER BY arid) AS arids FROM origin LEFT JOIN d USING (orid) GROUP BY orid")
 def j06(spark, sf):
-    d = v.assoc(spark, sf).where("timedef = 'd'").join(v.arrival(spark, sf).select("arid"), "arid").select("orid", "arid").distinct()
-    nested = d.groupBy("orid").agg(F.array_sort(F.collect_list("arid")).alias("list"))  # an event's own detections
+    d = v.assoc(spark, sf).where("timedef = 'd'").join(v.arrival(spark, sf).select("arid"), "arid").select("orid", "arid")
+    nested = d.groupBy("orid").agg(F.array_sort(F.collect_set("arid")).alias("list"))  # an event's own detections
     out = v.origin(spark, sf).select("orid").join(nested, "orid", "left")
     return out.select("orid", F.coalesce(F.size("list"), F.lit(0)).cast("bigint").alias("n"), F.array_join("list", ",").alias("arids"))
 

@@ -38,7 +38,7 @@ def a02(spark, sf):
 @query("a03_having_ranked", "WITH c AS (SELECT user_id AS sta, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 60) SELECT sta, n, CAST(row_number() OVER (ORDER BY n DESC, sta) AS BIGINT) AS id FROM c")
 def a03(spark, sf):
     n = v.arrival(spark, sf).groupBy("sta").agg(F.count("*").alias("n")).where("n > 60")
-    return n.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "sta")).cast("bigint"))
+    return sequences.ordinal(n.withColumn("down", -F.col("n")), [], ["down", "sta"], "id").select("sta", "n", (F.col("id") + 1).alias("id"))
 
 
 @query("a04_top_channel", "SELECT event_type AS chan, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, chan LIMIT 1")
