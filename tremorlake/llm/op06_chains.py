@@ -1,17 +1,20 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after the other: KINDS kinds of toxic documents, and at last "toxic" itself. The labels know only
-"toxic", so the kinds are found in the labelled rows: the word that is most in excess in toxic documents stands for the first
-kind, the one most in excess in the toxic documents left for the next. Each classifier is a logistic regression on the words and
-beginnings of words present in a document and on the probabilities of the categories before it. In training those probabilities
-come from out-of-fold models, each with a vocabulary of its own fold's training rows, so that a later classifier learns from
-what it will meet; afterwards each category's model is fitted on all training rows.
-
-Training takes at most TRAIN_DOCS labelled documents (those of the least hash), never one with crc32(doc_id) mod 5 = 0.
-The vocabulary is at most VOCABULARY features of LEAST_DOCS training documents or more, those whose share of toxic
-documents is furthest off; a bound of the model, documented here, not of the documents that it scores. Null and empty texts
-have no words and get the constant's score; texts of any length are whole. A table without usable labels gives 0.0. Repeated rows
-get equal scores; of rows that share a doc_id each is scored by itself. Empty tables give empty results.
+"toxic", so the kinds are found in the labelled rows: clusters of toxic documents by the features they share that are in excess
+among them. Features are words and beginnings of words, and two views part them by a bit of their hash: the kinds are found and
+predicted in the first view, "toxic" in the second, so that what the first view knows reaches "toxic" through the earlier
+probabilities alone. Each classifier is a logistic regression on its view's features in a document and on the probabilities of
+the categories before it. In training those probabilities come from out-of-fold models, each with features chosen from its own
+fold's training rows, so that a later classifier learns from what it will meet; afterwards each category's model is fitted on
+all training rows.
+
+Training takes at most TRAIN_DOCS labelled documents (those of the least hash), no more than have TRAIN_BYTES bytes together,
+one text for each doc_id, and never one with crc32(doc_id) mod 5 = 0.
+A model's features are those in LEAST_DOCS training documents or more whose share of its category is off by LEAST_EXCESS
+standard deviations. Null and empty texts have no words and get the constant's score; texts of any length are whole. A table
+without usable labels gives 0.0. Repeated rows get equal scores; of rows that share a doc_id each is scored by itself. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, RunHasher, blocks, clean_docs, mix, words_of
+from .common import LOWER, RunHasher, blocks, clean_docs, discard, mix, words_of, written
 from .op04_crf import held_out
 
-TRAIN_DOCS = 8000
-VOCABULARY = 20_000
+TRAIN_DOCS, TRAIN_BYTES = 8000, 64 << 20
 LEAST_DOCS = 6
 #: How many standard deviations a feature's share of toxic documents has to be off.
 LEAST_EXCESS = 6.0
@@ -34,6 +36,8 @@ FOLDS = 3
 PREFIXES = (4, 5, 6, 7, 8)
 
 KINDS = 3
+#: At most so many rounds of clustering.
+CLUSTER_ROUNDS = 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -86,35 +90,54 @@ def _excess(of: np.ndarray, row: np.ndarray, size: int, y: np.ndarray) -> np.nda
 
 def _choice(of: np.ndarray, row: np.ndarray, size: int, y: np.ndarray) -> np.ndarray:
     """The features of a model, in ascending order."""
-    excess = np.abs(_excess(of, row, size, y))
-    top = np.sort(np.argsort(-excess, kind="stable")[:VOCABULARY])
-    return top[excess[top] >= LEAST_EXCESS]
-
-
-def kinds_of(of: np.ndarray, row: np.ndarray, size: int, toxic: np.ndarray) -> list[np.ndarray]:
-    """For each kind which documents are of it; kinds share none. A kind that no feature stands for is empty."""
-    out, left = [], toxic.astype(float)
-    for _ in range(KINDS):
-        mine = np.zeros(len(toxic))
-        if left.any():
-            excess = _excess(of, row, size, left)
-            f = int(np.argmax(excess))
-            if excess[f] >= LEAST_EXCESS:
-                mine[row[of == f]] = 1
-                mine *= left
-        out.append(mine)
-        left = left - mine
-    return out
-
-
-def train_chain(codes: np.ndarray, row: np.ndarray, n_rows: int, toxic: np.ndarray, folds: int = FOLDS) -> dict:
-    """Vocabulary and weights of each category, in the order of the chain."""
+    return np.flatnonzero(np.abs(_excess(of, row, size, y)) >= LEAST_EXCESS)
+
+
+def first_view(codes: np.ndarray) -> np.ndarray:
+    """Which features the kinds see; "toxic" sees the others."""
+    return codes & np.uint64(2) == 0
+
+
+def kinds_of(of: np.ndarray, row: np.ndarray, view: np.ndarray, toxic: np.ndarray) -> list[np.ndarray]:
+    """For each kind which documents are of it; kinds share none. Clusters of the toxic documents by the angle between their features in excess: the first center is the
+    document nearest to their mean, each next one that furthest from the centers so far, and of equals the first counts. Documents without such features are of no kind."""
+    chosen = np.flatnonzero((_excess(of, row, len(view), toxic) >= LEAST_EXCESS) & view)
+    place = np.full(len(view), -1)
+    place[chosen] = np.arange(len(chosen))
+    use = (place[of] >= 0) & (toxic[row] > 0)
+    docs, at = np.unique(row[use], return_inverse=True)
+    col, kinds = place[of][use], [np.zeros(len(toxic)) for _ in range(KINDS)]
+    if not len(docs):
+        return kinds
+    length = 1 / np.sqrt(np.bincount(at))
+    mean_of = lambda inside: np.bincount(col[inside[at]], weights=length[at[inside[at]]], minlength=len(chosen))
+    unit = lambda c: c / max(1e-12, float(np.linalg.norm(c)))
+    near = lambda c: np.round(length * np.bincount(at, weights=c[col], minlength=len(docs)), 9)
+    one = lambda k: unit(mean_of(np.arange(len(docs)) == k))
+    centers = [one(np.argmax(near(unit(mean_of(np.ones(len(docs), bool))))))]
+    while len(centers) < KINDS:
+        centers.append(one(np.argmin(np.max([near(c) for c in centers], axis=0))))
+    mine = None
+    for _ in range(CLUSTER_ROUNDS):
+        before, mine = mine, np.argmax([near(c) for c in centers], axis=0)
+        if before is not None and (before == mine).all():
+            break
+        centers = [unit(mean_of(mine == k)) if (mine == k).any() else c for k, c in enumerate(centers)]
+    for k in range(KINDS):
+        kinds[k][docs[mine == k]] = 1
+    return kinds
+
+
+def train_chain(codes: np.ndarray, row: np.ndarray, n_rows: int, toxic: np.ndarray, folds: int = FOLDS, chained: bool = True) -> dict:
+    """Vocabulary and weights of each category, in the order of the chain. Without ``chained`` no category sees those before it, to measure what they add."""
     vocabulary, of = np.unique(codes, return_inverse=True)
+    view = first_view(vocabulary)
 
-    def fitted(inside: np.ndarray, extra: np.ndarray, y: np.ndarray):
+    def fitted(inside: np.ndarray, extra: np.ndarray, y: np.ndarray, seen: np.ndarray):
         """A model of the rows inside: its features and weights, and the probabilities of all other rows."""
         number, at = np.cumsum(inside) - 1, inside[row]
-        chosen = _choice(of[at], number[row[at]], len(vocabulary), toxic[inside])
+        chosen = _choice(of[at], number[row[at]], len(vocabulary), y[inside])
+        chosen = chosen[seen[chosen]]
         place = np.full(len(vocabulary), -1)
         place[chosen] = np.arange(len(chosen))
         col = place[of]
@@ -125,14 +148,20 @@ def train_chain(codes: np.ndarray, row: np.ndarray, n_rows: int, toxic: np.ndarr
 
     fold, every = np.arange(n_rows) % folds, np.ones(n_rows, bool)
     extra, models = np.ones((n_rows, 1)), []
-    for y in (*kinds_of(of, row, len(vocabulary), toxic), toxic):
+    for y, seen in (*((k, view) for k in kinds_of(of, row, view, toxic)), (toxic, ~view)):
         out_of_fold = np.zeros(n_rows)
         for k in range(folds):
-            out_of_fold[fold == k] = fitted(fold != k, extra, y)[2]
-        chosen, theta, _ = fitted(every, extra, y)
-        models.append(theta)
-        extra = np.hstack([extra, out_of_fold[:, None]])
-    return {"vocabulary": vocabulary[chosen], "weights": models}
+            out_of_fold[fold == k] = fitted(fold != k, extra, y, seen)[2]
+        models.append(fitted(every, extra, y, seen)[:2])
+        extra = np.hstack([extra, out_of_fold[:, None] if chained else np.zeros((n_rows, 1))])
+    used = np.unique(np.concatenate([chosen for chosen, _ in models]))
+    weights = []
+    for chosen, theta in models:
+        wide = np.zeros(len(used) + len(theta) - len(chosen))
+        wide[np.searchsorted(used, chosen)] = theta[: len(chosen)]
+        wide[len(used) :] = theta[len(chosen) :]
+        weights.append(wide)
+    return {"vocabulary": vocabulary[used], "weights": weights}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict | None:
@@ -145,11 +174,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
             parts = np.split(codes, np.searchsorted(doc, np.arange(1, len(ids))))
             yield pa.record_batch([ids, y, pa.array([p.astype("<u8").tobytes() for p in parts], pa.binary())], ["doc_id", "y", "codes"])
 
-    rows = clean_docs(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")  # at most train_docs rows
-    got = rows.mapInArrow(features, "doc_id long, y int, codes binary").toPandas().sort_values("doc_id", kind="stable")
-    y = got["y"].to_numpy(float)
-    if len(got) < FOLDS or len(set(y)) < 2:
+    found = clean_docs(docs).join(F.broadcast(picked), "doc_id")  # at most train_docs rows of labels
+    rows = written(found.select("doc_id", "y", "text", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n_bytes")), "training")
+    # one text for each doc_id, as many as fit the bound
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("h", "n_bytes")).alias("s"), F.max("y").alias("y")).select("doc_id", "s.*", "y")
+    sizes = one.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    fits = sizes["n_bytes"].cumsum() <= TRAIN_BYTES
+    if fits.sum() < FOLDS or len(set(sizes.loc[fits, "y"])) < 2:
+        discard(rows)
         return None
+    chosen = docs.sparkSession.createDataFrame(sizes.loc[fits, ["doc_id", "h", "y"]], "doc_id long, h long, y int")
+    texts = rows.drop("y").join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+    got = texts.mapInArrow(features, "doc_id long, y int, codes binary").toPandas().sort_values("doc_id", kind="stable")
+    discard(rows)
+    y = got["y"].to_numpy(float)
     parts = [np.frombuffer(b, "<u8") for b in got["codes"]]
     return train_chain(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), len(parts), y)
 
