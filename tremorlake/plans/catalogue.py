@@ -6,7 +6,7 @@ import importlib
 import importlib.util
 
 #: Modules of this package, which register their queries.
-MODULES = ("scalars", "relational", "joining", "ordered", "series", "evaluation", "storage", "travel", "signals", "fitting", "files", "archive", "inference", "surface", "proposals")
+MODULES = ("scalars", "relational", "joining", "ordered", "series", "evaluation", "storage", "travel", "signals", "fitting", "files", "archive", "inference", "surface", "proposals", "smoothing")
 
 
 def _load():
