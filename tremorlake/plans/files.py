@@ -96,3 +96,12 @@ def u08(spark, sf):
     v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")).write.parquet(path)
     io.appended(v.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), path)
     return spark.read.parquet(path)
+
+
+@query("s18_returned_ids", "WITH n AS (SELECT max(s_suppkey) AS last FROM supplier), c AS (SELECT last + row_number() OVER (ORDER BY c_custkey) AS k, c_name AS name FROM customer, n) SELECT k, name, true AS kept FROM c")
+def s18(spark, sf):
+    path = shared_path(spark, "returning")
+    v.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")).write.parquet(path)
+    got = io.inserted(v.table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name")), path, "k", ["c_custkey"])
+    there = spark.read.parquet(path).select("k", F.col("name").alias("_name"))
+    return got.join(there, "k", "left").select("k", "name", F.coalesce(F.col("_name") == F.col("name"), F.lit(False)).alias("kept"))

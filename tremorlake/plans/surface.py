@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremorlake.functions import blocks
 from tremorlake.functions import sql as functions
 from tremorlake.operators.lineage import shared_path
 from tremorlake.streaming import detections as streams
@@ -58,3 +59,26 @@ def stream_join(spark, sf):
     found = _arriving(spark, sf, "found", e.where("event_type <> 'purchase'").select(F.col("event_id").alias("arid"), "sta", "ts"))
     events = _arriving(spark, sf, "events", e.where("event_type = 'purchase'").select(F.col("event_id").alias("evid"), "sta", "ts"))
     return streams.finished(streams.followed(events, found, 1800), shared_path(spark, "joined")).select("arid", "evid")
+
+
+_PERIOD = "WITH e AS (SELECT epoch(ts) AS t FROM events), p AS (SELECT min(t) AS s, max(t) + 1 AS f FROM e), "
+
+
+def _period(spark, sf):
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return v.table(spark, sf, "events").agg(F.min(t), F.max(t) + 1).first()
+
+
+@query("stream_fixed_blocks", _PERIOD + "n AS (SELECT s, f, greatest(1, floor((f - s) / 3600)) AS n FROM p), b AS (SELECT CAST(least(floor((t - s) / 3600), n - 1) AS BIGINT) AS block, s, f, n FROM e, n) SELECT block, s + block * 3600 AS stime, CASE WHEN block = n - 1 THEN f ELSE s + (block + 1) * 3600 END AS etime, count(*) AS n FROM b GROUP BY b.block, s, f, b.n")
+def stream_fixed_blocks(spark, sf):
+    first, last = _period(spark, sf)
+    rows = _arriving(spark, sf, "arriving", v.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts")))
+    counts = streams.in_blocks(rows.withColumn("t", F.unix_micros("ts") / 1e6), blocks.fixed_block("t", first, last, 3600))
+    return streams.snapshots(counts, ["block", "stime", "etime"], shared_path(spark, "blocks"))
+
+
+@query("scan_blocks", _PERIOD + "n AS (SELECT s, f, ceil((f - s) / 7200) AS n, (f - s) / ceil((f - s) / 7200) AS w FROM p), b AS (SELECT k AS block, s + k * w AS stime, CASE WHEN k = n - 1 THEN f ELSE s + (k + 1) * w END AS etime FROM n, (SELECT unnest(generate_series(0, CAST((SELECT n FROM n) AS BIGINT) - 1)) AS k)) SELECT block, round(stime, 3) AS stime, round(etime, 3) AS etime, count(*) AS n FROM b JOIN e ON t >= stime AND t < etime GROUP BY 1, 2, 3")
+def scan_blocks(spark, sf):
+    first, last = _period(spark, sf)
+    rows = v.arrival(spark, sf).select(F.col("time").alias("t"))
+    return streams.in_blocks(rows, blocks.equal_block("t", first, last, 7200)).select("block", F.round("stime", 3).alias("stime"), F.round("etime", 3).alias("etime"), "n")

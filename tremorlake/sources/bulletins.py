@@ -218,6 +218,17 @@ def appended(rows: DataFrame, path: str) -> None:
     rows.select(*(F.col(f.name).cast(f.dataType) for f in table.fields)).write.mode("append").parquet(path)
 
 
+def inserted(rows: DataFrame, path: str, key: str, order: list[str]) -> DataFrame:
+    """INSERT INTO a Parquet table ... RETURNING the key: rows get the numbers after the table's greatest, in an order of their own columns, and come back with them. Numbers are made from
+    range partitions and written down before they are used, so what comes back is what was appended. One writer at a time: two would begin at the same number."""
+    from tremorlake.operators.sequences import ordinal
+
+    last = rows.sparkSession.read.parquet(path).agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    numbered = ordinal(rows.drop(key), [], order, key).withColumn(key, F.col(key) + last + 1)
+    appended(numbered, path)
+    return numbered
+
+
 def merged_states(parts: list[DataFrame], periods: list[tuple[float, float]], time: str = "time") -> DataFrame:
     """Rows of each part within its half-open period, together."""
     kept = [p.where((F.col(time) >= a) & (F.col(time) < b)) for p, (a, b) in zip(parts, periods)]

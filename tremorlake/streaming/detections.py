@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.operators.catalogue import MAX_TRAVEL_TIME
@@ -61,6 +61,12 @@ def suppressed(detections: DataFrame, seconds: float = 50.0, ts: str = "ts", sta
     return timed.groupBy(F.col(sta).alias("sta")).applyInPandasWithState(step, "sta long, t double, score double, n long", "first double, last double, score double, t double, n long", "append", "EventTimeTimeout")
 
 
+def in_blocks(detections: DataFrame, block: Column) -> DataFrame:
+    """Counts of a period's blocks (``functions.blocks``), which change while detections come: the last block may be longer than any watermark waits, so they are to be
+    kept as snapshots. Detections outside the period are left out."""
+    return detections.select(block.alias("_b")).where("_b IS NOT NULL").groupBy(F.col("_b.block").alias("block"), F.col("_b.stime").alias("stime"), F.col("_b.etime").alias("etime")).agg(F.count("*").alias("n"))
+
+
 def followed(events: DataFrame, detections: DataFrame, seconds: int, ts: str = "ts", sta: str = "sta") -> DataFrame:
     """Pairs of an event and a detection of its station at most ``seconds`` after it, from two streams. Watermarks and the bounds let either side's state go
     once no partner can come any more."""
