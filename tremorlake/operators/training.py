@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tremorlake.functions import geo
 
 from .models import linear_fits
+from .process import local_process
 from .ranks import medians
 from .sphere import near_join
 
@@ -47,6 +48,21 @@ def fitted_models(rows: DataFrame, keys: list[str], kind: str, y: str, basis: di
     raise ValueError(f"no model of kind {kind}")
 
 
+def process_predictions(rows: DataFrame, points: DataFrame, keys: list[str], kind: str, x: str, y: str, length: float, noise: float, size: int = 500, support: float | None = None) -> DataFrame:
+    """(keys, kind, at, mean, var) at the points (keys, at): what the process kinds of model predict. gplocal is a process around each group's mean, by overlapping runs of ``size`` places
+    (``local_process``, which is the dense one up to that many); gpparam is one around each group's line, which is fitted first. A group whose line isn't determined has its mean."""
+    if kind == "gplocal":
+        return local_process(rows, points, keys, x, y, length, noise, size, support).withColumn("kind", F.lit(kind))
+    if kind != "gpparam":
+        raise ValueError(f"no process of kind {kind}")
+    lines = rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_base"), F.avg(F.when(F.col(x).isNotNull(), F.col(y))).alias("_mean"))
+    lines = lines.select(*keys, F.when(F.col("_base").isNotNull(), F.col("_slope")).otherwise(0.0).alias("_slope"), F.coalesce("_base", "_mean").alias("_base"))
+    left = rows.select(*keys, F.col(x).alias("_at"), F.col(y).alias("_value")).join(lines, keys)
+    rest = left.select(*keys, "_at", (F.col("_value") - F.col("_base") - F.col("_slope") * F.col("_at")).alias("_rest"))
+    around = local_process(rest, points, keys, "_at", "_rest", length, noise, size, support)
+    return around.join(lines, keys).select(*keys, F.lit(kind).alias("kind"), "at", (F.col("mean") + F.col("_base") + F.col("_slope") * F.col("at")).alias("mean"), "var")
+
+
 def pooled(rows: DataFrame, key: str, y: str) -> DataFrame:
     """(key, n, mean, pooled): each group's mean drawn towards the mean of the groups' means, the more the fewer rows it has: weights are the inverse
     variances of a group's mean (from the variance within all groups) and of the groups (what their means vary by)."""
