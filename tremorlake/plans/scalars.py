@@ -45,10 +45,16 @@ def x05(spark, sf):
     return _points(spark, sf).where(F.sin(F.radians(geo.dist_deg(*PT))) > 0.001).select("orid", F.round(geo.azimuth(*PT), 4).alias("azi"))
 
 
+def signed_round(c, digits: int):
+    """round(c) as SQL has it: what is rounded to zero keeps its sign, which Spark's doesn't."""
+    r = F.round(c, digits)
+    return F.when((c < 0) & (r == 0), F.lit(-0.0)).otherwise(r)
+
+
 @query("x06_destination", _PTS + ", q AS (SELECT orid, radians(lat) AS a, radians(depth) AS w, (mb * 500) / 6371.0 AS d, lon FROM p), r AS (SELECT *, asin(least(1.0, greatest(-1.0, sin(a)*cos(d) + cos(a)*sin(d)*cos(w)))) AS y FROM q), s AS (SELECT *, lon + degrees(atan2(sin(w)*sin(d)*cos(a), cos(d) - sin(a)*sin(y))) + 180 AS x FROM r) SELECT orid, round(fmod(fmod(x, 360.0) + 360.0, 360.0) - 180, 5) AS lon2, round(degrees(y), 5) AS lat2 FROM s WHERE abs(a) < 1.55")
 def x06(spark, sf):
     lon, lat = geo.destination("lon", "lat", "depth", F.col("mb") * 500)
-    return _points(spark, sf).where(F.abs(F.radians("lat")) < 1.55).select("orid", F.round(lon, 5).alias("lon2"), F.round(lat, 5).alias("lat2"))
+    return _points(spark, sf).where(F.abs(F.radians("lat")) < 1.55).select("orid", signed_round(lon, 5).alias("lon2"), signed_round(lat, 5).alias("lat2"))
 
 
 @query("x07_lonlat_text", _PTS + "SELECT orid, printf('%.2f', abs(lon)) || CASE WHEN lon < 0 THEN ' W ' ELSE ' E ' END || printf('%.2f', abs(lat)) || CASE WHEN lat < 0 THEN ' S' ELSE ' N' END AS place FROM p")
