@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
@@ -30,8 +30,9 @@ def pair_shifts(windows: DataFrame, km: float = 15.0, most: int = 5, least_xc: f
     return found.select(F.col("node").alias("a"), F.col("o_node").alias("b"), (-F.col("shift") / F.col("srate")).alias("d"), F.col("xc").alias("w"))
 
 
-def least_squares(pairs: DataFrame, ridge: float = 0.0, tolerance: float = 1e-10, most_rounds: int = 1000) -> DataFrame:
-    """(node, x): the minimum of the sum of w (x_b - x_a - d)^2 over pairs (a, b, d, w) plus ridge times that of x^2. Without a ridge the x of each connected part
+def least_squares(pairs: DataFrame, ridge: float | Column = 0.0, tolerance: float = 1e-10, most_rounds: int = 1000) -> DataFrame:
+    """(node, x): the minimum of the sum of w (x_b - x_a - d)^2 over pairs (a, b, d, w) plus ridge times that of x^2. A ridge may be a column over
+    deg, the weights of a node's pairs, so that a node with few pairs is drawn towards zero in place of those it lacks. Without a ridge the x of each connected part
     sum to zero. Rounds end when the residual is less than the tolerance times the first one; not getting there is an error."""
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "w", (-F.col("d")).alias("d")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "w", "d"))
     links = checkpointed(both.groupBy("node", "other").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d")).alias("wd")))
