@@ -72,4 +72,5 @@ def near_join(left: DataFrame, right: DataFrame, degrees: float, condition: Colu
     test &= within if within is not None else geo.dist_deg(*left_at, *right_at) <= degrees
     if condition is not None:
         test &= condition
-    return a.join(b, test, how).drop("_cell", "_step", "_o_cell", "_o_step", *(f"_o_{k}" for k in keys or []))
+    # never by broadcast: the repeated rows are many more than the table's file tells
+    return a.join(b.hint("merge"), test, how).drop("_cell", "_step", "_o_cell", "_o_step", *(f"_o_{k}" for k in keys or []))
