@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import geo
 
+from .joins import band_join
+from .lineage import checkpointed
+
 #: Degrees added to caps when cells are chosen, for what rounding does to distances.
 _SLACK = 1e-6
 
@@ -74,3 +77,25 @@ def near_join(left: DataFrame, right: DataFrame, degrees: float, condition: Colu
         test &= condition
     # never by broadcast: the repeated rows are many more than the table's file tells
     return a.join(b.hint("merge"), test, how).drop("_cell", "_step", "_o_cell", "_o_step", *(f"_o_{k}" for k in keys or []))
+
+
+def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, times: tuple[str, str], seconds: float, seconds_a_degree: float, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("o_lon", "o_lat")) -> DataFrame:
+    """For each left row the right row at most seconds away of least cost, the degrees between them and a degree for each seconds_a_degree; of equals that of the least id. Left rows
+    without any come out with nulls.
+
+    Rounds of growing reach: what costs no more than a reach is within it in space and in time, so a left row that finds any is done. The first reach is one that a few right rows cost less
+    than, by their number and period, so that rows looked at grow as the tables do, not as pairs in the band. The last round takes the whole band, for the rows that are left."""
+    cost = geo.dist_deg(*left_at, *right_at) + F.abs(F.col(times[0]) - F.col(times[1])) / seconds_a_degree
+    least = F.min(F.struct(cost.alias("cost"), F.col(right_id).alias(right_id))).alias("_best")
+    n, span = right.agg(F.count(times[1]), F.max(times[1]) - F.min(times[1])).first()
+    rate = n / max(span or 0.0, seconds)
+    reach = (24 / max(rate * 2 * seconds_a_degree * (3.141592653589793 / 180) ** 2, 1e-12)) ** (1 / 3)
+    todo, found = left.where(F.col(left_id).isNotNull()), None
+    while reach * seconds_a_degree < seconds and reach < 60:
+        near = near_join(todo, right, reach, left_at=left_at, right_at=right_at, within=cost <= reach, times=times, seconds=reach * seconds_a_degree * (1 + 1e-9))
+        best = checkpointed(near.groupBy(left_id).agg(least))
+        todo = checkpointed(todo.join(best.select(left_id), left_id, "left_anti"))
+        found, reach = best if found is None else found.unionByName(best), reach * 3
+    last = band_join(todo, right, *times, seconds).groupBy(left_id).agg(least)
+    best = last if found is None else found.unionByName(last)
+    return left.join(best, left_id, "left").select(*left.columns, F.col(f"_best.{right_id}").alias(right_id), F.col("_best.cost").alias("cost"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import geo, names
 from tremorlake.operators import joins as jn
-from tremorlake.operators.sphere import near_join
+from tremorlake.operators.sphere import near_join, nearest_join
 
 from . import views as v
 from .registry import query
@@ -138,8 +138,7 @@ def j17(spark, sf):
 @query("j18_nearest", v.with_views("gold", "guess") + f", c AS (SELECT a.id, b.id AS gid, {_HAV} + abs(a.t - b.t) / 10 AS cost FROM gold a JOIN guess b ON abs(a.t - b.t) <= 600), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cost, gid) AS k FROM c) SELECT g.id, r.gid, round(r.cost, 5) AS cost FROM gold g LEFT JOIN r ON g.id = r.id AND k = 1")
 def j18(spark, sf):
     a, b = _sides(spark, sf)
-    cost = geo.dist_deg("lon", "lat", "glon", "glat") + F.abs(F.col("t") - F.col("gt")) / 10
-    return jn.nearest_join(a, b, "id", "t", "gt", 600.0, cost, "gid").select("id", "gid", F.round("cost", 5).alias("cost"))
+    return nearest_join(a, b, "id", "gid", ("t", "gt"), 600.0, 10.0, right_at=("glon", "glat")).select("id", "gid", F.round("cost", 5).alias("cost"))
 
 
 @query("j19_tolerance_join", v.with_views("gold", "guess") + "SELECT a.id, min(b.id) AS gid FROM gold a JOIN guess b ON abs(a.t - b.t) <= 5 AND abs(a.lon - b.lon) <= 0.3 AND abs(a.lat - b.lat) <= 0.1 GROUP BY a.id")
