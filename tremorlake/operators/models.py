@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,46 +160,67 @@ def grid_peaks(grid: DataFrame, per_bin: int = 1) -> DataFrame:
     return ranked.where(F.col("_k") <= per_bin).select("tbin", "cell", "score", "n", (F.col("_w") / F.col("_t")).alias("p"))
 
 
+#: Picks of events that are located side by side.
+_PICKS = 20_000
+
+
 def located(arrivals: DataFrame, speed_km_s: float = 8.0, rounds: int = 15, starts: int = 4, enough: float = 0.1) -> DataFrame:
     """(evid, lon, lat, t0, rms): least-squares locations from arrival times (evid, slon, slat, atime), by Gauss-Newton
     with small damped steps from each of the ``starts`` stations that saw the event first, until one ends with residuals of ``enough`` seconds; else the best of
     these counts."""
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("atime", kind="stable")
-        sx, sy, t = (part[c].to_numpy(float) for c in ("slon", "slat", "atime"))
-
-        moves = np.concatenate([np.zeros((1, 3)), np.eye(3) * 1e-3, np.eye(3) * -1e-3])
-        cos_sy = np.cos(np.radians(sy))
-
-        def predict(p):
-            """Arrival times from one place and time a row."""
-            a = np.radians(p[:, 1:2])
-            h = np.sin((a - np.radians(sy)) / 2) ** 2 + np.cos(a) * cos_sy * np.sin(np.radians(p[:, :1] - sx) / 2) ** 2
-            return p[:, 2:] + 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))) * geo.EARTH_RADIUS_KM / speed_km_s
-
-        def descend(p):
-            for _ in range(rounds):
-                near = predict(p + moves)
-                r, jac = t - near[0], (near[1:4] - near[4:]).T / 2e-3
-                step = np.linalg.solve(jac.T @ jac + 1e-3 * np.eye(3), jac.T @ r)
-                step[:2] = np.clip(step[:2], -10, 10)
-                p = p + step
-                p[1] = np.clip(p[1], -89.9, 89.9)
-                if np.abs(step).max() < 1e-7:
-                    break
-            return float(((t - predict(p[None])[0]) ** 2).mean()), p.tolist()
-
-        best = (np.inf, [])
-        for k in range(min(starts, len(t))):
-            best = min(best, descend(np.array([sx[k], sy[k] + 0.1, t[k]])))
-            if best[0] < enough * enough:
+    moves = np.concatenate([np.zeros((1, 3)), np.eye(3) * 1e-3, np.eye(3) * -1e-3])
+
+    def predict(p, sx, sy):
+        """Arrival times (event, place, pick) from places and times (event, place, 3)."""
+        a, b = np.radians(p[:, :, 1:2]), np.radians(sy)[:, None, :]
+        h = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(p[:, :, :1] - sx[:, None, :]) / 2) ** 2
+        return p[:, :, 2:] + 2 * np.arcsin(np.sqrt(np.clip(h, 0, 1))) * geo.EARTH_RADIUS_KM / speed_km_s
+
+    def descend(p, sx, sy, t):
+        """Events descend side by side; one that stands still is left alone."""
+        p, go = p.copy(), np.arange(len(p))
+        for _ in range(rounds):
+            near = predict(p[go, None, :] + moves, sx[go], sy[go])
+            r, jac = t[go] - near[:, 0], (near[:, 1:4] - near[:, 4:]).transpose(0, 2, 1) / 2e-3
+            back = jac.transpose(0, 2, 1)
+            step = np.linalg.solve(back @ jac + 1e-3 * np.eye(3), back @ r[:, :, None])[:, :, 0]
+            step[:, :2] = np.clip(step[:, :2], -10, 10)
+            p[go] += step
+            p[go, 1] = np.clip(p[go, 1], -89.9, 89.9)
+            go = go[np.abs(step).max(axis=1) >= 1e-7]
+            if not len(go):
                 break
-        p = best[1]
-        r = t - predict(np.array([p]))[0]
-        return pd.DataFrame({"evid": [part["evid"].iloc[0]], "lon": [(p[0] + 180) % 360 - 180], "lat": [p[1]], "t0": [p[2]], "rms": [float(np.sqrt((r**2).mean()))]})
-
-    return arrivals.groupBy("evid").applyInPandas(fit, "evid long, lon double, lat double, t0 double, rms double")
+        return ((t - predict(p[:, None, :], sx, sy)[:, 0]) ** 2).mean(axis=1), p
+
+    def fit(t, sx, sy):
+        """(lon, lat, t0, mean square) of events of equally many picks, which are in order of time."""
+        out, cost, todo = np.zeros((len(t), 3)), np.full(len(t), np.inf), np.arange(len(t))
+        for k in range(min(starts, t.shape[1])):
+            c, p = descend(np.stack([sx[todo, k], sy[todo, k] + 0.1, t[todo, k]], axis=1), sx[todo], sy[todo], t[todo])
+            less = c < cost[todo]
+            cost[todo[less]], out[todo[less]] = c[less], p[less]
+            todo = todo[~(cost[todo] < enough * enough)]
+            if not len(todo):
+                break
+        return np.column_stack([out, cost])
+
+    def locate(batches):
+        for batch in batches:
+            picks = batch.column(1)
+            flat, sizes = picks.flatten(), picks.value_lengths().to_numpy(zero_copy_only=False)
+            t, sx, sy = (flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(3))
+            first, found = np.cumsum(sizes) - sizes, np.zeros((len(sizes), 4))
+            for size in np.unique(sizes):
+                same = np.flatnonzero(sizes == size)
+                few = max(1, _PICKS // int(size))
+                for a in range(0, len(same), few):
+                    at = first[same[a : a + few], None] + np.arange(size)
+                    found[same[a : a + few]] = fit(t[at], sx[at], sy[at])
+            yield pa.record_batch([batch.column(0), pa.array((found[:, 0] + 180) % 360 - 180), pa.array(found[:, 1].copy()), pa.array(found[:, 2].copy()), pa.array(np.sqrt(found[:, 3]))], ["evid", "lon", "lat", "t0", "rms"])
+
+    picks = arrivals.groupBy(F.col("evid").cast("long").alias("evid")).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in ("atime", "slon", "slat"))))).alias("picks"))
+    return picks.mapInArrow(locate, "evid long, lon double, lat double, t0 double, rms double")
 
 
 def nearest_values(rows: DataFrame, queries: DataFrame, x: str, qx: str, y: str, width: float, k: int) -> DataFrame:
