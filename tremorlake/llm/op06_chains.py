@@ -164,6 +164,24 @@ def train_chain(codes: np.ndarray, row: np.ndarray, n_rows: int, toxic: np.ndarr
     return {"vocabulary": vocabulary[used], "weights": weights}
 
 
+def frequent(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur in LEAST_DOCS documents or more, and their documents' numbers; sizes: codes of each document, in their order. No model chooses a rarer one, and
+    most are, so training needs a fraction of the memory."""
+    order = np.sort(codes)  # a document has a code once
+    ends = order[LEAST_DOCS - 1 :]
+    often = ends[ends == order[: len(ends)]]
+    del order, ends
+    known = often[np.append(True, often[1:] != often[:-1])[: len(often)]]
+    del often
+    keep = np.zeros(len(codes), bool)
+    for a in range(0, len(codes) if len(known) else 0, 1 << 18):
+        part = codes[a : a + (1 << 18)]
+        keep[a : a + (1 << 18)] = known[np.minimum(np.searchsorted(known, part), len(known) - 1)] == part
+    first = np.append(0, np.cumsum(sizes))
+    kept = np.append(0, np.cumsum(keep, dtype=np.int32))
+    return codes[keep], np.repeat(np.arange(len(sizes), dtype=np.int32), np.diff(kept[first]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dict | None:
     """The chain, from at most train_docs labelled documents that are not held out; None without two classes."""
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
@@ -187,9 +205,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> dic
     texts = rows.drop("y").join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
     got = texts.mapInArrow(features, "doc_id long, y int, codes binary").toPandas().sort_values("doc_id", kind="stable")
     discard(rows)
-    y = got["y"].to_numpy(float)
-    parts = [np.frombuffer(b, "<u8") for b in got["codes"]]
-    return train_chain(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), len(parts), y)
+    y, sizes = got["y"].to_numpy(float), got["codes"].map(len).to_numpy() // 8
+    codes = np.frombuffer(b"".join(got["codes"]), "<u8")
+    del got
+    codes, row = frequent(codes, sizes)
+    return train_chain(codes, row, len(y), y)
 
 
 def toxicity(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
