@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tremorlake.functions import dist, geo
 
+from . import votes
 from .ranks import medians
 
 
@@ -134,20 +135,24 @@ def event_grid(templates: DataFrame, stations: DataFrame, lon_step: float, lat_s
 
     templates: (sta, phase, atime); stations: (sta, slon, slat). Each template votes for the origin times that its cells
     imply: the Laplace mass of the bin around its travel time, less the rate of false detections. Per station, phase, cell
-    and bin only the best template counts; bins without any stay out, which is what a score of 0 means. Cells are a list
-    of each template's row, so work grows with templates, and is dealt by (cell, bin).
+    and bin only the best template counts; bins without any stay out, which is what a score of 0 means. Templates are
+    shuffled by periods of time, and what they vote for is summed where they are (``votes``).
     """
-    n_lon, n_lat = int(360 / lon_step), int(180 / lat_step)
-    cells = F.explode(F.sequence(F.lit(0), F.lit(n_lon * n_lat - 1))).alias("cell")
-    places = stations.select("sta", "slon", "slat", cells).withColumns({"clon": F.col("cell") % n_lon * lon_step - 180 + lon_step / 2, "clat": F.floor(F.col("cell") / n_lon) * lat_step - 90 + lat_step / 2})
-    travel = places.select("sta", "cell", (geo.dist_km("clon", "clat", "slon", "slat") / speed_km_s).alias("tt"))
-    origin = templates.join(travel, "sta").withColumn("t0", F.col("atime") - F.col("tt"))
-    near = origin.withColumn("tbin", F.explode(F.array(*(F.floor(F.col("t0") / tick) + i for i in (-1, 0, 1)))))
-    mass = dist.laplace_cdf((F.col("tbin") + 1) * tick, F.col("t0"), scale) - dist.laplace_cdf(F.col("tbin") * tick, F.col("t0"), scale)
-    votes = near.select("cell", "tbin", "sta", "phase", F.greatest(mass, F.lit(1e-12)).alias("m")).where(F.col("m") > tick * math.exp(log_rate))
-    # few votes share a station and phase, so nothing is summed before the one shuffle, which serves both aggregates
-    best = votes.repartition("cell", "tbin").groupBy("cell", "tbin", "sta", "phase").agg(F.max("m").alias("m"))
-    return best.groupBy("cell", "tbin").agg(F.sum(F.ln("m") - math.log(tick) - log_rate).alias("score"), F.count("*").alias("n"))
+    n_lon, n_lat, bins = int(360 / lon_step), int(180 / lat_step), votes.bins_in_period(tick, speed_km_s)
+
+    def count(table: pa.Table) -> pa.Table:
+        low = table["period"][0].as_py() * bins
+        picks = votes.Picks(table, 3 * tick)
+        lon = np.arange(n_lon) * lon_step - 180 + lon_step / 2
+        out = []
+        for line in range(n_lat):
+            score, n = votes.scores(picks, lon, np.full(n_lon, line * lat_step - 90 + lat_step / 2), tick, low, np.arange(bins), bins, speed_km_s, scale, log_rate)
+            place, k = np.nonzero(n)
+            out.append((place + line * n_lon, k + low, score[place, k], n[place, k]))
+        cell, tbin, score, n = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"cell": cell.astype(np.int32), "tbin": tbin, "score": score, "n": n})
+
+    return votes.dealt(templates, stations, tick, speed_km_s).groupBy("period").applyInArrow(count, "cell int, tbin long, score double, n long")
 
 
 def grid_peaks(grid: DataFrame, per_bin: int = 1) -> DataFrame:
