@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorlake.operators import models, proposals
-from tremorlake.operators.lineage import checkpointed
+from tremorlake.operators.lineage import stored
 
 from . import views as v
 from .registry import query
@@ -63,7 +63,7 @@ SELECT cell, tbin, round(odds, 4) AS odds, lon, lat, (fbin + 0.5) * 5 AS time, r
 )
 def m20_proposals(spark, sf):
     stations, templates, grid = _probabilities(spark, sf)
-    top = checkpointed(proposals.local_maxima(grid, _STEP, _STEP, _LEAST))
+    top = stored(proposals.local_maxima(grid, _STEP, _STEP, _LEAST), "proposals")
     fine = proposals.refined(top, templates, stations, _STEP, _STEP, _TICK)
     both = top.select("cell", "tbin", "odds").join(fine, ["cell", "tbin"])
     return both.select(F.col("cell").cast("bigint").alias("cell"), "tbin", F.round("odds", 4).alias("odds"), "lon", "lat", "time", F.round("fine_score", 4).alias("fine_score"), F.round("p", 6).alias("p"))
