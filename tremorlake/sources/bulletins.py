@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake.functions import waves
+from tremorlake.operators.lineage import stored
 
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = ", ", header: bool = True) -> DataFrame:
@@ -100,16 +101,60 @@ def parse_ims_bulletin(text: str) -> list[dict]:
 BULLETIN = "eventid long, region string, author string, time double, lat double, lon double, depth double, ndef int, mb double, ml double"
 
 
+#: Lines of events that are parsed together.
+EVENT_LINES = 4096
+
+
 def read_ims_bulletins(spark: SparkSession, path: str) -> DataFrame:
-    """One row per event and author; a file is parsed as a whole, files in parallel."""
+    """One row per event and author. Files are read by splits of any size, and a task holds a few events' lines at a time: what a split has before its first event, and its last event, may go on in its
+    neighbours, so these are put together by file and parsed after that."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    names, parts = [x.split()[0] for x in BULLETIN.split(", ")], BULLETIN + ", _file string, _at long, _part int, _text string"
+    event, rows_schema, parts_schema = re.compile(r"\s*Event\s+\d+", re.I), to_arrow_schema(StructType.fromDDL(BULLETIN)), to_arrow_schema(StructType.fromDDL(parts))
+
+    def parsed(lines: list[str]):
+        return pa.RecordBatch.from_pylist(parse_ims_bulletin("\n".join(lines)), schema=parts_schema)
 
     def parse(batches):
-        for pdf in batches:
-            rows = [r for t in pdf["value"] for r in parse_ims_bulletin(t)]
-            out = pd.DataFrame(rows, columns=[x.split()[0] for x in BULLETIN.split(", ")])
-            yield out.astype({"ndef": "Int32"})
+        split, seen, own, ready = None, False, [], []
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, BULLETIN)
+        def end():
+            # parts of a split: 0 before its first event, 1 its last event
+            return pa.RecordBatch.from_pylist([{"_file": split[0], "_at": split[1], "_part": int(seen), "_text": "\n".join(own)}], schema=parts_schema)
+
+        for batch in batches:
+            for value, *at in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != split:
+                    if split:
+                        yield end()
+                    split, seen, own = at, False, []
+                if event.match(value):
+                    if seen:
+                        ready += own
+                    elif own:
+                        yield end()
+                    seen, own = True, []
+                    if len(ready) >= EVENT_LINES:
+                        yield parsed(ready)
+                        ready = []
+                own.append(value)
+            if ready:
+                yield parsed(ready)
+                ready = []
+        if split:
+            yield end()
+
+    def join(table: pa.Table) -> pa.Table:
+        # in a file's order, an event and what later splits have of it before their own first one
+        texts = table.sort_by([("_at", "ascending"), ("_part", "ascending")])["_text"].to_pylist()
+        return pa.Table.from_pylist(parse_ims_bulletin("\n".join(texts)), schema=rows_schema)
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    read = stored(lines.mapInArrow(parse, parts), "bulletins")
+    return read.where("_text IS NULL").select(*names).unionByName(read.where("_text IS NOT NULL").groupBy("_file").applyInArrow(join, BULLETIN))
 
 
 def read_weed_bulletin(spark: SparkSession, path: str) -> DataFrame:
