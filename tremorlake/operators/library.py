@@ -5,6 +5,9 @@ samples under it share a word of a table with the probability (1 - angle / pi) *
 threshold itself, and what correlates better is found more surely; bits grow with the library, so that a word names a few templates at any size. Words that
 no template has are dropped where they are made, by a bitmap of at most tables * 2**MOST_BITS / 8 bytes; the others meet the index in a shuffled join, and every
 template that a window met is correlated exactly. So all hits are true, and the library may have any number of entries.
+
+Where a station has few templates, words would be many times what they stand for and leave little out: there windows are dealt to blocks, once each, and correlated with all of their
+station's templates, so that nothing is missed.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from .lineage import checkpointed
 
 #: Bits of a word at least and at most, templates that a word should name, and lags that are sketched at once.
 LEAST_BITS, MOST_BITS, PER_WORD, LAGS = 4, 18, 4, 4096
+#: Templates of a station at most that windows meet without an index, and windows in a block.
+FEW, IN_BLOCK = 2048, 4096
 
 
 def sketch_size(n_templates: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -92,6 +97,48 @@ def library_hits(windows: DataFrame, templates: DataFrame, threshold: float, rec
     """(window, template, lag, xc): places where a window's sliding correlation with a template of its station exceeds the threshold. windows: (window, sta,
     samples), templates: (template, sta, samples) of any lengths. Each such place is found with a probability of at least recall."""
     library = templates.where(F.size("samples") > 0)
+    sizes = library.groupBy("sta").agg((F.count("*") > FEW).alias("_many"))
+    some = lambda rows, many: rows.join(sizes.where(F.col("_many") == many).select("sta"), "sta", "left_semi")
+    direct = _all_hits(windows, some(library, False), threshold)
+    if sizes.where("_many").isEmpty():
+        return direct
+    return direct.unionByName(_indexed_hits(some(windows, True), some(library, True), threshold, recall, seed))
+
+
+def _all_hits(windows: DataFrame, library: DataFrame, threshold: float) -> DataFrame:
+    """Every hit, by all correlations of a station's windows and templates."""
+    blocks = windows.groupBy("sta").agg(F.ceil(F.count("*") / IN_BLOCK).cast("long").alias("_n"))
+    asked = windows.join(blocks, "sta").select(F.col("sta").cast("string").alias("_sta"), F.pmod(F.xxhash64("window"), "_n").alias("_block"), F.col("window").cast("long").alias("window"), "samples")
+    known = library.join(blocks, "sta").select(F.col("sta").cast("string").alias("_of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_part"), F.col("template").cast("long").alias("template"), "samples")
+
+    def correlate(asked: pa.Table, known: pa.Table) -> pa.Table:
+        by_size: dict[int, tuple[list, list]] = {}
+        for k, t in zip(known["template"].to_pylist(), known["samples"]):
+            t = _samples(t.as_py())
+            ids, rows = by_size.setdefault(len(t), ([], []))
+            ids.append(k)
+            rows.append(t - t.mean())
+        groups = [(np.array(ids), np.array(rows), np.linalg.norm(rows, axis=1)) for ids, rows in by_size.values()]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))]
+        for w, x in zip(asked["window"].to_pylist(), asked["samples"]):
+            x = _samples(x.as_py())
+            for ids, rows, norms in groups:
+                if len(x) < rows.shape[1]:
+                    continue
+                every = np.lib.stride_tricks.sliding_window_view(x, rows.shape[1])
+                for a in range(0, len(every), LAGS):
+                    places = every[a : a + LAGS]
+                    norm = np.linalg.norm(places, axis=1)[:, None] * norms
+                    xc = np.divide(places @ rows.T, norm, out=np.zeros(norm.shape), where=norm > 1e-12)
+                    lag, k = np.nonzero(xc > threshold)
+                    out.append((np.full(len(lag), w), ids[k], (lag + a).astype(np.int32), xc[lag, k]))
+        return pa.table(dict(zip(("window", "template", "lag", "xc"), (np.concatenate(c) for c in zip(*out)))))
+
+    return asked.groupBy("_sta", "_block").cogroup(known.groupBy("_of", "_part")).applyInArrow(correlate, "window long, template long, lag int, xc double")
+
+
+def _indexed_hits(windows: DataFrame, library: DataFrame, threshold: float, recall: float, seed: int) -> DataFrame:
+    """Hits by the index of sketches."""
     most = library.groupBy("sta").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     bits, tables = sketch_size(most or 1, threshold, recall)
     index = checkpointed(template_words(library, bits, tables, seed))
