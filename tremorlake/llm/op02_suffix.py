@@ -27,6 +27,12 @@ from .repeats import anchor_stretches, covered, repeated_stretches, repeats_of_w
 SIZE = 100
 ANCHOR = 32
 _PLACE = np.uint64(0x3FFFFFFF)
+#: Bytes of text that are hashed at once.
+SLICE_BYTES = 1 << 18
+#: A stretch has as many windows at most as a window has places for an anchor.
+REACH = SIZE - ANCHOR + SIZE
+#: Bytes of text that repeats are taken out of at once.
+TAKEN_BYTES = 1 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -119,18 +125,33 @@ def maximal_repeats(texts: list[bytes] | tuple[np.ndarray, np.ndarray], least: i
     return lengths, np.concatenate([[0], np.cumsum(sizes)]), places
 
 
-def _stretches(data: np.ndarray, offsets: np.ndarray):
+def _slice_stretches(data: np.ndarray, ends: np.ndarray, begin: int):
+    """Anchor hash, content hash, first and last window of the stretches of a slice of text; ends: of each window's text, in the slice."""
     codes = BYTE_CODE[data]
     grams = mix(span_hashes(codes, ANCHOR))
     least = sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), SIZE - ANCHOR + 1)
     at = (least & _PLACE).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
-    lo, hi = anchor_stretches(at, np.arange(len(at)) + SIZE <= offsets[1:][text])
+    lo, hi = anchor_stretches(at, np.arange(len(at)) + SIZE <= ends[: len(at)])
     whole = span_hashes(codes, SIZE)
     with np.errstate(over="ignore"):
         same = mix(whole[lo] * np.uint64(3) + mix(whole[hi]) + (hi - lo).astype(np.uint64))
-    begin = offsets[:-1][text[lo]]
-    return grams[at[lo]], same, text[lo], lo - begin, hi - begin
+    return grams[at[lo]], same, lo + begin, hi + begin
+
+
+def _stretches(data: np.ndarray, offsets: np.ndarray):
+    """Slices of a block take turns, as hashes need a hundred times the bytes that they are of. A slice has the stretches that begin in it; it sees one byte
+    before them, and REACH bytes behind, where the last one ends at most."""
+    n, found = len(data), []
+    for first in range(0, max(1, n), SLICE_BYTES):
+        begin, end = max(0, first - 1), min(n, first + SLICE_BYTES + REACH)
+        inner = offsets[1:][(offsets[1:] > begin) & (offsets[:-1] < end)] - begin
+        ends = np.repeat(inner, np.diff(np.minimum(np.append(0, inner), end - begin)))
+        key, same, lo, hi = _slice_stretches(data[begin:end], ends, begin)
+        own = (lo >= first) & (lo < first + SLICE_BYTES)
+        found.append((key[own], same[own], lo[own], hi[own]))
+    key, same, lo, hi = (np.concatenate(x) for x in zip(*found))
+    text = np.searchsorted(offsets, lo, "right") - 1
+    return key, same, text, lo - offsets[text], hi - offsets[text]
 
 
 def _details(data: np.ndarray, offsets: np.ndarray, ids, rows, text, lo, hi, hot, key):
@@ -140,9 +161,12 @@ def _details(data: np.ndarray, offsets: np.ndarray, ids, rows, text, lo, hi, hot
     content = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[at]))])
     yield {"key": key[~hot], "check": np.zeros(len(bounds) - 1, np.int64), "text": text[~hot], "lo": lo[~hot], "hi": hi[~hot], "content": content}
     if hot.any():
-        codes = BYTE_CODE[data]
+        # only the hot stretches' own bytes are hashed, joined
+        long = size[hot]
+        codes = BYTE_CODE[data[ragged((offsets[:-1][text] + lo)[hot], long)]]
         one, two = mix(span_hashes(codes, SIZE)), span_hashes(mix(codes), SIZE)
-        k, c, t, p = window_rows(one, two, text[hot], lo[hot], hi[hot], offsets)
+        k, c, t, p = window_rows(one, two, np.arange(len(long)), lo[hot], hi[hot], np.cumsum(long) - long - lo[hot])
+        t = text[hot][t]
         again = repeats_of_windows(k, c, ids[t], rows[t], p, False)
         # what is a repeat within the block is known; it goes on by another key that only it has
         with np.errstate(over="ignore"):
@@ -191,7 +215,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def _kept(docs: DataFrame, found: DataFrame, make, schema: str) -> DataFrame:
     def apply(batches):
-        for (ids, runs), data, offsets in blocks(batches, ("doc_id", "runs")):
+        for (ids, runs), data, offsets in blocks(batches, ("doc_id", "runs"), TAKEN_BYTES):
             gone = covered(runs, offsets, len(data), SIZE)
             yield make(ids, data, offsets, gone)
 
@@ -237,7 +261,7 @@ def rewritten(docs: DataFrame) -> DataFrame:
             columns = batch.columns
             all_columns = columns[0].flatten()
             texts = pa.record_batch([*all_columns, columns[1]], [*(str(i) if i != place else "text" for i in range(len(all_columns))), "runs"])
-            for part, data, offsets in blocks([texts], texts.schema.names):
+            for part, data, offsets in blocks([texts], texts.schema.names, TAKEN_BYTES):
                 part[place] = _remaining(data, offsets, covered(part.pop(), offsets, len(data), SIZE))
                 yield pa.record_batch(part, names)
 

@@ -30,6 +30,8 @@ from .common import blocks, clean_docs, mix, written
 HOT = 64
 #: Rows of sorted keys that a worker handles at once, if no key has more.
 CHUNK_ROWS = 150_000
+#: The same for rows with their content, whose comparison needs some hundred bytes for each byte of it.
+COMPARED_ROWS = 4000
 
 STRETCH = "key long, same long, doc_id long, row long, lo long, hi long, done boolean"
 FOUND = "key long, doc_id long, row long, lo long, hi long, n long"
@@ -188,7 +190,7 @@ def repeated_stretches(docs: DataFrame, stretches, details, compare, other_docs_
                 yield pa.record_batch([pa.array(part["key"]), pa.array(part["check"]), pa.array(ids[part["text"]]), pa.array(rows[part["text"]]), pa.array(part["lo"]), pa.array(part["hi"]), part["content"]], ["key", "check", "doc_id", "row", "lo", "hi", "content"])
 
     def settle(batches):
-        for table in by_key(batches):
+        for table in by_key(batches, COMPARED_ROWS):
             yield pa.record_batch([pa.array(x) for x in merge_runs(*compare(table))], ["doc_id", "row", "lo", "hi"])
 
     close = texts.join(need, ["doc_id", "row"]).select("doc_id", "row", "text", "look").mapInArrow(cut, "key long, check long, doc_id long, row long, lo long, hi long, content binary")
