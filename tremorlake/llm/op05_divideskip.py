@@ -39,6 +39,8 @@ PER_CENT = 75
 MOST_HOT = 400_000
 HOT_IN_BLOCK, HOT_AT_ALL = 2, 6
 SURVEY_BYTES = 8 << 20
+#: Bytes of texts whose sets are made at once.
+SETS_BYTES = 1 << 19
 #: Classes of a list that isn't made; rows of sorted lists that a worker holds; copies in a class that is dealt by broadcast,
 #: at least, and how many such classes there may be.
 VERY_LONG, LIST_ROWS, HOT_COPIES, MOST_HOT_CLASSES = 500_000, 150_000, 200, 100_000
@@ -50,8 +52,20 @@ ALWAYS = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text in ascending order, and the bounds of the texts."""
-    _, _, codes, first = words_of(LOWER[data], offsets, ~SPACE, RunHasher())
+    """Distinct shingle hashes of each text in ascending order, and the bounds of the texts. A few texts of SETS_BYTES, or one longer one, take turns:
+    hashing words needs fifty times their bytes."""
+    hasher, parts, sizes, i = RunHasher(), [], [np.zeros(1, np.int64)], 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SETS_BYTES, "right")) - 1)
+        values, bounds = _few_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hasher)
+        parts.append(values)
+        sizes.append(np.diff(bounds))
+        i = j
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.cumsum(np.concatenate(sizes))
+
+
+def _few_sets(data: np.ndarray, offsets: np.ndarray, hasher: RunHasher) -> tuple[np.ndarray, np.ndarray]:
+    _, _, codes, first = words_of(LOWER[data], offsets, ~SPACE, hasher)
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)
     grams = mix(span_hashes(codes, WORDS))
