@@ -64,8 +64,8 @@ def destination(lon, lat, azi, km) -> tuple[Column, Column]:
 
 
 def wrap_lon(lon) -> Column:
-    """Longitude in [-180, 180)."""
-    return F.pmod(_c(lon) + 180, F.lit(360.0)) - 180
+    """Longitude in [-180, 180). What lies before the date line by less than half the last bit of 720 is on it, so that it doesn't round to 180, and what lies that little before zero is zero."""
+    return F.pmod(F.pmod(_c(lon) + 180, F.lit(360.0)) + 360, F.lit(360.0)) - 180
 
 
 def lonlat_text(lon, lat) -> Column:

@@ -14,7 +14,7 @@ FUNCTIONS = [
     (f"dist_deg({_POINTS})", "DOUBLE", f"degrees(2 * asin(sqrt(least(1D, greatest(0D, {_HALF})))))"),
     (f"dist_km({_POINTS})", "DOUBLE", "radians(dist_deg(lon1, lat1, lon2, lat2)) * 6371D"),
     ("degdiff(a DOUBLE, b DOUBLE)", "DOUBLE", "CASE WHEN pmod(b - a, 360D) > 180 THEN pmod(b - a, 360D) - 360 ELSE pmod(b - a, 360D) END"),
-    ("wrap_lon(lon DOUBLE)", "DOUBLE", "pmod(lon + 180, 360D) - 180"),
+    ("wrap_lon(lon DOUBLE)", "DOUBLE", "pmod(pmod(lon + 180, 360D) + 360, 360D) - 180"),
     (f"azimuth({_POINTS})", "DOUBLE", f"CASE WHEN sin(radians(lon2) - radians(lon1)) >= 0 THEN degrees(acos(greatest(-1D, least(1D, {_COSINE})))) ELSE 360 - degrees(acos(greatest(-1D, least(1D, {_COSINE})))) END"),
     ("julian_to_epoch(yyyyddd INT)", "DOUBLE", "CASE WHEN yyyyddd > 0 THEN CAST(unix_date(date_add(make_date(CAST(floor(yyyyddd / 1000) AS INT), 1, 1), yyyyddd % 1000 - 1)) AS DOUBLE) * 86400 END"),
 ]
