@@ -4,13 +4,16 @@
 2. Shingles have one global order: those of few documents first. Two sets that link share s of their first
    n - ceil(0.75 n) + s shingles in that order, where s is a tenth of the smaller size (SHARED at least, or all that small
    sets need), so lists of these shingles name all candidates. Classes are tied if s short lists (of at most SHORT
-   classes) hold both, or if one long list does and their sizes, or those of a chain of classes between them, allow
-   a link. Components of ties are candidate groups, and no link leaves a group. A class has at most SHORT partners on a short
-   list; long lists make stars and are read as a stream. Lists of VERY_LONG classes or more are not made: their members
-   are tied to a node of their shingle and size, and these nodes to each other.
+   classes) hold both. Two that link and are not tied so are on one long list. Classes on long lists take ROUNDS more turns, by an order that
+   has all shingles with long lists so far last, as a larger corpus has many that no block shows to be frequent. What is on long lists then
+   makes stars: first n - ceil(0.75 n) + 1 shingles only where it is known to be frequent, as the first shingle that two linked sets have in common is
+   one of these, or else they share a short list and frequent ones to make up for the rest of s. A star ties two classes if
+   their sizes, or those of a chain of classes between them, allow a link. Components of ties are candidate groups, and no link leaves a group.
+   A class has at most SHORT partners on a short list; long lists are read as a stream. Lists of VERY_LONG classes or more are not made:
+   their members are tied to a node of their shingle and size, and these nodes to each other.
 3. In a group the sets' inverted lists are searched: a query has to meet T of its lists; its L longest lists are put
    aside, the short ones are merged, documents with T - L hits are probed in the long ones by binary search. Links are
-   decided on exact counts. A group is split into blocks of about BLOCK classes: first all blocks meet the first one,
+   decided on exact counts. A group is split into blocks of about BLOCK classes, in groups of more than WIDE_GROUP of more, by the root of its size: first all blocks meet the first one,
    then whatever isn't in the group's largest component meets all blocks. Classes that are connected already
    needn't meet, so large groups of near copies cost little, and no link between components is missed. A group whose members
    seldom link costs a search of every block in every other one.
@@ -46,7 +49,9 @@ SETS_BYTES = 1 << 19
 VERY_LONG, LIST_ROWS, HOT_COPIES, MOST_HOT_CLASSES = 500_000, 150_000, 200, 100_000
 #: Documents of a short list; what two sets share at least of their longer prefixes: SHARED or a part of their size.
 SHORT, SHARED, SHARED_PART = 64, 4, 10
-BLOCK = 100
+#: Turns that classes on long lists take with these lists' shingles last.
+ROUNDS = 3
+BLOCK, WIDE_GROUP = 100, 1000
 #: Counts as enough shared shingles.
 ALWAYS = 1 << 20
 
@@ -122,6 +127,11 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-PER_CENT * n // 100) + shared_at_least(n)
 
 
+def first_common_within(n: np.ndarray) -> np.ndarray:
+    """The first shingle that a set of n has in common with one that it links with is one of so many first ones."""
+    return n - -(-PER_CENT * n // 100) + 1
+
+
 def prefix_order(values: np.ndarray, bounds: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Indices of the shingles, text by text, in the global order: rare ones by hash, then frequent ones by rank."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -201,9 +211,9 @@ def _pairs_of_short(start: np.ndarray, size: np.ndarray, doc: np.ndarray, n: np.
             yield i[ok], j[ok]
 
 
-def _whole_lists(batches):
-    """(table, key that goes on from the table before, or None) of sorted (token, h, n), whole lists as far as LIST_ROWS rows; a
-    longer one comes in parts, each opened by the first and the last row of the one before."""
+def _whole_lists(batches, final):
+    """(table, key that goes on from the table before, or None) of sorted (token, h, n, more), whole lists as far as LIST_ROWS rows; a
+    longer one comes in parts, each opened by the first and the last row of the one before. In the final turn only rows of stars are left in parts."""
     held, size, on = [], 0, None
     for batch in batches:
         if not batch.num_rows:
@@ -219,45 +229,75 @@ def _whole_lists(batches):
             yield table.slice(0, cut), on
             rest, on = table.slice(cut), None
         else:
+            if final:
+                table = table.filter(pa.array((table.column("more").to_numpy() & 1) > 0))
             yield table, int(keys[0])
-            rest, on = table.take(pa.array([0, len(keys) - 1])), int(keys[0])
+            rest, on = table.take(pa.array([0, table.num_rows - 1] if table.num_rows else [], pa.int64())), int(keys[0])
         held, size = rest.to_batches(), rest.num_rows
     if size:
         yield pa.Table.from_batches(held), on
 
 
-def _ties(batches):
-    """(a, b, shared, needed): classes on common lists. A long list ties each class to the smallest one that its
-    size allows to link with, and those to the one before them."""
-    for table, on in _whole_lists(batches):
-        token, doc, n = (table.column(c).to_numpy() for c in ("token", "h", "n"))
-        order = np.lexsort([doc, n, token])
-        token, doc, n = token[order], doc[order], n[order].astype(np.int64)
-        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        size = np.diff(np.append(start, len(token)))
-        if on is not None:
-            size[token[start] == on] += SHORT  # part of a long list
-        long = np.repeat(size > SHORT, np.diff(np.append(start, len(token))))
-        found = list(_pairs_of_short(start, size, doc, n))
-        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        needed = np.minimum(shared_at_least(n[a]), shared_at_least(n[b]))
-        one, two = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
-        by = np.lexsort([two, one])
-        one, two, needed = one[by], two[by], needed[by]
-        new = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)])
-        shared = np.diff(np.append(new, len(one)))
-        one, two, needed = one[new], two[new], needed[new]
-        ldoc, ln, ltoken = doc[long], n[long], token[long]
-        if len(ldoc):
-            step = (ltoken[1:] == ltoken[:-1]) & (100 * ln[:-1] >= PER_CENT * ln[1:])
-            head = np.flatnonzero(np.append(True, ~step))[np.cumsum(np.append(True, ~step)) - 1]
-            star = 100 * ln[head[1:]] >= PER_CENT * ln[1:]
-            at = np.flatnonzero(step)
-            other = np.where(star[at], head[1:][at], at)
-            pairs = np.unique(np.stack([np.minimum(ldoc[other], ldoc[at + 1]), np.maximum(ldoc[other], ldoc[at + 1])], axis=1), axis=0)
-            one, two = np.concatenate([one, pairs[:, 0]]), np.concatenate([two, pairs[:, 1]])
-            shared, needed = np.concatenate([shared, np.full(len(pairs), ALWAYS)]), np.concatenate([needed, np.ones(len(pairs), np.int64)])
-        yield pa.record_batch([pa.array(one), pa.array(two), pa.array(shared.astype(np.int32)), pa.array(needed.astype(np.int32))], ["a", "b", "shared", "needed"])
+def _ties(final):
+    """(a, b, shared, needed): classes on common short lists. Rows on long lists are given as (token, class, -1, size), but in the final turn their stars'
+    ties: each class with the smallest one that its size allows to link with, and those with the one before them. more: twice the number of frequent shingles
+    in the class's prefix, and 1 if the row makes stars."""
+
+    def narrow(batches, wide):
+        for batch in batches:
+            mask = batch.column("wide").to_numpy(zero_copy_only=False)
+            if mask.any():
+                wide.append(batch.filter(pa.array(mask)))
+                batch = batch.filter(pa.array(~mask))
+            yield batch
+
+    def rows(one, two, shared, needed):
+        return pa.record_batch([pa.array(one), pa.array(two), pa.array(shared.astype(np.int32)), pa.array(needed.astype(np.int32))], ["a", "b", "shared", "needed"])
+
+    def listed(token, doc, n):
+        return rows(token, doc, np.full(len(doc), -1), n)
+
+    def run(batches):
+        wide: list = []
+        for table, on in _whole_lists(narrow(batches, wide), final):
+            yield from (listed(*(w.column(c).to_numpy() for c in ("token", "h", "n"))) for w in wide)
+            wide.clear()
+            token, doc, n, more = (table.column(c).to_numpy() for c in ("token", "h", "n", "more"))
+            order = np.lexsort([doc, n, token])
+            order = order[np.append(True, (token[order[1:]] != token[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]]))[: len(order)]]  # copies are one
+            token, doc, n, more = token[order], doc[order], n[order].astype(np.int64), more[order]
+            start = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+            size = np.diff(np.append(start, len(token)))
+            rows_of = size.copy()
+            if on is not None and len(token):
+                size[token[start] == on] += SHORT  # part of a long list
+            long = np.repeat(size > SHORT, rows_of)
+            found = list(_pairs_of_short(start, size, doc, n))
+            a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            needed = np.minimum(shared_at_least(n[a]), shared_at_least(n[b]))
+            if final:
+                needed = np.maximum(1, needed - np.minimum(more[a] >> 1, more[b] >> 1))
+            one, two = np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
+            by = np.lexsort([two, one])
+            one, two, needed = one[by], two[by], needed[by]
+            new = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)])
+            yield rows(one[new], two[new], np.diff(np.append(new, len(one))), needed[new])
+            if not final:
+                yield listed(token[long], doc[long], n[long])
+                continue
+            long &= (more & 1) > 0
+            ldoc, ln, ltoken = doc[long], n[long], token[long]
+            if len(ldoc):
+                step = (ltoken[1:] == ltoken[:-1]) & (100 * ln[:-1] >= PER_CENT * ln[1:])
+                head = np.flatnonzero(np.append(True, ~step))[np.cumsum(np.append(True, ~step)) - 1]
+                star = 100 * ln[head[1:]] >= PER_CENT * ln[1:]
+                at = np.flatnonzero(step)
+                other = np.where(star[at], head[1:][at], at)
+                pairs = np.unique(np.stack([np.minimum(ldoc[other], ldoc[at + 1]), np.maximum(ldoc[other], ldoc[at + 1])], axis=1), axis=0)
+                yield rows(pairs[:, 0], pairs[:, 1], np.full(len(pairs), ALWAYS), np.ones(len(pairs), np.int64))
+        yield from (listed(*(w.column(c).to_numpy() for c in ("token", "h", "n"))) for w in wide)
+
+    return run
 
 
 def _meet(rows: DataFrame) -> DataFrame:
@@ -295,24 +335,36 @@ def _meet(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(deal, "task long, node long, shingles binary").repartition("task").sortWithinPartitions("task").mapInArrow(search, "a long, b long")
 
 
-def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most MOST_HOT frequent shingles in ascending order, their ranks (the most frequent one last), and whether each is in so
-    many documents that its list isn't made."""
+def _frequent(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most MOST_HOT frequent shingles in ascending order, and in how many documents each is."""
     top = survey.where("doc_id IS NULL").groupBy("one").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_AT_ALL).orderBy(F.desc("n"), "one").limit(MOST_HOT).toPandas()
     token = top["one"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], (len(token) - order).astype(np.int64), top["n"].to_numpy()[order] >= VERY_LONG
+    return token[order], top["n"].to_numpy(np.int64)[order]
 
 
-def _candidates(texts: DataFrame, survey: DataFrame, classes: DataFrame, hot_classes: DataFrame) -> DataFrame:
-    """(a, b): nodes that are tied, directly or by nodes (below zero) of a very common shingle and a size."""
-    context = texts.sparkSession.sparkContext
-    frequent = _frequent(survey)
-    copies = hot_classes.select("h", "doc_id").toPandas().sort_values("h")  # MOST_HOT_CLASSES at most
-    shared = context.broadcast((*frequent, copies["h"].to_numpy(np.int64), copies["doc_id"].to_numpy(np.int64)))
+def _with_lists(token: np.ndarray, n: np.ndarray, known: np.ndarray, met: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent shingles, how many documents each is in, and whether it is known for a long list, with the long lists of met; MOST_HOT of all at most."""
+    top = met.where("shared < 0").groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SHORT).orderBy(F.desc("n"), "a").limit(MOST_HOT).toPandas()
+    every = np.concatenate([token, top["a"].to_numpy(np.int64).view(np.uint64)])
+    token, at = np.unique(every, return_inverse=True)
+    most, long = np.zeros(len(token), np.int64), np.zeros(len(token), bool)
+    np.maximum.at(most, at, np.concatenate([n, top["n"].to_numpy(np.int64)]))
+    np.logical_or.at(long, at, np.concatenate([known, np.ones(len(top), bool)]))
+    best = np.sort(np.lexsort([token, -most])[:MOST_HOT])
+    return token[best], most[best], long[best]
+
+
+def _met(texts: DataFrame, table: tuple, copies: tuple, final: bool) -> DataFrame:
+    """What _ties gives for the lists of all texts' prefixes, by the order of table (shingles, documents of each, whether known for a long list)."""
+    token, n_docs, known = table
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort([token, n_docs])] = np.arange(1, len(token) + 1)  # the most frequent one last
+    very = n_docs >= VERY_LONG
+    shared = texts.sparkSession.sparkContext.broadcast((token, rank, known | very, very, *copies))
 
     def prefixes(batches):
-        tokens, rank, very, hot_h, hot_doc = shared.value
+        tokens, rank, known, very, hot_h, hot_doc = shared.value
         for (ids,), data, offsets in blocks(batches):
             values, bounds = shingle_sets(data, offsets)
             n, ids = np.diff(bounds), np.asarray(ids)
@@ -325,38 +377,75 @@ def _candidates(texts: DataFrame, survey: DataFrame, classes: DataFrame, hot_cla
                 pick = np.where(hot, ids == hot_doc[k], pick)
             pick &= n > 0
             where = prefix_order(values, bounds, tokens, rank)
-            size = prefix_length(n)[pick]
-            at = where[ragged(bounds[:-1][pick], size)]
-            token = values[at]
+            size, n = prefix_length(n)[pick], n[pick]
+            token = values[where[ragged(bounds[:-1][pick], size)]]
             k = np.minimum(np.searchsorted(tokens, token), max(0, len(tokens) - 1))
-            wide = (tokens[k] == token) & very[k] if len(tokens) else np.zeros(len(token), bool)
-            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(np.repeat(h[pick], size)), pa.array(np.repeat(n[pick], size).astype(np.int32)), pa.array(wide)], ["token", "h", "n", "wide"])
-
-    lists = texts.select("doc_id", "text").mapInArrow(prefixes, "token long, h long, n int, wide boolean")
-    any_wide = bool(frequent[2].any())
-    if any_wide:
-        lists = written(lists, "lists")
-    rows = lists.where("NOT wide").select("token", "h", "n").repartition("token").sortWithinPartitions("token", "n")
-    common = rows.mapInArrow(_ties, "a long, b long, shared int, needed int").where("a <> b").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
-    tied = written(common.where("shared >= needed").select("a", "b"), "tied")
+            is_known, wide = ((tokens[k] == token) & x[k] if len(tokens) else np.zeros(len(token), bool) for x in (known, very))
+            owner = np.repeat(np.arange(len(size)), size)
+            more = np.zeros(len(token), np.int32)
+            if final:
+                stars = ~is_known | (ragged(np.zeros(len(size), np.int64), size) < first_common_within(n)[owner])
+                more = (2 * np.bincount(owner, is_known, len(size)).astype(np.int32)[owner] + stars).astype(np.int32)
+                took = ~wide | stars
+                token, owner, more, wide = token[took], owner[took], more[took], wide[took]
+            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(h[pick][owner]), pa.array(n[owner].astype(np.int32)), pa.array(more), pa.array(wide)], ["token", "h", "n", "more", "wide"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(prefixes, "token long, h long, n int, more int, wide boolean")
+    rows = rows.repartition(F.when(F.col("wide"), F.xxhash64("token", "h")).otherwise(F.col("token")) if very.any() else "token")
+    return written(rows.sortWithinPartitions("token", "n").mapInArrow(_ties(final), "a long, b long, shared int, needed int").where("a <> b OR shared < 0"), "met")
+
+
+def _candidates(texts: DataFrame, survey: DataFrame, classes: DataFrame, hot_classes: DataFrame) -> DataFrame:
+    """(a, b): nodes that are tied, directly or by nodes (below zero) of a very common shingle and a size."""
+    token, n_docs = _frequent(survey)
+    table = token, n_docs, np.zeros(len(token), bool)
+    hot = hot_classes.select("h", "doc_id").toPandas().sort_values("h")  # MOST_HOT_CLASSES at most
+    copies = hot["h"].to_numpy(np.int64), hot["doc_id"].to_numpy(np.int64)
+    ids, parts, hard, turn = classes.select("h", "doc_id"), [], None, 0
+    while True:
+        met = _met(texts if hard is None else hard, table, copies, turn == ROUNDS)
+        common = met.where("shared >= 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+        parts.append(written(common.where("shared >= needed").select("a", "b"), "tied"))
+        if turn == ROUNDS:
+            break
+        # classes on long lists take another turn, one document each
+        again = ids.join(met.where("shared < 0").select(F.col("b").alias("h")).distinct(), "h", "left_semi").select("doc_id").distinct()
+        n_again = again.count()
+        if not n_again:
+            break
+        n_known = int(table[2].sum())
+        table = _with_lists(*table, met)
+        if hard is None or 2 * n_again < n_hard:
+            every = texts if hard is None else hard
+            left, n_hard = hard, n_again
+            hard = written(every.join(F.broadcast(again) if n_again <= MOST_HOT else again, "doc_id", "left_semi").select("doc_id", "text"), "hard")
+            discard(*([left] if left is not None else []))
+        discard(met)
+        turn = turn + 1 if int(table[2].sum()) > n_known else ROUNDS  # another turn by the same order finds the same
     node = classes.select("h", "node")
+    tied = parts[0]
+    for part in parts[1:]:
+        tied = tied.unionByName(part)
     ties = tied.join(node.toDF("a", "na"), "a").join(node.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = classes.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")  # a hash of several classes
     ties = ties.unionByName(classes.select("h", "node").join(same.withColumnRenamed("a", "node"), "node").select(F.col("node").alias("a"), "b"))
-    if any_wide:
+    if (table[1] >= VERY_LONG).any():
         hub = lambda n: -1 - F.shiftrightunsigned(F.xxhash64("token", n), 1)
-        wide = lists.where("wide").select("token", "n", "h").distinct()
+        wide = met.where("shared < 0").select(F.col("a").alias("token"), F.col("needed").alias("n"), F.col("b").alias("h")).distinct()
         members = wide.join(node, "h").select(F.col("node").alias("a"), hub("n").alias("b"))
         before = F.lag("n").over(Window.partitionBy("token").orderBy("n"))  # a row for each size of such a shingle's sets
         chain = wide.select("token", "n").distinct().withColumn("m", before).where(100 * F.col("m") >= PER_CENT * F.col("n")).select(hub("m").alias("a"), hub("n").alias("b"))
         ties = ties.unionByName(members).unionByName(chain)
-    return written(ties.where("a <> b").distinct(), "ties")
+    out = written(ties.where("a <> b").distinct(), "ties")
+    discard(met, *parts, *([hard] if hard is not None else []))
+    return out
 
 
 def _links(texts: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
     """(a, b): nodes of linked classes, as many as connect each component."""
+    wide = lambda m: BLOCK * F.greatest(F.lit(1.0), F.sqrt(m / WIDE_GROUP))
     groups = written(components(ties).where("id >= 0").withColumnRenamed("component", "grp"), "groups")
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n_blocks"))
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / wide(F.count("*"))).cast("long").alias("n_blocks"))
     placed = groups.join(sizes, "grp").select(F.col("id").alias("node"), "grp", "n_blocks", F.pmod(F.xxhash64("id"), F.col("n_blocks")).alias("block"))
     placed = placed.join(classes.select("node", "h", "doc_id"), "node")
     grouped = written(texts.join(placed, "doc_id").select("node", "h", "text", "grp", "n_blocks", "block"), "grouped")
@@ -371,7 +460,7 @@ def _links(texts: DataFrame, classes: DataFrame, ties: DataFrame) -> DataFrame:
         label = several.join(components(links).withColumnRenamed("id", "node"), "node", "left").select("node", "grp", "n_blocks", "block", F.coalesce("component", "node").alias("component"))
         label = written(label, "labels")
         counts = label.groupBy("grp", "component").agg(F.count("*").alias("k"))
-        largest = written(counts.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("m"), F.max("k").alias("k")).where("m > k").select("grp", "largest", F.ceil((F.col("m") - F.col("k")) / BLOCK).cast("long").alias("n_rest")), "largest")
+        largest = written(counts.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("m"), F.max("k").alias("k")).where("m > k").select("grp", "largest", F.ceil((F.col("m") - F.col("k")) / wide(F.col("m"))).cast("long").alias("n_rest")), "largest")
         todo = label.join(largest, "grp")
         rest = F.col("component") != F.col("largest")
         ranges = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
