@@ -52,3 +52,14 @@ def test_no_guesses(spark):
     g = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "id long, t double, lon double, lat double")
     q = spark.createDataFrame([], "id long, t double, lon double, lat double, score double")
     assert not matching.exact_curve(g, q).collect()
+
+
+def test_rounds_of_components_leave_one_table(spark, monkeypatch, tmp_path):
+    from tremorlake.operators import graphs, lineage
+
+    monkeypatch.setattr(lineage, "shared_folder", lambda spark: str(tmp_path))
+    edges = spark.createDataFrame([(i, i) for i in range(60)] + [(i, i + 1) for i in range(60)], "id long, gid long")
+    few = graphs.components.__defaults__
+    monkeypatch.setattr(graphs.components, "__defaults__", (*few[:-1], 0))
+    assert {r.comp for r in matching.edge_components(edges).collect()} == {0}
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("stars-")]) == 1  # of all rounds the last
